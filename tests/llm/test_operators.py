@@ -1,0 +1,386 @@
+"""Small tests of the training-data operators against brute force and SQL."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparrowmill.llm import bpe, exact_dedup, html_text, licenses, lm_scoring, mixing, near_dedup, quality, repeats, topk
+from sparrowmill.llm.queries import oracle_sql, tokenizer_files
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+
+
+def docs_of(spark, texts, schema=DOCS):
+    rows = [(n, t, "en", None if n % 7 == 3 else f"s{n % 3}", len(t or "")) for n, t in enumerate(texts)]
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["th", "er", "on", "ing", "tion", "a", "of"]) + rng.choice(["an", "re", "he", "in", "ed", ""]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [prose(rng, rng.choice([1, 4, 5, 30, 80, 200])) for _ in range(40)]
+    shared = prose(rng, 25)
+    out = list(base)
+    out += [b.replace(" ", "  \n", 2) for b in base[:5]] + base[3:9]  # copies, some with other white space
+    out += [base[7] + " " + shared + " " + base[8], prose(rng, 20) + shared + prose(rng, 9), shared]
+    long = prose(rng, 120).split()
+    out += [" ".join(long)] + [" ".join(w if i != k else "CHANGED" for i, w in enumerate(long)) for k in (10, 60, 100)]
+    out += [None, "", "  ", "aaaa" * 60, "aaaa" * 60 + "b", "\U0001d54f é ü " * 20, "x" * 20_000]
+    return out
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def awkward(spark, columns="doc_id long, text string, source string, id string, key string, h int"):
+    """Nulls everywhere, repeated rows, and extra columns named like inner ones."""
+    data = [(1, "a b", None, None, "k", None), (1, "a b", None, None, "k", None), (None, None, "s", "x", None, 1), (None, "a  b", "s", None, None, 2), (3, "", "s", "y", "z", 3)]
+    return spark.createDataFrame(data, columns)
+
+
+def test_exact_classes_against_sql(spark, texts):
+    got = exact_dedup.classes(docs_of(spark, texts)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    documents = docs_of(spark, texts).toPandas()  # noqa: F841
+    want = con.sql(oracle_sql()["op5_exact_dedup"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.astype(str).equals(want[got.columns].astype(str))
+
+
+def test_exact_collisions_and_splits(spark, texts):
+    docs = docs_of(spark, texts)
+    want = rows(exact_dedup.classes(docs))
+    index = exact_dedup.build_index(docs, key_bits=3, capacity=2)
+    assert index.depth == 3 and index.entries.agg(F.max("link")).first()[0] > 1
+    assert rows(exact_dedup.classes(docs, index=index)) == want
+    deep = exact_dedup.build_index(docs, capacity=4)
+    slots = deep.directory.collect()
+    assert len(slots) == 2**deep.depth and {s.slot for s in slots} == set(range(2**deep.depth))
+    assert all(s.n_keys <= 4 for s in slots) and all(s.local_depth <= deep.depth for s in slots)
+
+
+def test_exact_edges(spark):
+    docs = awkward(spark)
+    got = exact_dedup.classes(docs).collect()
+    assert len(got) == 5 and sum(r.kept for r in got) == 4
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == 4
+    assert exact_dedup.classes(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_mixing_against_sql(spark, texts):
+    got = mixing.plan_mix(docs_of(spark, texts)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    documents = docs_of(spark, texts).toPandas()  # noqa: F841
+    want = duckdb.connect().sql(oracle_sql()["op9_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    for c in ("doc_id", "size", "source_size", "taken"):
+        assert got[c].tolist() == want[c].tolist(), c
+    assert np.allclose(got["target"], want["target"])
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_mixing_rows_hold_the_words(spark, texts):
+    docs = docs_of(spark, texts)
+    mixed = mixing.mix_rows(docs)
+    assert mixed.columns == docs.columns
+    words = mixed.groupBy("source").agg(F.sum(mixing.n_words("text")).alias("n")).collect()
+    plan = {r.source: (r.n, r.t) for r in docs.select("doc_id", "source").join(mixing.plan_mix(docs), "doc_id").groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()}
+    assert {r.source: r.n for r in words} == {s: n for s, (n, _) in plan.items()}
+    assert all(abs(n - t) <= 1 for n, t in plan.values())
+
+
+def test_mixing_edges(spark):
+    docs = awkward(spark)
+    assert mixing.plan_mix(docs).count() == 5 and mixing.mix_rows(docs).columns == docs.columns
+    assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.mix_rows(docs.limit(0)).count() == 0
+
+
+def brute_license(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+    places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_licenses(spark, texts):
+    lines = ["Licensed under the MIT License.", "the Apache-License, version 2.0 and MIT license mit LICENSE", "GNU Lesser General Public License v2.1 or later", "permit license", "mit\x00license", "Licensed under CC BY-NC 4.0.",
+             "SPDX-License-Identifier: BSD-3-Clause", "mIt" + " x" * 9 + " licensé MIT LICENSE é", "mit license " * 3000]
+    every = [*texts, *lines, *[f"{t or ''} {x}" for t, x in zip(texts, lines, strict=False)]]
+    got = {r.doc_id: r for r in licenses.license_digest(docs_of(spark, every)).collect()}
+    for n, t in enumerate(every):
+        r = got[n]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(t), t
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    at = len(texts)
+    assert [got[at + k].labels for k in (0, 1, 2, 3, 5, 6)] == ["mit", "apache,mit", "gpl,lgpl", "", "cc-by-nc", "bsd"]
+    assert len(licenses.rules()) > 250
+    spans = licenses.scan(docs_of(spark, lines)).collect()
+    assert not any(a.doc_id == b.doc_id and a.rule != b.rule and a.first <= b.first and b.last <= a.last for a in spans for b in spans if a.doc_id < 8)
+
+
+def test_license_edges(spark):
+    docs = awkward(spark)
+    assert licenses.license_digest(docs).count() == 5 and licenses.license_digest(docs.limit(0)).count() == 0
+
+
+def brute_repeats(texts):
+    first, out = {}, []
+    data = [(t or "").encode() for t in texts]
+    for n, b in enumerate(data):
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], n)
+    for n, b in enumerate(data):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < n:
+                gone[i : i + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((n, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(spark, texts):
+    rng = random.Random(3)
+    phrase = prose(rng, 14)
+    more = [prose(rng, 6) + phrase[k : k + 49 + k % 5] + prose(rng, 5) for k in range(0, 20)] + [prose(rng, 3) + phrase + prose(rng, 2) for _ in range(12)]
+    every = [t[:4000] if t else t for t in texts] + more
+    for chunk in (2000, 1 << 20):
+        got = repeats.remove_repeats(docs_of(spark, every), chunk_bytes=chunk)
+        assert rows(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(brute_repeats(every), key=repr)
+
+
+def test_prefix_intervals():
+    assert sorted(repeats.prefix_intervals([0, 3, 3, 1, 0, 2], 1)) == [(0, 2, 3, 1), (0, 3, 1, 0), (4, 5, 2, 0)]
+
+
+def test_repeats_edges(spark):
+    docs = awkward(spark).union(awkward(spark).withColumn("text", F.repeat(F.lit("long passage "), 9)))
+    got = repeats.remove_repeats(docs)
+    assert got.count() == 10 and got.where("doc_id = 1").agg(F.sum("n_removed")).first()[0] == 0
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def brute_near(texts, n=5):
+    def shingles(t):
+        w = (t or "").split()
+        return Counter([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] or ([tuple(w)] if w else []))
+
+    sets = [shingles(t) for t in texts]
+    words = [tuple((t or "").split()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sum((sets[i] | sets[j]).values())
+            if words[i] == words[j] or (union and sum((sets[i] & sets[j]).values()) / union >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(i, find(i)) for i in range(len(texts))]
+
+
+def test_near_against_brute_force(spark, texts):
+    every = [t for t in texts if t is None or t.isascii()]
+    rng = random.Random(8)
+    original = prose(rng, 150).split()
+    for k in range(12):  # edited copies, each like the original and less like each other
+        edited = list(original)
+        for at in rng.sample(range(0, 150, 5), 3):
+            edited[at] = f"edit{k}"
+        every.append(" ".join(edited))
+    every.append(" ".join(original))
+    got = near_dedup.near_classes(docs_of(spark, every))
+    assert rows(got.select("doc_id", "class_id")) == sorted(brute_near(every), key=repr)
+    assert near_dedup.keep_one(docs_of(spark, every)).count() == len({c for _, c in brute_near(every)})
+
+
+def test_near_finds_all_planted_links(spark):
+    import pandas as pd
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+    want = [(int(docs.doc_id.iloc[i]), int(docs.doc_id.iloc[c])) for i, c in brute_near([re.sub(r"[\x09-\x0d]", " ", t) for t in docs.text])]
+    got = near_dedup.near_classes(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "class_id")
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(1)
+    e = rng.integers(1, 2**63, 60).astype(np.uint64)
+    a, b = rng.uniform(0.2, 3, 60), rng.uniform(0.2, 3, 60)
+    t = 4000
+    s = near_dedup.dart_signatures(np.repeat([0, 1], 60), np.concatenate([e, e]), np.concatenate([a, b]), 2, t)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 5 * math.sqrt(0.25 / t)
+
+
+def test_near_edges(spark):
+    got = near_dedup.near_classes(awkward(spark))
+    assert sorted((r.doc_id or 0, r.class_id) for r in got.collect()) == [(0, 1), (0, 3), (1, 1), (1, 1), (3, 3)]
+    assert near_dedup.near_classes(awkward(spark).limit(0)).count() == 0
+    assert near_dedup.keep_one(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_bpe_is_the_library(spark, texts):
+    import tiktoken
+
+    path, pattern = tokenizer_files()
+    ranks = bpe.load_ranks(open(path, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    every = [*texts, "don't  stop\n\n 12,345 naïve 日本語 ‍ 🙂🙂", " " * 3000, "ab" * 3000, "\r\n\t x"]
+    got = {r.doc_id: r for r in bpe.round_trip(docs_of(spark, every), path, pattern).collect()}
+    for n, t in enumerate(every):
+        ids = library.encode_ordinary(t or "")
+        assert got[n].n_tokens == len(ids) and got[n].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[n].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    tokens = bpe.encode(docs_of(spark, every), path, pattern)
+    assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(tokens, path, pattern).collect()} == {n: t or "" for n, t in enumerate(every)}
+
+
+def test_bpe_edges(spark):
+    path, pattern = tokenizer_files()
+    assert bpe.round_trip(awkward(spark), path, pattern).count() == 5 and bpe.round_trip(awkward(spark).limit(0), path, pattern).count() == 0
+
+
+def test_lm_scores_against_brute_force(spark, texts):
+    docs, good = docs_of(spark, texts), [0, 5, 6, 11, 12]
+    targets = spark.createDataFrame([(g,) for g in [*good, 5]] + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, targets, size=12, mu=3.0).collect()}
+    split = [lm_scoring.tokens(t or "") for t in texts]
+    counts = Counter(w for s in split for w in s)
+    words = sorted(counts, key=lambda w: (-counts[w], w))[:11]
+    ids = [[words.index(w) + 1 if w in words else 0 for w in s] for s in split]
+    tables = []
+    for use in (range(len(texts)), good):
+        c = np.zeros((13, 12))
+        for n in use:
+            for h, w in zip([12, *ids[n][:-1]], ids[n], strict=True) if ids[n] else []:
+                c[h, w] += 1
+        tables.append(lm_scoring.losses(c, 3.0))
+    for n, s in enumerate(ids):
+        if not s:
+            assert got[n].n_tokens == 0 and got[n].score is None
+            continue
+        g, t = (np.mean([table[h, w] for h, w in zip([12, *s[:-1]], s, strict=True)]) for table in tables)
+        assert abs(got[n].background_loss - g) < 1e-5 and abs(got[n].target_loss - t) < 1e-5 and abs(got[n].score - (t - g)) < 1e-5
+
+
+def test_lm_edges(spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm_scoring.score(awkward(spark), none).count() == 5 and lm_scoring.score(awkward(spark).limit(0), none).count() == 0
+
+
+def test_quality_on_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    both = quality.judge(docs, quality.fit(docs)).join(labels, "doc_id").toPandas()
+    good, bad = both[both.quality == 1], both[both.quality == 0]
+    assert good.kept.mean() > 0.99 and (~bad.kept).mean() > 0.95
+    assert docs.columns == quality.keep_good(docs).columns
+
+
+def test_em_finds_accuracies():
+    rng = np.random.default_rng(2)
+    good = rng.random(20_000) < 0.8
+    accuracy = np.linspace(0.7, 0.95, len(quality.LABELLERS))
+    right = rng.random((len(good), len(accuracy))) < accuracy
+    votes = np.where(right == good[:, None], 1, 2).astype(np.int8)
+    votes[rng.random(votes.shape) < 0.3] = 0
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, chances = quality.fit_labellers(patterns, counts.astype(float))
+    assert abs(share - 0.8) < 0.02
+    assert np.abs(chances[0, :, 1] / chances[0, :, 1:].sum(1) - accuracy).max() < 0.03
+
+
+def test_quality_edges(spark):
+    docs = awkward(spark)
+    assert quality.judge(docs, quality.fit(docs)).count() == 5 and quality.keep_good(docs).columns == docs.columns
+    assert quality.keep_good(docs.limit(0)).count() == 0 and quality.judge(docs.limit(0), quality.fit(docs.limit(0))).count() == 0
+
+
+def brute_top(vectors, asks, k):
+    valid = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in valid:
+        if asks(q):
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in valid if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
+def test_topk_against_brute_force(spark):
+    rng = random.Random(4)
+    near = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    vectors = [(i, [x + rng.gauss(0, 0.05) for x in near[i % 5]]) for i in range(300)] + [(300 + i, near[0]) for i in range(60)]
+    vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (None, near[0]), (403, [1.0, 2.0]), (404, [float("inf")] * 6), (420, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, id int, q int" if False else "vec_id long, embedding array<float>")
+    stored = [(r.vec_id, r.embedding) for r in df.collect()]
+    for options in ({}, {"pivots": 7, "group_queries": 3, "shard_rows": 50}):
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, **options)
+        assert rows(got) == sorted(brute_top(stored, lambda i: i % 20 == 0, 5), key=repr)
+    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df, F.lit(False)).count() == 0
+    few = topk.top_k(df.where("vec_id < 3"), F.lit(True))
+    assert few.count() == 6
+
+
+PAGES = [
+    (1, "http://a.example/1", "<html><head><title>no</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>Menu</a></ul></nav><article><h1>Head &amp; tail</h1><p>One  two<br>three <b>bold</b>ly &lt;ok&gt;&nbsp;x<aside>side</aside></p><p>Four</article><footer>&copy; f</footer></body></html>", "Head & tail\nOne two\nthree boldly <ok> x\nFour"),
+    (2, "http://a.example/2", "<body><div class='ad'>Buy</div><main><p>Main text<div class=\"comments\">nice post</div><form>search</form></main>", "Main text"),
+    (3, "http://b.example/1", "<body><div>We sell many good things in this shop every day</div><p>Only here is this text of page three to be found</p></body>", "Only here is this text of page three to be found"),
+    (4, "http://b.example/2", "<body><div>We sell many good things in this shop every day</div><p>Quite another story is told on page four by someone</p></body>", "Quite another story is told on page four by someone"),
+    (5, None, None, ""), (6, "", "plain &quo text <p", "plain &quo text"), (7, "http://c.example", "<!-- x --><p>a<!-- > --> b</p><style>p{}</style>", "a b"),
+]
+
+
+def test_html(spark):
+    pages = spark.createDataFrame([(i, u, h, "x") for i, u, h, _ in PAGES], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    for i, u, _, text in PAGES:
+        assert got[i].text == text and got[i].url == u and got[i].n_chars == len(text)
+    twice = html_text.extract(pages.union(pages)).collect()
+    assert len(twice) == 2 * len(PAGES) and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_articles_are_whole(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r, p in zip(html_text.extract(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True):
+        body = re.search(r"<article>(.*?)</article>", p.html, re.S)
+        want = [re.sub(r"\s+", " ", __import__("html").unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"<(?:/?p|br|/?h1)>", body[1])]
+        assert r.text == "\n".join(x for x in want if x)
+
+
+def test_pipeline_against_its_parts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    ids = sorted(texts)
+    unique = {}
+    for i in ids:
+        unique.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", texts[i]), i)
+    after = corpus_pipeline.STAGES[1][1](spark, kept, SF)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(unique.values())
+    left = sorted(unique.values())
+    classes = {left[c] for _, c in brute_near([texts[i] for i in left])}
+    near = corpus_pipeline.STAGES[2][1](spark, after, SF)
+    assert {r.doc_id for r in near.collect()} == classes
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, near, SF).columns == docs.columns
+    out = corpus_pipeline.run(spark, SF)
+    mixed = corpus_pipeline.STAGES[3][1](spark, near, SF)
+    want = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out.collect()) == want
