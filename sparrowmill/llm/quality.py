@@ -38,7 +38,7 @@ _CLASS[65:91, [_UPPER]] = True
 _CLASS[97:123, [_ALNUM]] = True
 _CLASS[128:, [_ALNUM]] = True
 
-SIGNALS = ("n_words", "symbols", "bare", "top", "echo", "length", "function", "digits", "ends", "upper", "variety")
+SIGNALS = ("n_words", "symbols", "bare", "top", "echo", "length", "function", "digits", "ends", "upper", "variety", "runs")
 
 
 def _function_hashes() -> np.ndarray:
@@ -80,6 +80,9 @@ def signals(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[:, 8] = np.bincount(owner, _CLASS[buffer[end], _END], n) / safe
     out[:, 9] = of[:, _UPPER] / np.maximum(chars, 1)
     out[:, 10] = np.bincount(o[first], minlength=n) / np.maximum(1, safe**0.8)
+    same = np.zeros(len(buffer) + 1, np.int64)
+    np.cumsum((buffer == np.roll(buffer, 1)) & ~_CLASS[buffer, _ALNUM] & (buffer > 32), out=same[1:])
+    out[:, 11] = (same[starts[1:] - 1] - same[starts[:-1]]) / np.maximum(chars, 1)
     return out, owner, h
 
 
@@ -94,6 +97,8 @@ LABELLERS = (
     ("digits", 8, -1.0, -1.0, 0.08, 0.3),
     ("ends", 40, 0.004, 0.015, 0.5, 0.8),
     ("upper", 8, -1.0, -1.0, 0.15, 0.4),
+    ("variety", 40, 0.3, 0.5, 100.0, 200.0),
+    ("runs", 5, -1.0, -1.0, 0.02, 0.05),
 )
 
 
@@ -133,7 +138,7 @@ def posterior(patterns: np.ndarray, share: float, chances: np.ndarray) -> np.nda
 _EDGES = {
     "n_words": [5, 15, 40, 200, 1000], "symbols": [0.02, 0.05, 0.09, 0.12, 0.16, 0.25], "bare": [0.01, 0.03, 0.08, 0.15, 0.3], "top": [0.06, 0.1, 0.14, 0.2, 0.25, 0.5],
     "echo": [0.01, 0.04, 0.08, 0.12, 0.3], "length": [2.2, 3, 4, 5, 6, 8, 11], "function": [0.015, 0.03, 0.06, 0.1, 0.2], "digits": [0.02, 0.08, 0.2, 0.3],
-    "ends": [0.004, 0.015, 0.05, 0.2, 0.5], "upper": [0.05, 0.15, 0.25, 0.4], "variety": [0.2, 0.5, 1, 2],
+    "ends": [0.004, 0.015, 0.05, 0.2, 0.5], "upper": [0.05, 0.15, 0.25, 0.4], "variety": [0.2, 0.3, 0.5, 1, 2], "runs": [0.005, 0.02, 0.05, 0.2],
 }
 
 
