@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import forecasting, graphs, preparation, recommender, relational
+from .plans.registry import QUERIES, SQL
+
+MODULES = (relational, preparation, recommender, forecasting, graphs)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
