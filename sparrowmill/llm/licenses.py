@@ -15,6 +15,7 @@ Null ids are kept. Extra columns are not read. Long texts with many places becom
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,88 +28,85 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 #: Hand-written rules: label, keyword, confidence, regex over the word string. Order is priority.
 HAND = """
-agpl|affero|0.97|gnu affero general public license( version| v)? 3( 0)?( only| or( any)? later( version)?)?
-agpl|affero|0.95|licensed under( the)?( terms of( the)?)? (gnu )?affero general public license
-agpl|affero|0.9|affero general public license
+agpl|license|0.97|gnu affero general public license( version| v)? 3( 0)?( only| or( any)? later( version)?)?
+agpl|license|0.95|licensed under( the)?( terms of( the)?)? (gnu )?affero general public license
+agpl|license|0.9|affero general public license
 agpl|agpl|0.9|agpl( version| v)? ?3( 0)?( only| or later)?
 agpl|agplv3|0.9|agplv3
-lgpl|lesser|0.97|gnu lesser general public license( version| v)? [23]( [01])?( only| or( any)? later( version)?)?
-lgpl|lesser|0.95|licensed under( the)?( terms of( the)?)? (gnu )?lesser general public license
-lgpl|lesser|0.9|lesser general public license
-lgpl|library|0.9|gnu library general public license
+lgpl|license|0.97|gnu lesser general public license( version| v)? [23]( [01])?( only| or( any)? later( version)?)?
+lgpl|license|0.95|licensed under( the)?( terms of( the)?)? (gnu )?lesser general public license
+lgpl|license|0.9|lesser general public license
+lgpl|license|0.9|gnu library general public license
 lgpl|lgpl|0.9|lgpl( version| v)? ?[23]( [01])?( only| or later)?
 lgpl|lgplv3|0.9|lgplv3
 lgpl|lgplv2|0.9|lgplv2( 1)?
-gpl|gnu|0.97|(this (work|program|software|file|library|document) is )?(free software )?licensed under( the)?( terms of( the)?)? gnu general public license( version| v)? [123]( 0)?( only| or( any)? later( version)?)?
-gpl|gnu|0.97|gnu general public license( version| v)? [123]( 0)?( only| or( any)? later( version)?)?
-gpl|gnu|0.95|under the terms of the gnu general public license( as published by the free software foundation)?
-gpl|gnu|0.9|gnu general public license
+gpl|license|0.97|(this (work|program|software|file|library|document) is )?(free software )?licensed under( the)?( terms of( the)?)? gnu general public license( version| v)? [123]( 0)?( only| or( any)? later( version)?)?
+gpl|license|0.97|gnu general public license( version| v)? [123]( 0)?( only| or( any)? later( version)?)?
+gpl|license|0.95|under the terms of the gnu general public license( as published by the free software foundation)?
+gpl|license|0.9|gnu general public license
 gpl|gnu|0.85|gnu gpl( version| v)? ?[123]?( 0)?
 gpl|gpl|0.85|gpl( version| v) ?[123]( 0)?( only| or later)?
 gpl|gplv3|0.9|gplv3
 gpl|gplv2|0.9|gplv2
-gpl|gpl|0.6|licensed under( the)? gpl
-gfdl|documentation|0.95|gnu free documentation license( version| v)?( 1 [123])?( or( any)? later( version)?)?
-apache|apache|0.97|licensed under( the)?( terms of( the)?)? apache license( version)? 2( 0)?( the license)?
-apache|apache|0.97|apache license( version)? 2( 0)?
-apache|apache|0.9|apache software license( version)?( [12]( [01])?)?
-apache|apache|0.9|apache public license( version)?( 2( 0)?)?
+gpl|licensed|0.6|licensed under( the)? gpl
+gfdl|license|0.95|gnu free documentation license( version| v)?( 1 [123])?( or( any)? later( version)?)?
+apache|license|0.97|licensed under( the)?( terms of( the)?)? apache license( version)? 2( 0)?( the license)?
+apache|license|0.97|apache license( version)? 2( 0)?
+apache|license|0.9|apache software license( version)?( [12]( [01])?)?
+apache|license|0.9|apache public license( version)?( 2( 0)?)?
 apache|apache|0.85|(licensed|released|distributed|available) under( the)? apache( 2( 0)?)?
 apache|apache|0.8|apache 2 0
-apache|apache|0.9|www apache org licenses license 2 0
-mit|mit|0.97|(licensed|released|distributed|available|provided) under( the)?( terms of( the)?)? mit license
-mit|mit|0.95|the mit license( mit)?
-mit|mit|0.9|mit license
+apache|license|0.9|www apache org licenses license 2 0
+mit|license|0.97|(licensed|released|distributed|available|provided) under( the)?( terms of( the)?)? mit license
+mit|license|0.95|the mit license( mit)?
+mit|license|0.9|mit license
 mit|mit|0.9|opensource org licenses mit
-mit|mit|0.85|(licensed|released|distributed|available) under( the)? mit
-mit|expat|0.85|expat license
+mit|licensed|0.85|licensed under( the)? mit
+mit|license|0.85|expat license
 mit|hereby|0.9|permission is hereby granted free of charge to any person obtaining a copy
-mit|x11|0.8|x11 license
+mit|license|0.8|x11 license
 bsd|bsd|0.97|bsd (2|3|4|two|three|four) clause( simplified| new| revised| original)?( license)?
-bsd|bsd|0.95|(simplified|new|revised|modified|original) bsd license
+bsd|license|0.95|(simplified|new|revised|modified|original) bsd license
 bsd|bsd|0.9|(licensed|released|distributed|available) under( the|a)? bsd( style)?( license)?
-bsd|bsd|0.9|bsd( style)? license
+bsd|license|0.9|bsd( style)? license
 bsd|clause|0.9|(2|3|two|three) clause bsd( license)?
 bsd|redistribution|0.9|redistribution and use in source and binary forms with or without modification are permitted
-isc|isc|0.9|isc license
+isc|license|0.9|isc license
 isc|isc|0.9|(licensed|released) under( the)? isc
 isc|permission|0.85|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-mpl|mozilla|0.97|mozilla public license( version| v)? ?[12] [01]
-mpl|mozilla|0.9|mozilla public license
-mpl|mpl|0.85|mpl( version| v)? ?[12] [01]
+mpl|license|0.97|mozilla public license( version| v)? ?[12] [01]
+mpl|license|0.9|mozilla public license
 mpl|mozilla|0.9|mozilla org mpl( 2 0)?
-epl|eclipse|0.97|eclipse public license( version| v)?( [12] 0)?
-epl|epl|0.8|epl( version| v)? [12] 0
-edl|eclipse|0.9|eclipse distribution license( version| v)?( 1 0)?
+epl|license|0.97|eclipse public license( version| v)?( [12] 0)?
+edl|license|0.9|eclipse distribution license( version| v)?( 1 0)?
 cddl|cddl|0.85|cddl( version| v)?( 1 [01])?
-cddl|distribution|0.95|common development and distribution license( version)?( 1 [01])?
-cpl|common|0.9|common public license( version)?( 1 0)?
-cpal|attribution|0.9|common public attribution license( version)?( 1 0)?
-ipl|ibm|0.9|ibm public license( version)?( 1 0)?
+cddl|license|0.95|common development and distribution license( version)?( 1 [01])?
+cpl|license|0.9|common public license( version)?( 1 0)?
+cpal|license|0.9|common public attribution license( version)?( 1 0)?
+ipl|license|0.9|ibm public license( version)?( 1 0)?
 eupl|european|0.9|european union public licen[cs]e( version| v)?( 1 [012])?
 eupl|eupl|0.85|eupl( version| v)?( 1 [012])?
-artistic|artistic|0.9|artistic license( version)?( [12]( 0)?)?
+artistic|license|0.9|artistic license( version)?( [12]( 0)?)?
 artistic|perl|0.8|same terms as perl( itself)?
-psf|python|0.9|python( software foundation)? license( agreement)?( version)?( 2( 0)?)?
-php|php|0.9|php license( version)?( 3( 0)?( 01)?)?
-ruby|ruby|0.85|(the )?ruby license
-zlib|zlib|0.9|zlib( libpng)? license
-libpng|libpng|0.9|libpng license( version)?( 2( 0)?)?
-boost|boost|0.95|boost software license( version)?( 1 0)?
-boost|bsl|0.7|bsl 1 0
+psf|license|0.9|python( software foundation)? license( agreement)?( version)?( 2( 0)?)?
+php|license|0.9|php license( version)?( 3( 0)?( 01)?)?
+ruby|license|0.85|(the )?ruby license
+zlib|license|0.9|zlib( libpng)? license
+libpng|license|0.9|libpng license( version)?( 2( 0)?)?
+boost|license|0.95|boost software license( version)?( 1 0)?
 unlicense|unlicense|0.9|(the )?unlicense
 unlicense|unlicense|0.9|unlicense org
 wtfpl|wtfpl|0.9|wtfpl
-wtfpl|fuck|0.9|do what the fuck you want to public license
+wtfpl|license|0.9|do what the fuck you want to public license
 cc0|cc0|0.95|cc0( 1 0)?( universal)?
 cc0|zero|0.95|creative commons zero( v?1 0)?( universal)?
 public-domain|domain|0.8|(placed|released|dedicated|is) (in|into|to) the public domain
 public-domain|domain|0.6|public domain dedication
-cc-by-nc-nd|nc|0.97|cc by nc nd( [1234] 0)?
-cc-by-nc-sa|nc|0.97|cc by nc sa( [1234] 0)?
-cc-by-nc|nc|0.97|(licensed under )?cc by nc( [1234] 0)?
-cc-by-nd|nd|0.97|cc by nd( [1234] 0)?
-cc-by-sa|sa|0.97|cc by sa( [1234] 0)?
+cc-by-nc-nd|cc|0.97|cc by nc nd( [1234] 0)?
+cc-by-nc-sa|cc|0.97|cc by nc sa( [1234] 0)?
+cc-by-nc|cc|0.97|(licensed under )?cc by nc( [1234] 0)?
+cc-by-nd|cc|0.97|cc by nd( [1234] 0)?
+cc-by-sa|cc|0.97|cc by sa( [1234] 0)?
 cc-by|cc|0.9|(licensed under )?cc by( [1234] 0)?
 cc-by-nc-nd|noncommercial|0.97|creative commons attribution noncommercial no ?deriv(ative)?s( works)?( [1234] 0)?( international| unported| generic)?( license)?
 cc-by-nc-sa|noncommercial|0.97|creative commons attribution noncommercial share ?alike( [1234] 0)?( international| unported| generic)?( license)?
@@ -125,55 +123,53 @@ cc-by-nd|creativecommons|0.95|creativecommons org licenses by nd( [1234] 0)?
 cc-by-sa|creativecommons|0.95|creativecommons org licenses by sa( [1234] 0)?
 cc-by|creativecommons|0.95|creativecommons org licenses by( [1234] 0)?
 cc0|creativecommons|0.95|creativecommons org publicdomain zero( 1 0)?
-odbl|database|0.95|open database license( odbl)?( v?1 0)?
+odbl|license|0.95|open database license( odbl)?( v?1 0)?
 odbl|odbl|0.85|odbl( v?1 0)?
-odc-by|commons|0.9|open data commons attribution license( v?1 0)?
-pddl|dedication|0.9|public domain dedication and license( v?1 0)?
+odc-by|license|0.9|open data commons attribution license( v?1 0)?
+pddl|license|0.9|public domain dedication and license( v?1 0)?
 ofl|ofl|0.85|sil ofl( 1 1)?
-ofl|font|0.95|(sil )?open font license( version)?( 1 [01])?
-openssl|openssl|0.9|openssl license
-ssleay|ssleay|0.9|(original )?ssleay license
-postgresql|postgresql|0.9|postgresql license
+ofl|license|0.95|(sil )?open font license( version)?( 1 [01])?
+openssl|license|0.9|openssl license
+ssleay|license|0.9|(original )?ssleay license
+postgresql|license|0.9|postgresql license
 sqlite|blessing|0.7|in place of a legal notice here is a blessing
-vim|vim|0.85|vim license
-curl|curl|0.85|curl license
-ntp|ntp|0.85|ntp license
-icu|icu|0.85|icu license
+vim|license|0.85|vim license
+curl|license|0.85|curl license
+ntp|license|0.85|ntp license
+icu|license|0.85|icu license
 unicode|unicode|0.9|unicode (license agreement|terms of use|license v3)
-w3c|w3c|0.9|w3c (software )?(notice and )?license
-json|json|0.85|the json license
+w3c|license|0.9|w3c (software )?(notice and )?license
+json|license|0.85|the json license
 json|evil|0.9|shall be used for good not evil
-beerware|beer|0.9|the beer ?ware license( revision 42)?
+beerware|license|0.9|the beer ?ware license( revision 42)?
 beerware|beerware|0.9|beerware
-ms-pl|microsoft|0.95|microsoft public license( ms pl)?
-ms-rl|microsoft|0.95|microsoft reciprocal license( ms rl)?
-ms-pl|ms|0.8|ms pl
-apsl|apple|0.9|apple public source license( version)?( [12] [012])?
-qpl|qt|0.85|q(t)? public license( version)?( 1 0)?
-osl|osl|0.8|osl( version)? [123] 0
-osl|open|0.9|open software license( version| v)? ?[123] [01]
-afl|academic|0.9|academic free license( version| v)?( [123] [01])?
-ecl|educational|0.9|educational community license( version)?( [12] 0)?
-ncsa|ncsa|0.9|(university of illinois )?ncsa open source license
-upl|universal|0.9|universal permissive license( version| v)?( 1 0)?
-mulan|mulan|0.9|mulan permissive software license( version| v)?( [12])?
-zpl|zope|0.9|zope public license( version)?( [12] [01])?
-sleepycat|sleepycat|0.9|sleepycat license
-intel|intel|0.8|intel open source license
+ms-pl|license|0.95|microsoft public license( ms pl)?
+ms-rl|license|0.95|microsoft reciprocal license( ms rl)?
+apsl|license|0.9|apple public source license( version)?( [12] [012])?
+qpl|license|0.85|q(t)? public license( version)?( 1 0)?
+osl|license|0.9|open software license( version| v)? ?[123] [01]
+afl|license|0.9|academic free license( version| v)?( [123] [01])?
+ecl|license|0.9|educational community license( version)?( [12] 0)?
+ncsa|license|0.9|(university of illinois )?ncsa open source license
+upl|license|0.9|universal permissive license( version| v)?( 1 0)?
+mulan|license|0.9|mulan permissive software license( version| v)?( [12])?
+zpl|license|0.9|zope public license( version)?( [12] [01])?
+sleepycat|license|0.9|sleepycat license
+intel|license|0.8|intel open source license
 nasa|nasa|0.9|nasa open source agreement( version)?( 1 3)?
 sspl|sspl|0.9|sspl( v?1( 0)?)?
-sspl|server|0.95|server side public license( version| v)?( 1)?
-busl|business|0.95|business source license( version)?( 1 1)?
-elastic|elastic|0.95|elastic license( version)?( 2 0)?
+sspl|license|0.95|server side public license( version| v)?( 1)?
+busl|license|0.95|business source license( version)?( 1 1)?
+elastic|license|0.95|elastic license( version)?( 2 0)?
 commons-clause|clause|0.9|commons clause( license condition)?( v?1 0)?
 polyform|polyform|0.9|polyform (noncommercial|small business|shield|perimeter|strict|free trial)( license)?( 1 0 0)?
 openrail|openrail|0.9|(creativeml |bigscience |big code )?openrail( m)?( license)?
-llama|llama|0.9|llama( [23])?( community)? license( agreement)?
-dual|dual|0.8|dual licensed under
+llama|license|0.9|llama( [23])?( community)? license( agreement)?
+dual|licensed|0.8|dual licensed under
 proprietary|reserved|0.5|all rights reserved
 proprietary|proprietary|0.7|proprietary and confidential
 proprietary|confidential|0.6|confidential and proprietary
-proprietary|eula|0.6|end user license agreement( eula)?
+proprietary|license|0.6|end user license agreement( eula)?
 proprietary|reproduced|0.6|may not be (copied|reproduced|distributed)( or (copied|reproduced|distributed))* without( the)?( prior)?( written)? permission
 notice|license|0.4|see( the)? license( file)?( for( more)? details)?
 notice|license|0.4|license file for( more)? details
@@ -234,12 +230,13 @@ def detections(texts: DataFrame, key: list[str], words: str, table: list[dict])
     ruled = F.from_json(F.lit(json.dumps(by_keyword)), f"map<string,array<{kind}>>")
     gated = texts.select(*key, words, F.explode(F.filter(gates, lambda k: F.instr(F.col(words), F.concat(F.lit(" "), k, F.lit(" "))) > 0)).alias("gate"))
     tried = gated.select(*key, words, F.inline(F.element_at(ruled, F.col("gate"))))
-    marked = F.regexp_replace(F.col(words), F.col("regex"), F.lit("\u0001$1\u0002"))
-    found = tried.select(*key, "rule", "label", "confidence", F.posexplode(F.split(marked, "\u0001")).alias("n", "piece"))
+    marked = tried.select(*key, "rule", "label", "confidence", F.regexp_replace(F.col(words), F.col("regex"), F.lit("\u0001$1\u0002")).alias("marked"))
+    found = marked.where(F.contains("marked", F.lit("\u0001"))).select(*key, "rule", "label", "confidence", F.posexplode(F.split("marked", "\u0001")).alias("n", "piece"))
+    # Only numbers are shuffled: how many words a piece spans, and how many of them the match before it.
+    measured = found.select(*key, "rule", "label", "confidence", "n", _spaces(F.col("piece")).alias("span"), _spaces(F.substring_index("piece", "\u0002", 1)).alias("inside"))
     order = W.partitionBy(*key, "rule").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    begin = F.sum(_spaces(F.col("piece"))).over(order) - 1
-    inside = _spaces(F.substring_index("piece", "\u0002", 1))
-    return found.withColumn("first", begin).where("n > 0").select(*key, "rule", "label", "confidence", "first", (F.col("first") + inside).alias("last"))
+    placed = measured.withColumn("first", F.sum("span").over(order) - 1).where("n > 0")
+    return placed.select(*key, "rule", "label", "confidence", "first", (F.col("first") + F.col("inside")).alias("last"))
 
 
 def resolve(found: DataFrame, key: list[str]) -> DataFrame:
@@ -248,15 +245,24 @@ def resolve(found: DataFrame, key: list[str]) -> DataFrame:
     return found.withColumn("reach", F.max("last").over(order)).where(F.col("reach").isNull() | (F.col("reach") < F.col("last"))).drop("reach")
 
 
+def _gated(docs: DataFrame, id_col: str, text_col: str, table: list[dict]) -> DataFrame:
+    """id, hash and word string of the texts in which some rule's keyword stands."""
+    text = nonnull_text(text_col)
+    low = F.lower(text)  # beyond ASCII it may only let more texts through
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in sorted({r["keyword"] for r in table})])
+    return docs.where(some).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), words_of(text_col).alias("words"))
+
+
 def _base_rules(base: dict[str, str]) -> list[dict]:
     """Zero-width, so that places which overlap are all found."""
-    return [{"rule": -1 - n, "label": base[p], "keyword": p.split()[0], "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
+    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[dict] | None = None) -> DataFrame:
     """The places that stay: id, rule, label, confidence, first and last word. One row a place and distinct document."""
-    texts = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words")).distinct()
-    return resolve(detections(texts, ["id"], "words", table or rules()), ["id"]).withColumnRenamed("id", id_col)
+    table = table or rules()
+    found = detections(_gated(docs, id_col, text_col, table), ["id", "h"], "words", table).distinct()
+    return resolve(found, ["id", "h"]).drop("h").withColumnRenamed("id", id_col)
 
 
 def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, table: list[dict] | None = None) -> DataFrame:
@@ -269,9 +275,7 @@ def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
     )
     everything = [*_base_rules(base), *table]
-    gate = "|".join(sorted({r["keyword"] for r in everything}))
-    hits = docs.where(text.rlike(f"(?i)(?:{gate})")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), words_of(text_col).alias("words"))
-    found = detections(hits, ["id", "h"], "words", everything).distinct()
+    found = detections(_gated(docs, id_col, text_col, everything), ["id", "h"], "words", everything).distinct()
     is_base = F.col("rule") < 0
     key = ["id", "h"]
     order = W.partitionBy(*key).orderBy("ordinary", "first", F.desc("last"), "rule").rowsBetween(W.unboundedPreceding, -1)
