@@ -84,7 +84,7 @@ def similar(tx: DataFrame, vectors: DataFrame, n_last: int, k: int, name: str =
 
 
 def recent_items(tx: DataFrame, n: int, tie: str = "line_id") -> DataFrame:
-    return head_per_group(tx, "customer_id", [F.desc("t_dat"), F.desc(tie)], n).select("customer_id", "article_id").distinct()
+    return head_per_group(tx, "customer_id", [F.desc("t_dat"), F.desc(tie), F.desc("article_id")], n).select("customer_id", "article_id").distinct()
 
 
 def collect(base: DataFrame, *lists: DataFrame) -> DataFrame:
@@ -94,7 +94,10 @@ def collect(base: DataFrame, *lists: DataFrame) -> DataFrame:
 
 def unpack(wide: DataFrame, strategies: list[str]) -> DataFrame:
     """customer, article, strategy; found by several strategies: multiple_strategies."""
-    rows = F.flatten(F.array(*[F.transform(F.coalesce(F.col(s), F.array().cast("array<bigint>")), lambda x, s=s: F.struct(x.alias("article_id"), F.lit(s).alias("strategy_name"))) for s in strategies]))
+    def tagged(s: str):
+        return F.transform(F.coalesce(F.col(s), F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("article_id"), F.lit(s).alias("strategy_name")))
+
+    rows = F.flatten(F.array(*[tagged(s) for s in strategies]))
     long = wide.select("customer_id", F.inline(rows))
     several = F.when(F.min("strategy_name") != F.max("strategy_name"), "multiple_strategies").otherwise(F.min("strategy_name"))
     return long.groupBy("customer_id", "article_id").agg(several.alias("strategy_name"))

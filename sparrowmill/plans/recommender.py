@@ -59,7 +59,7 @@ def _(v):
     return recs.nearest(v.vec.where("article_id % 4 = 0"), v.vec, 5).withColumn("distance", F.round("distance", 4))
 
 
-_RECENT = "r AS (SELECT DISTINCT customer_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, line_id DESC) AS n FROM tx) WHERE n <= {n})"
+_RECENT = "r AS (SELECT DISTINCT customer_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, line_id DESC, article_id DESC) AS n FROM tx) WHERE n <= {n})"
 
 
 @query("cand_similar", f"WITH {_RECENT.format(n=5)}, d AS (SELECT a.article_id AS query, b.article_id AS item, row_number() OVER (PARTITION BY a.article_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.article_id) AS n FROM vec a, vec b WHERE a.article_id IN (SELECT article_id FROM r)) SELECT customer_id, string_agg(item, ' ' ORDER BY item) AS closest FROM (SELECT DISTINCT customer_id, item FROM r JOIN d ON r.article_id = d.query WHERE d.n <= 5 AND item <> query) GROUP BY 1")
@@ -253,7 +253,7 @@ def _(v):
     return metrics.map_at_k(_truth(v), tables.top_lists(_scored(v, 3), "customer_id", "article_id", "score", 12), "customer_id", 12).withColumn("map_12", F.round("map_12", 5))
 
 
-@query("met_recall_ndcg", "WITH s AS (SELECT l_orderkey AS g, l_linenumber, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS label, l_extendedprice AS x FROM lineitem), r AS (SELECT p.g, count(*) FILTER (WHERE n.x > p.x) AS rank FROM (SELECT * FROM s WHERE label = 1) p LEFT JOIN (SELECT * FROM s WHERE label = 0) n ON p.g = n.g GROUP BY 1) SELECT round(avg(CASE WHEN rank < 1 THEN 1.0E0 ELSE 0 END), 5) AS recall_1, round(avg(CASE WHEN rank < 1 THEN 1 / log2(rank + 2) ELSE 0 END), 5) AS ndcg_1, round(avg(CASE WHEN rank < 3 THEN 1.0E0 ELSE 0 END), 5) AS recall_3, round(avg(CASE WHEN rank < 3 THEN 1 / log2(rank + 2) ELSE 0 END), 5) AS ndcg_3 FROM r")
+@query("met_recall_ndcg", "WITH s AS (SELECT l_orderkey AS g, l_linenumber, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS label, l_extendedprice AS x FROM lineitem), r AS (SELECT p.g, count(*) FILTER (WHERE n.x > p.x) AS rank FROM (SELECT g, max(x) AS x FROM s WHERE label = 1 GROUP BY 1) p LEFT JOIN (SELECT * FROM s WHERE label = 0) n ON p.g = n.g GROUP BY 1) SELECT round(avg(CASE WHEN rank < 1 THEN 1.0E0 ELSE 0 END), 5) AS recall_1, round(avg(CASE WHEN rank < 1 THEN 1 / log2(rank + 2) ELSE 0 END), 5) AS ndcg_1, round(avg(CASE WHEN rank < 3 THEN 1.0E0 ELSE 0 END), 5) AS recall_3, round(avg(CASE WHEN rank < 3 THEN 1 / log2(rank + 2) ELSE 0 END), 5) AS ndcg_3 FROM r")
 def _(v):
     scored = v.lineitem.select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") == 1).cast("int").alias("label"), F.col("l_extendedprice").alias("x"))
     made = metrics.recall_ndcg(scored, "g", "label", "x", (1, 3))
