@@ -51,9 +51,12 @@ def _(v):
     return _rounded(series.window_average(v.ser, H, 6, 30), "WindowAverage")
 
 
-@query("ts_ses")
+_WEIGHTED = "(SELECT unique_id, y * CASE WHEN r = 1 THEN pow(0.95, n - 1) ELSE 0.05 * pow(0.95, n - r) END AS w FROM (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS r, count(*) OVER (PARTITION BY unique_id) AS n FROM ser))"
+
+
+@query("ts_ses", _flat_sql("sum(w)", "SES", _WEIGHTED), dates=("ds",))
 def _(v):
-    return series.smoothed(v.ser, H, 0.05, 30)
+    return _rounded(series.smoothed(v.ser, H, 0.05, 30), "SES")
 
 
 def _fitted(key: str, name: str) -> None:
@@ -90,9 +93,13 @@ def _(v):
     return _rounded(series.fitted(v.ser), "HistoricAverage")
 
 
-@query("ts_model_menu")
+_MENU = f"SELECT l.unique_id, l.e + CAST(30 * k AS INTEGER) AS ds, round(a, 3) AS Naive, round(b, 3) AS HistoricAverage, round(c, 3) AS SES, round(d, 3) AS WindowAverage FROM {_LAST}, (SELECT unique_id, max_by(y, ds) AS a, avg(y) AS b, avg(CASE WHEN r <= 4 THEN y END) AS d FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS r FROM ser) GROUP BY 1) v, (SELECT unique_id, sum(w) AS c FROM {_WEIGHTED} GROUP BY 1) s WHERE v.unique_id = l.unique_id AND s.unique_id = l.unique_id"
+
+
+@query("ts_model_menu", _MENU, dates=("ds",))
 def _(v):
-    return series.forecast(v.ser, H, list(series.models(quick=True)), 30)
+    names = list(series.models(quick=True))
+    return _rounded(series.forecast(v.ser, H, names, 30), *names)
 
 
 _ORIGINS = "o AS (SELECT ds AS cutoff FROM (SELECT ds, row_number() OVER (ORDER BY ds DESC) AS r FROM (SELECT DISTINCT ds FROM ser)) WHERE r IN (4, 6, 8))"

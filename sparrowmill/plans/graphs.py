@@ -74,10 +74,16 @@ def _(v):
     return graph.sample_negatives(v.inter, 20)
 
 
-@query("gr_attn_last")
+_ATTENTION = """WITH n AS (SELECT user_id, time, CAST(embedding AS DOUBLE[]) AS e FROM inter JOIN vec ON item_id = article_id), l AS (SELECT user_id, max_by(e, time) AS last FROM n GROUP BY 1),
+    w AS (SELECT n.user_id, e, exp(list_dot_product(e, last) / sqrt(len(e))) AS w FROM n JOIN l ON n.user_id = l.user_id), x AS (SELECT user_id, e, w, unnest(range(1, 65)) AS pos FROM w)
+    SELECT user_id, CAST(pos - 1 AS INTEGER) AS pos, round(sum(w * e[pos]) / sum(w), 4) + 0.0 AS x FROM x GROUP BY 1, 2"""
+
+
+@query("gr_attn_last", _ATTENTION)
 def _(v):
     met = v.inter.select("user_id", F.col("item_id").alias("article_id"), "time").join(v.vec, "article_id")
-    return graph.attention_last(met, "user_id", "embedding", "time")
+    pooled = graph.attention_last(met, "user_id", "embedding", "time")
+    return pooled.select("user_id", F.posexplode("pooled").alias("pos", "x")).withColumn("x", F.round("x", 4) + F.lit(0.0))
 
 
 def _lists(v):
