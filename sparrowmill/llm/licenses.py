@@ -60,7 +60,7 @@ apache|license|0.9|www apache org licenses license 2 0
 mit|license|0.97|(licensed|released|distributed|available|provided) under( the)?( terms of( the)?)? mit license
 mit|license|0.95|the mit license( mit)?
 mit|license|0.9|mit license
-mit|mit|0.9|opensource org licenses mit
+mit|opensource|0.9|opensource org licenses mit
 mit|licensed|0.85|licensed under( the)? mit
 mit|license|0.85|expat license
 mit|hereby|0.9|permission is hereby granted free of charge to any person obtaining a copy
