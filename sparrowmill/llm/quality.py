@@ -26,6 +26,8 @@ from .textkit import arrow_rows, batches, pack, words
 FIT_ROWS = 8192
 FEATURES = 1 << 16
 THRESHOLD = 0.5
+MOST_FALSE = 0.003
+LEAST_MISSED = 0.4
 _BATCH_BYTES = 1 << 20
 _FUNCTION_WORDS = "the of and to a in is it that for was on with as be at by from or are this de la le les et des en un une du est que el los las y del se der die das und ist von mit den nicht ein eine zu dem il di che".split()
 _END, _ALNUM, _DIGIT, _UPPER, _HIGH = 0, 1, 2, 3, 4
@@ -93,7 +95,7 @@ LABELLERS = (
     ("top", 25, -1.0, -1.0, 0.14, 0.25),
     ("echo", 15, -1.0, -1.0, 0.04, 0.12),
     ("length", 15, 2.2, 3.0, 8.0, 11.0),
-    ("function", 25, 0.015, 0.06, 1.0, 2.0),
+    ("function", 40, 0.015, 0.06, 1.0, 2.0),
     ("digits", 8, -1.0, -1.0, 0.08, 0.3),
     ("ends", 40, 0.004, 0.015, 0.5, 0.8),
     ("upper", 8, -1.0, -1.0, 0.15, 0.4),
@@ -114,16 +116,23 @@ def votes(found: np.ndarray) -> np.ndarray:
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM: share of good texts and chances[class, labeller, vote] (class 0 good, 1 bad). Starts from the majority."""
+    """EM: share of good texts and chances[class, labeller, vote] (class 0 good, 1 bad).
+
+    A labeller looks for one fault, so its vote for bad tells much and the lack of its fault little: the chance of
+    finding a fault in a good text is held at MOST_FALSE or below, that of finding none in a bad one at LEAST_MISSED
+    or above. Else kinds of bad texts with a fault of their own
+    would settle among the good ones.
+    """
     if not len(patterns):
         return 0.9, np.full((2, len(LABELLERS), 3), 1 / 3)
-    good = (patterns == 1).sum(1) + 1.0
-    bad = (patterns == 2).sum(1) * 2.0 + 0.2
-    p = good / (good + bad)
+    p = np.array([0.95, 0.3, 0.05])[np.minimum((patterns == 2).sum(1), 2)]
     for _ in range(rounds):
         share = (counts @ p + 1) / (counts.sum() + 2)
         chances = np.stack([[[((patterns[:, c] == v) * counts) @ q + 0.5 for v in range(3)] for c in range(patterns.shape[1])] for q in (p, 1 - p)])
         chances /= chances.sum(2, keepdims=True)
+        chances[0, :, 2] = np.minimum(chances[0, :, 2], MOST_FALSE)
+        chances[1, :, 2] = np.maximum(chances[1, :, 2], 4 * MOST_FALSE)
+        chances[:, :, 1] = np.maximum(1 - chances[:, :, 0] - chances[:, :, 2], [[1e-6], [LEAST_MISSED]])
         p = posterior(patterns, share, chances)
     return float(share), chances
 
@@ -151,7 +160,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     value = np.sqrt(count) * 0.1
     norm = np.sqrt(np.bincount(keys // FEATURES, value**2, n))
     value = value / np.maximum(norm[keys // FEATURES], 1e-9)
-    bins = [np.searchsorted(_EDGES[s], found[:, c]) for c, s in enumerate(SIGNALS)]
+    least = {name: n for name, n, *_ in LABELLERS}
+    bins = [np.where((found[:, 0] >= least.get(s, 15)) | (s == "n_words"), np.searchsorted(_EDGES[s], found[:, c]), 8) for c, s in enumerate(SIGNALS)]
     places = words(*pack([f"{s}\x01{b}".encode() for s in SIGNALS for b in range(9)]))[1] >> np.uint64(48)
     extra = np.concatenate([places[c * 9 + b].astype(np.int64) for c, b in enumerate(bins)])
     rows = np.tile(np.arange(n), len(SIGNALS))

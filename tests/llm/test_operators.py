@@ -292,17 +292,19 @@ def test_quality_on_labels(spark):
     assert docs.columns == quality.keep_good(docs).columns
 
 
-def test_em_finds_accuracies():
+def test_em_finds_fault_rates():
     rng = np.random.default_rng(2)
     good = rng.random(20_000) < 0.8
-    accuracy = np.linspace(0.7, 0.95, len(quality.LABELLERS))
-    right = rng.random((len(good), len(accuracy))) < accuracy
-    votes = np.where(right == good[:, None], 1, 2).astype(np.int8)
-    votes[rng.random(votes.shape) < 0.3] = 0
+    rate = np.linspace(0.2, 0.55, len(quality.LABELLERS))
+    fault = np.where(good[:, None], rng.random((len(good), len(rate))) < 0.002, rng.random((len(good), len(rate))) < rate)
+    votes = np.where(fault, 2, 1).astype(np.int8)
+    votes[rng.random(votes.shape) < 0.1] = 0
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     share, chances = quality.fit_labellers(patterns, counts.astype(float))
-    assert abs(share - 0.8) < 0.02
-    assert np.abs(chances[0, :, 1] / chances[0, :, 1:].sum(1) - accuracy).max() < 0.03
+    assert abs(share - 0.8) < 0.03
+    assert np.abs(chances[1, :, 2] / chances[1, :, 1:].sum(1) - rate).max() < 0.05
+    p = quality.posterior(votes, share, chances)
+    assert ((p >= 0.5) == good).mean() > 0.97
 
 
 def test_quality_edges(spark):
