@@ -666,9 +666,9 @@ def _(v):
     return train.select("line_id", F.lit("train").alias("part")).union(val.select("line_id", F.lit("val").alias("part")))
 
 
-@query("spl_downsample_neg", "SELECT i_doc_id, y_quality FROM abt WHERE y_quality > 0 UNION ALL SELECT i_doc_id, y_quality FROM (SELECT * FROM abt WHERE y_quality = 0 ORDER BY md5(i_doc_id || '|42'), i_doc_id LIMIT 20)")
+@query("spl_downsample_neg", "SELECT i_doc_id, y_quality FROM abt WHERE y_quality > 0 UNION ALL SELECT i_doc_id, y_quality FROM (SELECT * FROM abt WHERE y_quality = 0 ORDER BY md5(i_doc_id || '|42'), i_doc_id LIMIT 8)")
 def _(v):
-    return sampling.downsample_negatives(v.abt, ["i_doc_id"], 20, "y_quality").select("i_doc_id", "y_quality")
+    return sampling.downsample_negatives(v.abt, ["i_doc_id"], 8, "y_quality").select("i_doc_id", "y_quality")
 
 
 @query("smp_frac_rows", "SELECT line_id FROM tx WHERE CAST('0x' || substr(md5(line_id || '|42'), 1, 8) AS BIGINT) < 0.1 * 4294967296")

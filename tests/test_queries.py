@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparrowmill import catalog
@@ -23,7 +24,7 @@ def engine():
 
 def plain(frame):
     def one(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return ""
         return f"{float(x) + 0.0:.6g}" if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iufb" else str(x)
 
