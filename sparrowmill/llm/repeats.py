@@ -42,7 +42,7 @@ from .textkit import U, arrow_rows, batches, mix
 WINDOW, GRAM = 50, 24
 SIDE = WINDOW - GRAM  # bytes to the left of an anchor that a window can hold
 CONTEXT = SIDE + WINDOW
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 _STEP = 1 << 18
 _BITS = np.arange(SIDE + 1)
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.mapInArrow(gather, "chunk long, n long, blob binary").write.format("parquet").option("compression", "none").bucketBy(n, "chunk").saveAsTable(table)
     chunks = spark.table(table)
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    owners = int(min(65_535, max(n, total // (12 << 20))))
+    owners = int(min(65_535, max(n, total // (3 << 20))))
 
     def ask(record_batches):
         for number, blob in arrow_rows(record_batches, "chunk", "blob"):
