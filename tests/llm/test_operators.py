@@ -328,7 +328,7 @@ def test_topk_against_brute_force(spark):
     near = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     vectors = [(i, [x + rng.gauss(0, 0.05) for x in near[i % 5]]) for i in range(300)] + [(300 + i, near[0]) for i in range(60)]
     vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (None, near[0]), (403, [1.0, 2.0]), (404, [float("inf")] * 6), (420, [])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, id int, q int" if False else "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     stored = [(r.vec_id, r.embedding) for r in df.collect()]
     for options in ({}, {"pivots": 7, "group_queries": 3, "shard_rows": 50}):
         got = topk.top_k(df, F.col("vec_id") % 20 == 0, **options)
