@@ -169,3 +169,15 @@ def test_series(spark):
     cv = series.cross_validate(df, 2, 3, 1, lambda d: series.naive(d, 2), ["Naive"])
     assert cv.count() == 2 * 2 * 3
     assert metrics.cv_errors(cv, ["Naive"]).count() == 3
+
+
+def test_stateless_stream(spark, tmp_path):
+    from sparrowmill.streaming.stateless import run_stateless
+
+    tables_of = spark.createDataFrame([(n, "purchase" if n % 2 else "view") for n in range(6)], "event_id long, event_type string")
+    tables_of.write.parquet(str(tmp_path / "in"))
+    flagged = lambda df: df.select("event_id", frames.flag(F.col("event_type") == "purchase").alias("bought"))
+    run_stateless(spark, str(tmp_path / "in"), tables_of.schema, flagged, str(tmp_path / "out"), str(tmp_path / "state"))
+    tables_of.limit(2).write.mode("append").parquet(str(tmp_path / "in"))
+    run_stateless(spark, str(tmp_path / "in"), tables_of.schema, flagged, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
