@@ -248,8 +248,10 @@ def resolve(found: DataFrame, key: list[str]) -> DataFrame:
 def _gated(docs: DataFrame, id_col: str, text_col: str, table: list[dict]) -> DataFrame:
     """id, hash and word string of the texts in which some rule's keyword stands."""
     text = nonnull_text(text_col)
-    low = F.lower(text)  # beyond ASCII it may only let more texts through
-    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in sorted({r["keyword"] for r in table})])
+    keywords = {r["keyword"] for r in table}
+    stems = sorted(k for k in keywords if not any(o != k and o in k for o in keywords))
+    # One lower-cased copy a text; beyond ASCII it may only let more texts through.
+    some = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in stems]))
     return docs.where(some).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), words_of(text_col).alias("words"))
 
 
