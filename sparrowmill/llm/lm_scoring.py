@@ -1,12 +1,14 @@
 """LM scoring by cross-entropy difference.
 
-Two word bigram models, of a target corpus and of the whole collection, share one vocabulary (the most frequent words
-of the collection; everything else is one unknown word), one order and one smoothing. Every token gets the loss of
-each model, -ln P(word | previous word); a document's score is the mean of the differences target - background, so low
-scores are target-like. Words are runs of letters, digits and non-ASCII characters, ASCII in lower case.
+Two word bigram models, of a target corpus and of the whole collection, share one vocabulary (every word of the
+collection, or with `size` the most frequent ones and one unknown word), one order and one smoothing. Every token gets
+the loss of each model, -ln P(word | previous word); a document's score is the mean of the differences target -
+background, so low scores are target-like. Words are runs of letters, digits and non-ASCII characters, ASCII in lower case.
 
-All counts are taken over all documents. The vocabulary has a fixed size V, so the models are two V x V tables of fixed
-size: the only thing that is broadcast.
+All counts are taken over all documents and the models grow with them, so no table goes through the driver. Documents are
+dealt to chunks by id. A chunk sends its distinct bigrams and words, sorted by their 64-bit hashes, to the buckets of
+hash ranges; a bucket adds up what all chunks sent and answers each in the order it asked; the chunk, counted again, scores
+its documents from the answers. A frequent bigram is sent once a chunk however often it occurs.
 
 P(w | h) = (c(h, w) + mu * P(w)) / (c(h) + mu),  P(w) = (c(w) + 1) / (N + V).
 
@@ -17,6 +19,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -24,11 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import nonnull_text
+from .common import materialise, nonnull_text
+from .textkit import U, mix, pack
+from .textkit import batches as batched
+from .textkit import words as hashed
 
-VOCABULARY = 1536
 MU = 50.0
+_CHUNK_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
+_START, _UNKNOWN = U(0), U(1)  # hashes of no word
+_ODD = U(0x9E3779B97F4A7C15)
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_COUNTS = ("pairs_n", "pairs_t", "words_n", "words_t", "before_n", "before_t")
 
 
 def tokens(text: str) -> list[bytes]:
@@ -51,40 +61,13 @@ def _counted(batches):
     yield flush()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The size - 1 most frequent words (ties by the word); id 0 is for all others."""
+def vocabulary(docs: DataFrame, text_col: str, size: int) -> list[bytes]:
+    """The size - 1 most frequent words (ties by the word); all others are one unknown word."""
     rows = docs.select(nonnull_text(text_col).alias("text"))
     counts = rows.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size - 1).collect()]
 
 
-def _ids(text: str, index: dict[bytes, int]) -> np.ndarray:
-    found = tokens(text)
-    return np.fromiter((index.get(w, 0) for w in found), np.int64, len(found))
-
-
-def bigrams(marked: DataFrame, words: list[bytes]) -> DataFrame:
-    """pair (previous * (V + 1) + word; V is the start of a text), n of all rows, n_target of target rows."""
-    size = len(words) + 1
-    shared = marked.sparkSession.sparkContext.broadcast({w: n + 1 for n, w in enumerate(words)})
-
-    def run(batches):
-        index = shared.value
-        both = np.zeros((2, (size + 1) ** 2), np.int64)
-        for b in batches:
-            for text, target in zip(b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
-                ids = _ids(text, index)
-                if len(ids):
-                    pairs = np.concatenate([[size], ids[:-1]]) * (size + 1) + ids
-                    np.add.at(both[0], pairs, 1)
-                    if target:
-                        np.add.at(both[1], pairs, 1)
-        at = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(both[0][at]), pa.array(both[1][at])], ["pair", "n", "n_target"])
-
-    return marked.mapInArrow(run, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
 def losses(counts: np.ndarray, mu: float = MU) -> np.ndarray:
     """-ln P(w | h) of a (V + 1) x V table of counts."""
     v = counts.shape[1]
@@ -96,46 +79,135 @@ def losses(counts: np.ndarray, mu: float = MU) -> np.ndarray:
     return np.negative(out, out=out)
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = VOCABULARY, mu: float = MU) -> DataFrame:
-    """id, n_tokens, target_loss, background_loss, score for every row of docs; targets: one column of ids."""
-    spark = docs.sparkSession
-    words = vocabulary(docs, text_col, size)
-    v = len(words) + 1
+def _put(a: np.ndarray) -> bytes:
+    """Numbers from 0 as byte planes, without the planes that are all 0."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _got(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+class _Chunk:
+    """The distinct words and bigrams of texts, sorted by hash, and where each token finds its own."""
+
+    def __init__(self, texts: list[str], kept: np.ndarray | None):
+        owners, hashes, first = [], [], 0
+        for held in batched([t.encode("utf-8").translate(_CLEAN) for t in texts], len, _BATCH_BYTES):
+            owner, h, _ = hashed(*pack(held))
+            owners.append(owner + first)
+            hashes.append(h)
+            first += len(held)
+        self.owner = np.concatenate([np.zeros(0, np.int64), *owners])
+        h = np.concatenate([np.zeros(0, U), *hashes])
+        if kept is not None:
+            h = np.where(np.isin(h, kept), h, _UNKNOWN)
+        before = np.concatenate([[_START], h[:-1]])[: len(h)]
+        before[np.flatnonzero(np.diff(self.owner, prepend=-1))] = _START
+        self.words, place = np.unique(np.append(h, _START), return_inverse=True)
+        self.word, self.before = place[:-1], np.searchsorted(self.words, before)
+        self.pairs, at, self.pair = np.unique(mix(mix(before + _ODD) + h * _ODD), return_index=True, return_inverse=True)
+        self.pair_word, self.pair_before = self.word[at], self.before[at]
+
+    def counts(self, target: np.ndarray) -> dict[str, np.ndarray]:
+        of_target = target[self.owner]
+        out = {}
+        for name, place, n in (("pairs", self.pair, len(self.pairs)), ("words", self.word, len(self.words)), ("before", self.before, len(self.words))):
+            out[f"{name}_n"] = np.bincount(place, minlength=n)
+            out[f"{name}_t"] = np.bincount(place[of_target], minlength=n)
+        return out
+
+    def slices(self, buckets: int) -> list[tuple[slice, slice]]:
+        """Of each bucket: its pairs and its words."""
+        edges = []
+        for h in (self.pairs, self.words):
+            bucket = (h >> U(32)) * U(buckets) >> U(32)
+            edges.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=U)))
+        return [(slice(*edges[0][b : b + 2]), slice(*edges[1][b : b + 2])) for b in range(buckets)]
+
+
+def _asked(buckets: int, kept):
+    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in _ASKED})
+        hit = set(ids.column("id").to_pylist())
+        c = _Chunk(docs.column("text").to_pylist(), kept and kept.value)
+        counts = c.counts(np.array([i in hit for i in docs.column("id").to_pylist()], bool))
+        rows = []
+        for b, (p, w) in enumerate(c.slices(buckets)):
+            rows.append((docs.column("chunk")[0].as_py(), b, _put(np.diff(c.pairs[p], prepend=U(0))), _put(np.diff(c.words[w], prepend=U(0))), *[_put(counts[k][p if k[0] == "p" else w]) for k in _COUNTS]))
+        return pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)], [k for k, _ in _ASKED])
+
+    return run
+
+
+_ASKED = [("chunk", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary()), ("words", pa.binary()), *[(k, pa.binary()) for k in _COUNTS]]
+_ANSWERED = "chunk int, bucket int, " + ", ".join(f"{k} binary" for k in _COUNTS) + ", distinct long, n long, n_target long"
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """The sums of a bucket for each chunk that asked; its own totals stand in one row."""
+    columns: dict[str, list] = {"chunk": asked.column("chunk").to_pylist(), "bucket": asked.column("bucket").to_pylist()}
+    totals = [0, 0, 0]
+    for key, names in (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:])):
+        hashes = [np.cumsum(_got(b), dtype=U) for b in asked.column(key).to_pylist()]
+        ends = np.cumsum([len(h) for h in hashes])
+        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        for name in names:
+            sums = np.bincount(place, np.concatenate([_got(b) for b in asked.column(name).to_pylist()]), len(distinct)).astype(np.int64)
+            columns[name] = [_put(x) for x in np.split(sums[place], ends[:-1])]
+            if name == "words_n":
+                totals[0], totals[1] = int((sums > 0).sum()), int(sums.sum())
+            elif name == "words_t":
+                totals[2] = int(sums.sum())
+    for name, total in zip(("distinct", "n", "n_target"), totals, strict=True):
+        columns[name] = [total] + [0] * (asked.num_rows - 1)
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(_COUNTS), *[pa.int64()] * 3]
+    return pa.table([pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)], list(columns))
+
+
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int | None = None, mu: float = MU) -> DataFrame:
+    """id, n_tokens, target_loss, background_loss, score for every row of docs; targets: one column of ids.
+
+    size: only so many words, the unknown one included; None: all words.
+    """
     rows = docs.select(F.col(id_col).alias("id"), nonnull_text(text_col).alias("text"))
-    ids = targets.select(F.col(targets.columns[0]).alias("id")).where("id is not null").distinct().withColumn("hit", F.lit(True))
-    marked = rows.join(ids.hint("merge"), "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
-    made = bigrams(marked, words).select(F.col("pair").cast("int").alias("pair"), "n", "n_target").toArrow()  # at most (V + 1) * V rows
-    pair = made.column("pair").to_numpy()
-
-    def model(name: str) -> np.ndarray:
-        counts = np.zeros((v + 1) ** 2)
-        counts[pair] = made.column(name).to_numpy()
-        return losses(counts.reshape(v + 1, v + 1)[:, :v], mu).astype(np.float32)
-
-    background, target = model("n"), model("n_target")
-    del made, pair
-    shared = spark.sparkContext.broadcast(({w: n + 1 for n, w in enumerate(words)}, target, background))
-
-    def run(batches):
-        index, of_target, of_background = shared.value
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                found = _ids(text, index)
-                if not len(found):
-                    out.append((0, None, None, None))
-                    continue
-                before = np.concatenate([[v], found[:-1]])
-                t, g = of_target[before, found].astype(np.float64), of_background[before, found].astype(np.float64)
-                out.append((len(found), float(t.mean()), float(g.mean()), float((t - g).mean())))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[1:]]], ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType
+    chunks = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / _CHUNK_BYTES))
+    buckets = (chunks + 1) // 2
+    kept = None
+    if size is not None:
+        words = vocabulary(docs, text_col, size)
+        kept = docs.sparkSession.sparkContext.broadcast(hashed(*pack(words))[1])
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
+    dealt = rows.select(deal(F.coalesce(F.col("id").cast("string"), F.col("text"))), "id", "text").groupBy("chunk")
+    ids = targets.select(F.col(targets.columns[0]).cast(kind).alias("id")).where("id is not null").distinct()
+    asked = dealt.cogroup(ids.select(deal(F.col("id").cast("string")), "id").groupBy("chunk")).applyInArrow(_asked(buckets, kept), "chunk int, bucket int, pairs binary, words binary, " + ", ".join(f"{k} binary" for k in _COUNTS))
+    answers = materialise(asked.groupBy("bucket").applyInArrow(_answered, _ANSWERED), "answers")
+    totals = answers.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("distinct", "n", "n_target")]).first()
+    v = totals.distinct + 1 if size is None else len(words) + 1
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        c = _Chunk(docs.column("text").to_pylist(), kept and kept.value)
+        answers = answers.sort_by("bucket")
+        got = {k: np.concatenate([np.zeros(0, U), *[_got(b) for b in answers.column(k).to_pylist()]]).astype(np.float64) for k in _COUNTS}
+        n = np.bincount(c.owner, minlength=docs.num_rows)
+        means = []
+        for k, total in (("t", totals.n_target), ("n", totals.n)):
+            p_w = (got[f"words_{k}"][c.pair_word] + 1.0) / (total + v)
+            loss = -np.log((got[f"pairs_{k}"] + mu * p_w) / (got[f"before_{k}"][c.pair_before] + mu))
+            means.append(np.bincount(c.owner, loss[c.pair], docs.num_rows) / np.maximum(n, 1))
+        t, g = means
+        return pa.table([docs.column("id"), pa.array(n, pa.int64()), *[pa.array(x, pa.float64(), mask=n == 0) for x in (t, g, t - g)]], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    schema = f"id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
+    return dealt.cogroup(answers.select("chunk", "bucket", *_COUNTS).groupBy("chunk")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids that every label calls good and none toxic."""
     return labels.groupBy(id_col).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select(id_col)
-

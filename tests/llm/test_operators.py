@@ -283,6 +283,24 @@ def test_lm_edges(spark):
     assert lm_scoring.score(awkward(spark), none).count() == 5 and lm_scoring.score(awkward(spark).limit(0), none).count() == 0
 
 
+def test_lm_models_hold_every_word(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(200)]
+    texts += ["rare once again", "rare twice again", None]
+    got = {r.doc_id: r for r in lm_scoring.score(docs_of(spark, texts), spark.createDataFrame([(200,)], "doc_id long")).collect()}
+    split = [lm_scoring.tokens(t or "") for t in texts]
+    v, loss = len({w for s in split for w in s}) + 1, {}
+    for name, use in (("background_loss", split), ("target_loss", split[200:201])):
+        word, before, pair = Counter(w for s in use for w in s), Counter(h for s in use for h in [None, *s[:-1]] if s), Counter(p for s in use for p in zip([None, *s[:-1]], s))
+        total = sum(word.values())
+        loss[name] = lambda h, w, word=word, before=before, pair=pair, total=total: -math.log((pair[h, w] + 50 * (word[w] + 1) / (total + v)) / (before[h] + 50))
+    for n, s in enumerate(split):
+        for name, f in loss.items():
+            want = np.mean([f(h, w) for h, w in zip([None, *s[:-1]], s)]) if s else None
+            assert getattr(got[n], name) == (want if want is None else pytest.approx(want))
+    assert got[200].score < got[201].score  # differs in words beyond the most frequent 1536
+
+
 def test_quality_on_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
