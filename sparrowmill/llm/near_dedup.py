@@ -9,10 +9,12 @@ with the probability of their weighted Jaccard similarity.
 
 Equal word sequences collapse first: a node stands for one. Bands of the signature deal nodes into buckets. In a bucket
 nobody is paired with everybody: the members meet a centre, the member whose bands are the most crowded, as the
-original among its edited copies is. Pairs are then verified exactly on their shingles. Members that failed meet
-further centres among them, four times as many each round, unless links of other buckets already put all of them in one
-class, until each has met all centres of its bucket. Verified links give classes by hooking and shortcutting of labels, in
-tables.
+original among its edited copies is. Pairs are then verified exactly on their shingles, and verified links give classes by
+hooking and shortcutting of labels, in tables. A centre that has met its bucket leaves it. In buckets whose other members
+are of several classes, members outside the largest class are the next centres, four times as many each round, and meet
+everybody of another class, linked or not, until one class is left. So each pair of a bucket is verified, or in one
+class already, or ruled out: 1 - similarity is a metric, so members that differ in their similarity to the first centre
+by more than 1 - the threshold are no link.
 
 Cases: null texts count as empty; equal texts, also empty ones, share a class. A text of fewer than five words is one
 shingle. A row with a null id is in the class of its equal texts, if any has an id, else its class id is null. Repeated
@@ -173,33 +175,46 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, n: int
     ids = members.select("node").distinct().join(reps.select("node", "id"), "node").select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), nonnull_text(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     sets = materialise(_sets(texts, n).dropDuplicates(["node"]), "sets")
-    links, centres, met = None, 1, None
-    while True:
-        if centres == 1:
-            chosen = members.groupBy("band", "value").agg(F.max("rank").alias("top")).select("band", "value", F.col("top.node").alias("centre"))
-        else:
-            order = W.partitionBy("band", "value").orderBy(F.desc("rank"))
-            chosen = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select("band", "value", F.col("node").alias("centre"))
-        meets = members.select("band", "value", "node").join(chosen, ["band", "value"]).where("node != centre")
-        pairs = meets.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"), F.col("weights").alias(f"w{c}"))
+    ends = (F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    bucket = W.partitionBy("band", "value")
+
+    def verified(meets, met=None):
+        pairs = meets.select(*ends).distinct()
         pairs = pairs if met is None else pairs.join(met, ["a", "b"], "left_anti")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"), F.col("weights").alias(f"w{c}"))
         scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.pandas_udf(weighted_jaccard, "double")("ea", "wa", "eb", "wb").alias("similarity"))
-        scored = materialise(scored, "scored")
-        met = scored.select("a", "b") if met is None else met.union(scored.select("a", "b"))
-        good = scored.where(F.col("similarity") >= similarity).select("a", "b")
-        links = good if links is None else links.union(good)
-        done = meets.select("band", "value", "node", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(links, ["a", "b"], "left_semi").select("band", "value", "node")
-        done = done.union(chosen.select("band", "value", F.col("centre").alias("node"))).distinct()
-        left = members.join(done, ["band", "value", "node"], "left_anti")
-        if centres == 1:  # links of other buckets have joined most that failed here, as the copies of one original
-            roots = components(reps.select("node"), materialise(links, "verified"))
-            left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        still = left.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "value")
-        members = materialise(left.join(still, ["band", "value"], "left_semi"), "members")
-        if not members.limit(1).count():
-            return roots if centres == 1 else components(reps.select("node"), materialise(links, "verified"))
+        return materialise(scored, "scored")
+
+    def divided(members):
+        return members.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high").drop("low", "high")
+
+    first = members.groupBy("band", "value").agg(F.max("rank").alias("top")).select("band", "value", F.col("top.node").alias("centre"))
+    meets = members.join(first, ["band", "value"]).where("node != centre")
+    scored = verified(meets)
+    linked = components(reps.select("node"), materialise(scored.where(F.col("similarity") >= similarity).select("a", "b"), "verified"))
+    roots = materialise(members.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    # links of other buckets have joined most that failed here, as the copies of one original
+    left = divided(meets.join(roots, "node")).select("band", "value", "node", "rank", *ends)
+    members = materialise(left.join(scored, ["a", "b"]).select("band", "value", "node", "rank", F.col("similarity").alias("near")), "members")
+    met, centres = scored.select("a", "b"), 4
+    while members.limit(1).count():
+        classed = members.join(roots, "node").withColumn("n", F.count("*").over(W.partitionBy("band", "value", "root")))
+        minor = classed.withColumn("largest", F.max(F.struct("n", "root")).over(bucket)).where("root != largest.root")
+        chosen = minor.withColumn("place", F.row_number().over(bucket.orderBy(F.desc("rank")))).where(F.col("place") <= centres)
+        chosen = materialise(chosen.select("band", "value", F.col("node").alias("centre"), F.col("root").alias("centre_root"), F.col("near").alias("centre_near")), "chosen")
+        meets = members.join(roots, "node").join(chosen, ["band", "value"]).where((F.col("root") != F.col("centre_root")) & (F.abs(F.col("near") - F.col("centre_near")) <= 1 - similarity + 1e-9))
+        scored = verified(meets, met)
+        met = met.union(scored.select("a", "b"))
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        good = scored.where(F.col("similarity") >= similarity).join(root_of("a"), "a").join(root_of("b"), "b")
+        good = materialise(good.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "verified")
+        if good.limit(1).count():
+            joined = components(roots.select("node"), good).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+            roots = materialise(roots.join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("root")), "roots")
+        left = members.join(chosen.select("band", "value", F.col("centre").alias("node")), ["band", "value", "node"], "left_anti")
+        members = materialise(divided(left.join(roots, "node")).drop("root"), "members")
         centres *= 4
+    return roots
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

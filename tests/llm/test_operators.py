@@ -209,6 +209,17 @@ def test_near_against_brute_force(spark, texts):
     assert near_dedup.keep_one(docs_of(spark, every)).count() == len({c for _, c in brute_near(every)})
 
 
+def test_near_links_through_a_member_of_the_centre(spark):
+    every = []
+    for k in range(30):  # A ~ B ~ C, C unlike A; A and its like come first and are the centre
+        b = [f"w{k}x{n}" for n in range(50)]
+        c = [w if n != 25 else "other" for n, w in enumerate(b)]
+        every += [" ".join(x) for x in ([*b, "one"], [*b, "two"], b, c)]
+    want = brute_near(every)
+    assert all(i // 4 * 4 == c for i, c in want)
+    assert rows(near_dedup.near_classes(docs_of(spark, every)).select("doc_id", "class_id")) == sorted(want, key=repr)
+
+
 def test_near_finds_all_planted_links(spark):
     import pandas as pd
 
