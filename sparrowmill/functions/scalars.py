@@ -82,9 +82,9 @@ def euclidean(a, b) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
 
 
-def prompt(text, instruction: str, max_tokens: int) -> Column:
-    """Instruction and the first max_tokens words of the text."""
-    return F.concat(F.lit(instruction), F.array_join(F.slice(F.split(_c(text), " "), 1, max_tokens), " "))
+def prompt(text, instruction: str) -> Column:
+    """Instruction and the whole text."""
+    return F.concat(F.lit(instruction), _c(text))
 
 
 def hash_key(*parts, seed: int) -> Column:

@@ -125,21 +125,22 @@ def text_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64) -> D
     return Pipeline(stages=stages).fit(data).transform(data).select(id_col, vector_to_array("_v", "float32").alias("embedding"))
 
 
-def echo(prompts: pd.Series) -> pd.Series:
+def echo(prompts: pd.Series, max_tokens: int) -> pd.Series:
     """The default completer, which needs no service: the prompt's first words."""
-    return prompts.str.split(" ").str[:8].str.join(" ")
+    return prompts.str.split(" ").str[: min(8, max_tokens)].str.join(" ")
 
 
 INSTRUCTIONS = {"explain": ("Explain the following text:\n", 64), "summarize": ("Summarize the following text:\n", 256)}
 
 
-def complete_batch(df: DataFrame, id_col: str, text_col: str, mode: str, completer: Callable[[pd.Series], pd.Series] = echo) -> DataFrame:
-    """id, prompt, completion: one prompt a text, completed a batch at a time by a function from prompts to completions."""
+def complete_batch(df: DataFrame, id_col: str, text_col: str, mode: str, completer: Callable[[pd.Series, int], pd.Series] = echo) -> DataFrame:
+    """id, prompt, completion: one prompt a text, completed a batch at a time by a function of the prompts and of the most tokens
+    that an answer may have."""
     instruction, limit = INSTRUCTIONS[mode]
-    prompts = df.select(F.col(id_col).cast("string").alias("id"), prompt(text_col, instruction, limit).alias("prompt"))
+    prompts = df.select(F.col(id_col).cast("string").alias("id"), prompt(text_col, instruction).alias("prompt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(completion=completer(b["prompt"]))
+            yield b.assign(completion=completer(b["prompt"], limit))
 
     return prompts.mapInPandas(run, "id string, prompt string, completion string")

@@ -165,12 +165,12 @@ def _(v):
 
 @query("emb_text")
 def _(v):
-    return models.text_vectors(v.benchmark, "item_id", "text")
+    return models.text_vectors(v.documents, "doc_id", "text")
 
 
 @query("llm_batch")
 def _(v):
-    return models.complete_batch(v.benchmark, "item_id", "text", "summarize")
+    return models.complete_batch(v.documents, "doc_id", "text", "summarize")
 
 
 @query("met_auc", "WITH r AS (SELECT y_quality, avg(rn) OVER (PARTITION BY score) AS r FROM (SELECT *, row_number() OVER (ORDER BY score) AS rn FROM abt)) SELECT round((sum(CASE WHEN y_quality = 1 THEN r ELSE 0 END) - sum(y_quality) * (sum(y_quality) + 1) / 2.0) / CAST(sum(y_quality) * (count(*) - sum(y_quality)) AS DOUBLE), 6) AS auc FROM r")

@@ -639,7 +639,7 @@ def _(v):
 
 @query("fn_prompt", "SELECT item_id, 'Explain: ' || array_to_string(string_split(text, ' ')[1:8], ' ') AS prompt FROM benchmark")
 def _(v):
-    return v.benchmark.select("item_id", fn.prompt("text", "Explain: ", 8).alias("prompt"))
+    return v.benchmark.select("item_id", fn.prompt(F.array_join(F.slice(F.split("text", " "), 1, 8), " "), "Explain: ").alias("prompt"))
 
 
 # Splits and samples.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as fn
-from sparrowmill.operators import frames, graph, metrics, prep, recs, sampling, series, tables
+from sparrowmill.operators import frames, graph, metrics, models, prep, recs, sampling, series, tables
 
 
 def rows(df):
@@ -181,3 +181,11 @@ def test_stateless_stream(spark, tmp_path):
     tables_of.limit(2).write.mode("append").parquet(str(tmp_path / "in"))
     run_stateless(spark, str(tmp_path / "in"), tables_of.schema, flagged, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_prompts_hold_the_whole_text(spark):
+    text = " ".join(f"w{n}" for n in range(600))
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+    got = {r.id: r for r in models.complete_batch(df, "id", "text", "summarize", lambda p, most: p.str.len().astype(str) + f" {most}").collect()}
+    want = "Summarize the following text:\n" + text
+    assert got["1"].prompt == want and got["1"].completion == f"{len(want)} 256" and got["2"].prompt is None
