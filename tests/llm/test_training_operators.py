@@ -204,8 +204,9 @@ def test_near_against_brute_force(spark, texts):
             edited[at] = f"edit{k}"
         every.append(" ".join(edited))
     every.append(" ".join(original))
-    got = near_dedup.near_classes(docs_of(spark, every))
-    assert rows(got.select("doc_id", "class_id")) == sorted(brute_near(every), key=repr)
+    for options in ({}, {"block_bytes": 3000}):
+        got = near_dedup.near_classes(docs_of(spark, every), **options)
+        assert rows(got.select("doc_id", "class_id")) == sorted(brute_near(every), key=repr)
     assert near_dedup.keep_one(docs_of(spark, every)).count() == len({c for _, c in brute_near(every)})
 
 
@@ -220,6 +221,26 @@ def test_near_links_through_a_member_of_the_centre(spark):
     assert rows(near_dedup.near_classes(docs_of(spark, every)).select("doc_id", "class_id")) == sorted(want, key=repr)
 
 
+def test_near_links_between_crowded_classes(spark):
+    """Cut and edited copies: many fail against the original and link, or not, to its other copies."""
+    rng = random.Random(11)
+    original = [f"w{n}" for n in range(120)]
+    every = [" ".join(original)]
+    for k in range(120):
+        copy = original[: rng.randrange(85, 121)]
+        for at in rng.sample(range(len(copy)), rng.randrange(4)):
+            copy[at] = f"e{rng.randrange(40)}"
+        every.append(" ".join(copy))
+    want = brute_near(every)
+    for options in ({}, {"block_bytes": 20_000}):
+        assert rows(near_dedup.near_classes(docs_of(spark, every), **options).select("doc_id", "class_id")) == sorted(want, key=repr)
+
+
+def test_near_keeps_the_texts_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f g"), (5, "x y z w v u t"), (1, "x y z w v u t")], "doc_id long, text string")
+    assert rows(near_dedup.keep_one(docs)) == [(1, "x y z w v u t"), (5, "a b c d e f g")]
+
+
 def test_near_finds_all_planted_links(spark):
     import pandas as pd
 
