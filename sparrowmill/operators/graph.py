@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import concat_key, dot, epoch_seconds, hash_key
+from .ranks import dense_ids
 from .tables import order_index, prefixes, refine_times
 
 
@@ -33,16 +34,6 @@ def preprocess(*subsets: DataFrame | None) -> DataFrame:
     return both.select(F.col("customer_id").alias("user_id"), F.col("article_id").alias("item_id"), time.alias("time"))
 
 
-def dense_ids(df: DataFrame, column: str) -> DataFrame:
-    """column, idx: dense numbers from 0 in sorted order. Values are range-sorted, counted by partition, numbered inside it."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    placed = values.withColumn("part", F.spark_partition_id())
-    sizes = placed.groupBy("part").agg(F.min(column).alias("low"), F.count("*").alias("n"))
-    starts = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("part").orderBy(column)) - 1
-    return placed.withColumn("r", rank).join(starts.select("part", "base"), "part").select(column, (F.col("base") + F.col("r")).alias("idx"))
-
-
 def map_ids(tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """tx with dense ids, and the two mappings."""
     users, items = dense_ids(tx, "user_id"), dense_ids(tx, "item_id")
@@ -66,33 +57,63 @@ def _latest(df: DataFrame, by: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
+def _latest_until(asks: DataFrame, edges: DataFrame, by: str, other: str, k: int) -> DataFrame:
+    """asks (with `by` and until) joined to the k latest edges of `by` not after until.
+
+    Edges are numbered by time within `by` once; how many lie before `until` gives the last k numbers, which are found by
+    the cells of k numbers that they fall into, so an ask meets at most 2 k edges however many `by` has.
+    """
+    numbered = edges.withColumn("_pos", F.row_number().over(W.partitionBy(by).orderBy("time", other)) - 1).withColumn("_cell", F.floor(F.col("_pos") / k))
+    marks = asks.select(by, F.col("until").alias("_t"), F.lit(1).alias("_asks")).distinct()
+    line = edges.select(by, F.col("time").alias("_t"), F.lit(0).alias("_asks")).unionByName(marks)
+    upto = F.sum(1 - F.col("_asks")).over(W.partitionBy(by).orderBy("_t", "_asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+    reach = line.withColumn("_upto", upto).where("_asks = 1").select(by, F.col("_t").alias("until"), "_upto")
+    first = F.greatest(F.col("_upto") - k, F.lit(0))
+    asked = asks.join(reach, [by, "until"]).where("_upto > 0").withColumn("_first", first)
+    cells = asked.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / k), F.floor((F.col("_upto") - 1) / k))))
+    met = cells.join(numbered, [by, "_cell"]).where("_pos >= _first and _pos < _upto")
+    return met.drop("_cell", "_pos", "_first", "_upto")
+
+
 def khop(edges: DataFrame, roots: DataFrame, key: list[str], hops: int, item_max: int = 50, user_max: int = 50) -> DataFrame:
     """key, user_id, item_id, time: edges around each root (key columns, user_id, until): its latest items, then for each
     of hops - 1 rounds the latest users of the items met, at most user_max new ones by largest id, and their items.
 
-    Only edges up to the root's time count. Every step is capped by a ranked window before the next join.
+    Only edges up to the root's time count. Every step is capped before it joins, so popular items cost no more than others.
     """
     e = edges.select("user_id", "item_id", "time")
-    newest = [F.desc("time"), F.desc("item_id")]
     front = roots.select(*key, "user_id", "until")
     seen = front
-    walked = _latest(front.join(e, "user_id").where("time <= until"), [*key, "user_id"], item_max, *newest)
+    walked = _latest_until(front, e, "user_id", "item_id", item_max)
     found = [walked.select(*key, "user_id", "item_id", "time")]
     for _ in range(hops - 1):
         items = walked.select(*key, "until", "item_id").distinct()
-        users = _latest(items.join(e, "item_id").where("time <= until"), [*key, "item_id"], user_max, F.desc("time"), F.desc("user_id"))
+        users = _latest_until(items, e, "item_id", "user_id", user_max)
         new = users.select(*key, "user_id", "until").distinct().join(seen.select(*key, "user_id"), [*key, "user_id"], "left_anti")
         front = _latest(new, key, user_max, F.desc("user_id"))
         seen = seen.unionByName(front)
-        walked = _latest(front.join(e, "user_id").where("time <= until"), [*key, "user_id"], item_max, *newest)
+        walked = _latest_until(front, e, "user_id", "item_id", item_max)
         found.append(users.select(*key, "user_id", "item_id", "time"))
         found.append(walked.select(*key, "user_id", "item_id", "time"))
     return reduce(lambda a, b: a.union(b), found).distinct()
 
 
-def user_samples(edges: DataFrame, length: int = 50) -> DataFrame:
-    """user, sequence, target, n_items of every prefix of two or more items."""
-    return prefixes(edges, "user_id", "item_id", ["time", "item_id"], length)
+def user_samples(edges: DataFrame, length: int = 50, predict: bool = False) -> DataFrame:
+    """user, sequence, target, n_items of every prefix of two or more items; to predict: of all items, with target 0."""
+    if not predict:
+        return prefixes(edges, "user_id", "item_id", ["time", "item_id"], length)
+    last = _latest(edges, ["user_id"], length, F.desc("time"), F.desc("item_id"))
+    listed = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("time", "item_id"))).alias("_l"))
+    counts = edges.groupBy("user_id").agg(F.count("*").cast("int").alias("n_items"))
+    return listed.join(counts, "user_id").select("user_id", F.transform("_l", lambda s: s["item_id"]).alias("sequence"), F.lit(0).cast(edges.schema["item_id"].dataType).alias("target"), "n_items")
+
+
+def sample_graphs(edges: DataFrame, hops: int, item_max: int = 50, user_max: int = 50) -> DataFrame:
+    """root, n_items, user_id, item_id, time: the k-hop neighbourhood of every prefix that user_samples has, up to its last time."""
+    at = W.partitionBy("user_id").orderBy("time", "item_id")
+    steps = edges.select("user_id", "time", F.row_number().over(at).alias("n_items"), F.lead("item_id").over(at).alias("target"))
+    roots = steps.where("n_items >= 2 and target is not null").select(F.col("user_id").alias("root"), "n_items", "user_id", F.col("time").alias("until"))
+    return khop(edges, roots, ["root", "n_items"], hops, item_max, user_max)
 
 
 def split(edges: DataFrame, predict: bool, test: bool, val: bool) -> DataFrame:
@@ -111,7 +132,8 @@ def split(edges: DataFrame, predict: bool, test: bool, val: bool) -> DataFrame:
 
 
 def negatives(edges: DataFrame) -> DataFrame:
-    """user, item of all items that a user has not met: users x items, for callers that want them all."""
+    """user, item of all items that a user has not met: users x items rows by definition, so only for small catalogues;
+    sample_negatives draws a few for each user of a large one."""
     users, items = edges.select("user_id").distinct(), edges.select("item_id").distinct()
     return users.join(items).join(edges.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
@@ -135,14 +157,15 @@ def sample_negatives(edges: DataFrame, n: int = 100, seed: int = 42) -> DataFram
     return offered.withColumn("r", rank).where(F.col("r") <= n).select("user_id", "item_id")
 
 
-def attention_last(neighbours: DataFrame, key: str, vector: str, time: str) -> DataFrame:
-    """Softmax attention of the most recent neighbour over all: key, pooled vector."""
+def attention_last(neighbours: DataFrame, key: str, vector: str, time: str, width: int | None = None) -> DataFrame:
+    """Softmax attention of the most recent neighbour over all: key, pooled vector. width: of the vectors, if known."""
+    n = width or neighbours.agg(F.max(F.size(vector))).first()[0] or 0
     last = neighbours.groupBy(key).agg(F.max_by(vector, time).alias("last"))
     scored = neighbours.join(last, key).withColumn("s", dot("last", vector) / F.sqrt(F.size(vector).cast("double")))
     top = scored.groupBy(key).agg(F.max("s").alias("m"))
-    weighted = scored.join(top, key).select(key, F.exp(F.col("s") - F.col("m")).alias("w"), F.posexplode(vector).alias("pos", "x"))
-    pooled = weighted.groupBy(key, "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"))
-    return pooled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("l")).select(key, F.transform("l", lambda s: s["v"]).alias("pooled"))
+    weighted = scored.join(top, key).withColumn("w", F.exp(F.col("s") - F.col("m")))
+    sums = weighted.groupBy(key).agg(F.sum("w").alias("all"), *[F.sum(F.col("w") * F.get(vector, F.lit(i))).alias(f"_x{i}") for i in range(n)])
+    return sums.select(key, F.array(*[F.col(f"_x{i}") / F.col("all") for i in range(n)]).alias("pooled"))
 
 
 def unmap(predictions: DataFrame, users: DataFrame, items: DataFrame, column: str = "prediction") -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from .ranks import running
 from .sampling import quantile_edges
 
 
@@ -63,8 +63,7 @@ def cv_errors(cv: DataFrame, models: list[str]) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Rank sum over distinct scores: ties share their rank, and only distinct scores are sorted."""
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = by.select("pos", (F.col("n") - F.col("pos")).alias("neg"), below.alias("below"))
+    parts = running(by.withColumn("neg", F.col("n") - F.col("pos")), score, "neg", "below")
     return parts.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import hash_key, prompt
+from ..sources import io
+from .ranks import dense_ids, quantiles
 
 
 def _stages(numeric: list[str], categorical: list[str]) -> list:
@@ -53,6 +55,17 @@ def score(df: DataFrame, model, name: str = "probability") -> DataFrame:
     return out.select(*kept, vector_to_array("probability")[1].alias(name))
 
 
+def score_batched(df: DataFrame, model, key: str, path: str, batches: int, name: str = "probability") -> DataFrame:
+    """Scores, batch by batch: rows are dealt to batches by key, each is scored and written to a folder of its own below path,
+    and a run that starts again skips the batches that are complete."""
+    done = io.finished(df.sparkSession, path, "batch")
+    dealt = df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+    for n in range(batches):
+        if n not in done:
+            score(dealt.where(F.col("batch") == n).drop("batch"), model, name).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return df.sparkSession.read.parquet(path).drop("batch")
+
+
 def calibrate(df: DataFrame, score_col: str, label: str, method: str = "isotonic") -> Callable[[DataFrame], DataFrame]:
     """Fitted on held-out scores; the result adds the column calibrated."""
     data = df.select(F.col(score_col).alias("_x"), F.col(label).cast("double").alias("_y"))
@@ -81,14 +94,14 @@ def attributions(df: DataFrame, model, features: list[str], id_col: str, label:
     row's; each step's change of score belongs to the feature that joined. Background rows come from the sample by hash.
     """
     data = df.select(id_col, *features)
-    order = F.row_number().over(W.orderBy(hash_key(id_col, seed=seed)))
-    numbered = data.withColumn("_n", order)
-    total = data.count()
+    keyed = data.withColumn("_h", hash_key(id_col, seed=seed))
+    numbered = keyed.join(dense_ids(keyed, "_h").withColumnRenamed("idx", "_n"), "_h").drop("_h")
+    total = keyed.select("_h").distinct().count()
     rng = random.Random(seed)
     parts = []
     for p in range(n_permutations):
         order_p = rng.sample(features, len(features))
-        back = numbered.select((F.pmod(F.col("_n") + rng.randrange(max(1, total)), F.lit(total)) + 1).alias("_n"), *[F.col(f).alias(f"_b_{f}") for f in features])
+        back = numbered.select((F.pmod(F.col("_n") + rng.randrange(max(1, total)), F.lit(total))).alias("_n"), *[F.col(f).alias(f"_b_{f}") for f in features])
         both = numbered.join(back, "_n")
         for k in range(len(features) + 1):
             joined = set(order_p[:k])
@@ -104,7 +117,8 @@ def attributions(df: DataFrame, model, features: list[str], id_col: str, label:
 
 def partial_dependence(df: DataFrame, model, feature: str, points: int = 5) -> DataFrame:
     """feature, value, mean_score: the mean score with the feature set to each of a few of its quantiles."""
-    grid = df.agg(F.percentile(feature, F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("g")).select(F.explode(F.array_distinct("g")).alias("_v"))
+    values = sorted(set(quantiles(df, feature, [i / (points - 1) for i in range(points)])))
+    grid = df.sparkSession.createDataFrame([(x,) for x in values], "_v double")
     wide = df.drop(feature).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_v").cast(df.schema[feature].dataType))
     return score(wide, model).groupBy(F.col("_v").alias("value")).agg(F.avg("probability").alias("mean_score")).withColumn("feature", F.lit(feature))
 

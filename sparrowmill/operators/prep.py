@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import clean_names
+from .ranks import dense_ids
 
 UNKNOWN = "UNKNOWN"
 
@@ -29,14 +30,29 @@ def impute(df: DataFrame, fills: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
 
 
+MOST_CATEGORIES = 10_000
+
+
 def fit_categories(df: DataFrame, column: str, order_col: str | None = None) -> list:
-    """Values in order, or in the order in which order_col first shows them."""
+    """Values in order, or in the order in which order_col first shows them. More than MOST_CATEGORIES is an error: one-hot
+    and binary encodings make columns of them, and ordinal codes of many values come from fit_codes."""
     seen = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order_col or column).alias("_first")).orderBy("_first", column)
-    return [r[column] for r in seen.collect()]
+    values = [r[column] for r in seen.limit(MOST_CATEGORIES + 1).collect()]
+    if len(values) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} values")
+    return values
+
+
+def fit_codes(df: DataFrame, column: str) -> DataFrame:
+    """_value, _code: codes from 1 in sorted order as a table of any size."""
+    return dense_ids(df, column).select(F.col(column).alias("_value"), (F.col("idx") + 1).cast("int").alias("_code"))
 
 
-def ordinal(df: DataFrame, column: str, values: list) -> DataFrame:
-    """Codes from 1; a value not fitted is -1."""
+def ordinal(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
+    """Codes from 1; a value not fitted is -1. values: a list, or a table of fit_codes, which is joined."""
+    if isinstance(values, DataFrame):
+        coded = df.join(values, F.col(column) == F.col("_value"), "left")
+        return coded.withColumn(column, F.coalesce("_code", F.lit(-1)).cast("int")).drop("_value", "_code")
     code = F.lit(-1)
     if values:
         code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, v in enumerate(values) for x in (v, n + 1)]), F.col(column)), F.lit(-1))
@@ -55,7 +71,7 @@ def binary(df: DataFrame, column: str, values: list) -> DataFrame:
     return coded.withColumns({f"{column}_{k}": F.shiftright(code, width - 1 - k).bitwiseAND(F.lit(1)) for k in range(width)}).drop(column)
 
 
-def encode(df: DataFrame, fitted: dict[str, dict[str, list]]) -> DataFrame:
+def encode(df: DataFrame, fitted: dict[str, dict[str, list | DataFrame]]) -> DataFrame:
     """Binary, then one-hot, then ordinal encoders, then clean names."""
     for kind, apply in (("binary", binary), ("onehot", onehot), ("ordinal", ordinal)):
         for column, values in fitted.get(kind, {}).items():

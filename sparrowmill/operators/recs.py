@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +14,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import cosine, jaccard
 from .frames import fill_counts, newest
 from .sampling import quantile_bin
-from .tables import head_per_group, mean_vector, through_attribute
+from .tables import head_per_group, mean_vector, through_attribute, top_lists, width
 
 WINDOWS = (7, 30, None)
 TOP = (100, 50, 25)
@@ -46,7 +49,7 @@ def segment_popular(tx: DataFrame, customers: DataFrame, edges: list[float], age
         rank = F.row_number().over(W.partitionBy("bin").orderBy(F.desc(f"w{i}"), "article_id"))
         parts.append(counts.where(F.col(f"w{i}") > 0).withColumn("r", rank).where(F.col("r") <= k).select("bin", "article_id"))
     lists = reduce(lambda a, b: a.union(b), parts).distinct().groupBy("bin").agg(F.array_sort(F.collect_list("article_id")).alias("segment_articles"))
-    return binned.join(lists, "bin").select("customer_id", "segment_articles")
+    return binned.join(F.broadcast(lists), "bin").select("customer_id", "segment_articles")  # a list of bounded size for each bin
 
 
 def previously_bought(tx: DataFrame) -> DataFrame:
@@ -58,20 +61,49 @@ def same_product_name(tx: DataFrame, articles: DataFrame) -> DataFrame:
     return pairs.groupBy("customer_id").agg(F.array_sort(F.collect_list("article_id")).alias("previously_bought_prod_name"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "article_id", vector: str = "embedding", shards: int = 16) -> DataFrame:
+def _near_in_block(k: int):
+    def run(queries: pa.Table, data: pa.Table) -> pa.Table:
+        kinds = (queries.schema.field("query").type, data.schema.field("item").type, pa.float64())
+        if not queries.num_rows or not data.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], ["query", "item", "distance"])
+        data = data.sort_by("item")
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        q, d = matrix(queries), matrix(data)
+        q2, d2 = np.square(q).sum(1), np.square(d).sum(1)
+        most, found = min(k, len(d)), []
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            about = q2[part, None] + d2[None, :] - 2 * q[part] @ d.T
+            reach = np.partition(about, most - 1, axis=1)[:, most - 1] + 1e-9 * (q2[part] + d2.max())  # the product rounds; near ties are taken along
+            row, col = np.nonzero(about <= reach[:, None])
+            exact = np.sqrt(np.square(q[at + row] - d[col]).sum(1))
+            order = np.lexsort((col, exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((at + row[best], col[best], exact[best]))
+        row, col, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([queries.column("query").take(pa.array(row)), data.column("item").take(pa.array(col)), pa.array(exact)], ["query", "item", "distance"])
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "article_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """query, article, distance, rank: the k nearest by Euclidean distance, the query's own vector among them.
 
-    Both sides are cut into shards, every pair of shards is one exchange key, and the nearest of a pair of shards are
-    found before they are merged; nothing is broadcast.
+    Both sides are cut into blocks of about block_rows rows; the nearest of every pair of blocks come from one matrix
+    product and are merged. Vectors have one length; rows without a vector take no part. Ties go to the smaller id.
     """
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("qv"), shard(id_col).alias("a"), every.alias("b"))
-    d = vectors.select(F.col(id_col).alias("item"), F.col(vector).alias("dv"), shard(id_col).alias("b"), every.alias("a"))
-    both = q.join(d, ["a", "b"]).select("query", "item", "b", F.sqrt(F.aggregate(F.zip_with("qv", "dv", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)).alias("distance"))
-    best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("distance", "item"))
-    local = both.withColumn("rank", best("query", "b")).where(F.col("rank") <= k)
-    return local.withColumn("rank", best("query")).where(F.col("rank") <= k).select("query", "item", "distance", "rank")
+    have = lambda df: df.where(F.col(vector).isNotNull())
+    queries, vectors = have(queries), have(vectors)
+    blocks = [max(1, -(-df.count() // block_rows)) for df in (queries, vectors)]
+    part = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("v"), part(blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    d = vectors.select(F.col(id_col).alias("item"), F.col(vector).alias("v"), part(blocks[1]).alias("b"), every(blocks[0]).alias("a"))
+    kinds = [df.schema[id_col].dataType.simpleString() for df in (queries, vectors)]
+    local = q.groupBy("a", "b").cogroup(d.groupBy("a", "b")).applyInArrow(_near_in_block(k), f"query {kinds[0]}, item {kinds[1]}, distance double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "item"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "item", "distance", "rank")
 
 
 def similar(tx: DataFrame, vectors: DataFrame, n_last: int, k: int, name: str = "closest") -> DataFrame:
@@ -121,22 +153,16 @@ def attribute_sets(articles: DataFrame, columns: list[str]) -> DataFrame:
 def average_jaccard(candidates: DataFrame, tx: DataFrame, attributes: DataFrame, n_last: int = 5, name: str = "articles_jaccard_similarity") -> DataFrame:
     """Mean Jaccard similarity of a candidate to the customer's recent items; 0 without history.
 
-    Items with equal attribute sets are one kind, so the similarity is computed once per pair of kinds that occur.
+    A customer's few recent attribute sets travel as one list, so a candidate is compared where it stands.
     """
-    kinds = attributes.withColumn("kind", F.xxhash64(F.array_sort("attributes")))
-    recent = recent_items(tx, n_last)
-    history = recent.join(kinds.select("article_id", "kind"), "article_id", "left").groupBy("customer_id", "kind").agg(F.count("*").alias("n"))
-    tagged = candidates.join(kinds.select("article_id", "kind"), "article_id", "left")
-    met = tagged.select("customer_id", "article_id", "strategy_name", F.col("kind").alias("k1")).join(history.select("customer_id", F.col("kind").alias("k2"), "n"), "customer_id")
-    sets = kinds.groupBy("kind").agg(F.first("attributes").alias("attributes"))
-    pairs = met.select("k1", "k2").distinct().join(sets.select(F.col("kind").alias("k1"), F.col("attributes").alias("a")), "k1").join(sets.select(F.col("kind").alias("k2"), F.col("attributes").alias("b")), "k2")
-    similar_kinds = pairs.select("k1", "k2", jaccard("a", "b").alias("j"))
-    means = met.join(similar_kinds, ["k1", "k2"], "left").groupBy("customer_id", "article_id", "strategy_name").agg((F.sum(F.coalesce("j", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias(name))
-    return candidates.join(means, ["customer_id", "article_id", "strategy_name"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    history = recent_items(tx, n_last).join(attributes, "article_id", "left").groupBy("customer_id").agg(F.collect_list("attributes").alias("_sets"), F.count("*").alias("_n"))
+    joined = candidates.join(attributes.select("article_id", "attributes"), "article_id", "left").join(history, "customer_id", "left")
+    total = F.aggregate("_sets", F.lit(0.0), lambda s, x: s + F.coalesce(jaccard(F.col("attributes"), x), F.lit(0.0)))
+    return joined.select(*candidates.columns, F.coalesce(total / F.col("_n"), F.lit(0.0)).alias(name))
 
 
 def customer_vectors(tx: DataFrame, vectors: DataFrame, n_last: int = 5) -> DataFrame:
-    return mean_vector(recent_items(tx, n_last).join(vectors.select("article_id", "embedding"), "article_id"), "customer_id", "embedding", "customer_vector")
+    return mean_vector(recent_items(tx, n_last).join(vectors.select("article_id", "embedding"), "article_id"), "customer_id", "embedding", "customer_vector", width(vectors, "embedding"))
 
 
 def cosine_feature(candidates: DataFrame, customers: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
@@ -201,3 +227,10 @@ def blend(frames: dict[str, DataFrame], key: str, k: int, column: str = "predict
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "seen"))
     top = summed.withColumn("r", rank).where(F.col("r") <= k)
     return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "item"))).alias("l")).select(key, F.array_join(F.transform("l", lambda s: s["item"].cast("string")), " ").alias(column))
+
+
+def rank_models(candidates: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], top: int = 12, k: int = 12) -> DataFrame:
+    """Each scorer (a fitted model or any function that adds the column score) ranks its best `top` items of a customer; the
+    lists are blended to k."""
+    lists = {name: top_lists(scorer(candidates), "customer_id", "article_id", "score", top) for name, scorer in scorers.items()}
+    return blend(lists, "customer_id", k)

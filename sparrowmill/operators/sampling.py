@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import hash_key
 from .frames import newest
+from .ranks import quantiles
 
 
 def split_weeks(df: DataFrame, date_col: str, train_weeks: int = 6, val_weeks: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +112,7 @@ def filter_transactions(tx: DataFrame, customers: DataFrame, articles: DataFrame
 def quantile_edges(df: DataFrame, column: str, q: int | list[float], distinct: bool = False) -> list[float]:
     """Exact quantiles; equal edges raise unless `distinct`."""
     points = [i / q for i in range(q + 1)] if isinstance(q, int) else list(q)
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in points]))).first()[0] or []
+    edges = quantiles(df, column, points)
     if distinct:
         return sorted(set(edges))
     if len(set(edges)) < len(edges):

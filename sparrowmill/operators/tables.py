@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import days_between
+from .ranks import quantiles
 
 
 def left_chain(base: DataFrame, key: str, *others: DataFrame) -> DataFrame:
@@ -75,21 +77,28 @@ def deep_features(df: DataFrame, parent: str, columns: list[str], date_col: str,
     return df.crossJoin(F.broadcast(top)).groupBy(parent).agg(*aggs)
 
 
-def mean_vector(df: DataFrame, key: str, vector: str, name: str = "mean_vector") -> DataFrame:
-    """Elementwise mean; positions are explicit, so vectors may differ in length."""
-    flat = df.select(key, F.posexplode(vector).alias("pos", "x"))
-    means = flat.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s"))
-    return ordered.select(key, F.transform("s", lambda s: s["m"]).alias(name))
+def width(df: DataFrame, vector: str) -> int:
+    """The length of the longest vector."""
+    return df.agg(F.max(F.size(vector))).first()[0] or 0
+
+
+def mean_vector(df: DataFrame, key: str, vector: str, name: str = "mean_vector", width: int | None = None) -> DataFrame:
+    """Elementwise mean, one row a key and task in the shuffle; vectors may differ in length. width: of the longest, if known."""
+    some = df.where(F.size(vector) > 0)
+    n = width or some.agg(F.max(F.size(vector))).first()[0] or 0
+    means = some.groupBy(key).agg(F.max(F.size(vector)).alias("_n"), *[F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(n)])
+    every = F.array(*[F.col(f"_m{i}") for i in range(n)]) if n else F.array().cast("array<double>")
+    return means.select(key, F.slice(every, 1, F.col("_n")).alias(name))
 
 
 def profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """One row per column: count, nulls, distinct, min, max, mean, std and quartiles, from one pass."""
+    """One row per column: count, nulls, distinct, min, max, mean, std from one pass, and the quartiles q1, q2, q3."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.count(F.when(F.col(c).isNull(), 1)).alias("nulls"), distinct(F.col(c)).alias("n_distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles")).alias(c))
+        quarters = quantiles(df.select(x.alias(c)), c, [0.25, 0.5, 0.75]) or [None] * 3
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.count(F.when(F.col(c).isNull(), 1)).alias("nulls"), distinct(F.col(c)).alias("n_distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), *[F.lit(q).cast("double").alias(f"q{n + 1}") for n, q in enumerate(quarters)]).alias(c))
     wide = df.agg(*aggs)
     return wide.select(F.inline(F.array(*columns)))
 
@@ -105,9 +114,10 @@ def head_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def top_lists(df: DataFrame, group: str, item: str, score: str, k: int, name: str = "prediction") -> DataFrame:
-    """group and its k best items as a list, ties to the smaller item. Null groups are dropped."""
-    top = df.where(F.col(group).isNotNull()).withColumn("_rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), item))).where(F.col("_rank") <= k)
+def top_lists(df: DataFrame, group: str, item: str, score: str, k: int | None, name: str = "prediction") -> DataFrame:
+    """group and its k best items (None: all) as a list, ties to the smaller item. Null groups are dropped."""
+    top = df.where(F.col(group).isNotNull()).withColumn("_rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), item)))
+    top = top if k is None else top.where(F.col("_rank") <= k)
     listed = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_rank", item))).alias("_l"))
     return listed.select(group, F.transform("_l", lambda s: s[item]).alias(name))
 
@@ -128,19 +138,25 @@ def order_index(df: DataFrame, user: str, item: str, time: str, tie: str) -> Dat
 def refine_times(df: DataFrame, user: str, time: str, tie: str) -> DataFrame:
     """Make a user's times strictly increasing: walking in order, a time not above the one before gets a growing bump.
 
-    The fold needs the user's times in order, which is one array a user.
+    A user's rows stream through one task in order, which holds a time and a bump and no list. Null times stay.
     """
-    packed = df.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("tie"), F.struct(*[c for c in df.columns if c not in (user, time)]).alias("rest")))).alias("s"))
-    first = F.struct(F.col("s")[0]["t"].alias("last"), F.lit(1).cast("long").alias("gap"), F.array(F.col("s")[0]["t"]).alias("ts"))
-
-    def step(acc, x):
-        late = x["t"] > acc["last"]
-        t = F.when(late, x["t"]).otherwise(x["t"] + acc["gap"])
-        return F.struct(t.alias("last"), F.when(late, acc["gap"]).otherwise(acc["gap"] + 1).alias("gap"), F.concat(acc["ts"], F.array(t)).alias("ts"))
-
-    folded = packed.withColumn("ts", F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), first, step)["ts"])
-    rows = folded.select(user, F.inline(F.arrays_zip("s", "ts")))
-    return rows.select(user, F.col("ts").alias(time), "s.rest.*").select(*df.columns)
+    at, who = df.columns.index(time), df.columns.index(user)
+
+    def walk(batches):
+        current, last, gap = object(), None, 1
+        for b in batches:
+            out = []
+            for u, t in zip(b.column(who).to_pylist(), b.column(at).to_pylist(), strict=True):
+                if u != current:
+                    current, last, gap = u, t, 1
+                elif t is not None and last is not None and t <= last:
+                    last, gap = t + gap, gap + 1
+                elif t is not None:
+                    last = t
+                out.append(None if t is None else last)
+            yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
+
+    return df.repartition(user).sortWithinPartitions(user, time, tie).mapInArrow(walk, df.schema)
 
 
 def recency_rank(df: DataFrame, group: str, time: str, tie: str, name: str = "recency") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, tables
 from .registry import query
+from .relational import REFINED
 
 
 @query("gr_extract_tx", "SELECT session AS customer_id, aid || '_' || type AS article_id, ts AS \"timestamp\" FROM sess")
@@ -18,10 +19,10 @@ def _(v):
     return graph.entities(graph.extract_transactions(v.sess), "article_id")
 
 
-@query("gr_preprocess", "SELECT customer_id AS user_id, article_id AS item_id, CAST(epoch(t_dat) AS BIGINT) AS time FROM tx WHERE sales_channel_id = 1 UNION ALL SELECT customer_id, article_id, CAST(epoch(t_dat) AS BIGINT) FROM tx WHERE sales_channel_id = 2 AND article_id < 500")
+@query("gr_preprocess", "SELECT customer_id AS user_id, article_id AS item_id, CAST(epoch(t_dat) AS BIGINT) AS time FROM tx WHERE sales_channel_id = 1 UNION ALL SELECT customer_id, article_id, CAST(epoch(t_dat) AS BIGINT) FROM tx WHERE sales_channel_id = 2")
 def _(v):
     tx = v.tx.select("customer_id", "article_id", F.col("t_dat").alias("date"), "sales_channel_id")
-    return graph.preprocess(tx.where("sales_channel_id = 1"), None, tx.where("sales_channel_id = 2 and article_id < 500"))
+    return graph.preprocess(tx.where("sales_channel_id = 1"), None, tx.where("sales_channel_id = 2"))
 
 
 @query("gr_map_ids", "SELECT row_id, u.idx AS user_id, i.idx AS item_id FROM inter JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM inter)) u ON inter.user_id = u.user_id JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM inter)) i ON inter.item_id = i.item_id")
@@ -30,7 +31,7 @@ def _(v):
     return mapped.select(F.col("time").alias("row_id"), "user_id", "item_id")
 
 
-@query("gr_build_edges")
+@query("gr_build_edges", f"{REFINED} SELECT user_id, item_id, last AS time, row_id, row_number() OVER (PARTITION BY user_id ORDER BY last, row_id) - 1 AS \"order\", row_number() OVER (PARTITION BY item_id ORDER BY last, row_id) - 1 AS u_order FROM f")
 def _(v):
     return graph.build_edges(v.inter.withColumn("time", F.floor(F.col("time") / 5000)), "row_id")
 
@@ -41,17 +42,17 @@ def _(v):
 
 
 _TOP = "row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS r"
-_KHOP = f"""roots AS (SELECT user_id AS root, max(time) AS until FROM inter WHERE user_id % 50 = 1 GROUP BY 1),
-    w1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root', order='e.time DESC, e.item_id DESC')} FROM roots JOIN inter e ON e.user_id = root AND e.time <= until) WHERE r <= 5),
-    u1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.item_id', order='e.time DESC, e.user_id DESC')} FROM (SELECT DISTINCT root, until, item_id FROM w1) i JOIN inter e ON e.item_id = i.item_id AND e.time <= until) WHERE r <= 4),
-    f1 AS (SELECT * FROM (SELECT root, until, user_id, {_TOP.format(by='root', order='user_id DESC')} FROM (SELECT DISTINCT root, until, user_id FROM u1 WHERE user_id <> root)) WHERE r <= 4),
-    w2 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.user_id', order='e.time DESC, e.item_id DESC')} FROM f1 JOIN inter e ON e.user_id = f1.user_id AND e.time <= until) WHERE r <= 5)"""
+_KHOP = f"""roots AS (SELECT user_id AS root, max(time) AS until FROM inter GROUP BY 1),
+    w1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root', order='e.time DESC, e.item_id DESC')} FROM roots JOIN inter e ON e.user_id = root AND e.time <= until) WHERE r <= 50),
+    u1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.item_id', order='e.time DESC, e.user_id DESC')} FROM (SELECT DISTINCT root, until, item_id FROM w1) i JOIN inter e ON e.item_id = i.item_id AND e.time <= until) WHERE r <= 50),
+    f1 AS (SELECT * FROM (SELECT root, until, user_id, {_TOP.format(by='root', order='user_id DESC')} FROM (SELECT DISTINCT root, until, user_id FROM u1 WHERE user_id <> root)) WHERE r <= 50),
+    w2 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.user_id', order='e.time DESC, e.item_id DESC')} FROM f1 JOIN inter e ON e.user_id = f1.user_id AND e.time <= until) WHERE r <= 50)"""
 
 
 @query("gr_khop", f"WITH {_KHOP} SELECT root, user_id, item_id, time FROM w1 UNION SELECT root, user_id, item_id, time FROM u1 UNION SELECT root, user_id, item_id, time FROM w2")
 def _(v):
-    roots = v.inter.where("user_id % 50 = 1").groupBy("user_id").agg(F.max("time").alias("until")).withColumn("root", F.col("user_id"))
-    return graph.khop(v.inter, roots, ["root"], 2, 5, 4)
+    roots = v.inter.groupBy("user_id").agg(F.max("time").alias("until")).withColumn("root", F.col("user_id"))
+    return graph.khop(v.inter, roots, ["root"], 2)
 
 
 @query("gr_user_samples", "SELECT user_id, CAST(n_items AS INTEGER) AS n_items, target, s AS sequence FROM (SELECT user_id, lead(item_id) OVER w AS target, row_number() OVER w AS n_items, array_to_string(list(item_id) OVER (PARTITION BY user_id ORDER BY time, item_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), ' ') AS s FROM inter WINDOW w AS (PARTITION BY user_id ORDER BY time, item_id)) WHERE n_items >= 2 AND target IS NOT NULL")
@@ -64,12 +65,19 @@ def _(v):
     return graph.split(v.inter, True, True, True).select("row_id", "split")
 
 
-@query("gr_negatives", "SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM inter WHERE user_id % 4 = 1) u CROSS JOIN (SELECT DISTINCT item_id FROM inter WHERE user_id % 4 = 1) i EXCEPT SELECT user_id, item_id FROM inter")
+@query("gr_negatives", "SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM inter) u CROSS JOIN (SELECT DISTINCT item_id FROM inter) i EXCEPT SELECT user_id, item_id FROM inter")
 def _(v):
-    return graph.negatives(v.inter.where("user_id % 4 = 1"))
+    return graph.negatives(v.inter)
 
 
-@query("gr_sample_neg")
+_RING = "(CAST('0x' || substr(md5({c} || '|42'), 1, 8) AS BIGINT) * arcs) >> 32"
+
+
+@query("gr_sample_neg", f"""WITH it AS (SELECT DISTINCT item_id FROM inter), ar AS (SELECT greatest(1, count(*) // 80) AS arcs FROM it), ring AS (SELECT item_id, {_RING.format(c="item_id")} AS arc FROM it, ar),
+    met AS (SELECT DISTINCT user_id, item_id FROM inter), need AS (SELECT user_id, count(*) AS seen FROM met GROUP BY 1),
+    vis AS (SELECT user_id, unnest(range(0, CAST(least(arcs - 1, ceil((seen + 20) / 40.0)) AS BIGINT) + 1)) AS k, {_RING.format(c="user_id")} AS at, arcs FROM need, ar),
+    off AS (SELECT v.user_id, r.item_id, k FROM vis v JOIN ring r ON r.arc = (v.at + v.k) % v.arcs WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.user_id = v.user_id AND m.item_id = r.item_id))
+    SELECT user_id, item_id FROM off QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k, md5(user_id || '|' || item_id || '|42'), item_id) <= 20""")
 def _(v):
     return graph.sample_negatives(v.inter, 20)
 
@@ -82,7 +90,7 @@ _ATTENTION = """WITH n AS (SELECT user_id, time, CAST(embedding AS DOUBLE[]) AS
 @query("gr_attn_last", _ATTENTION)
 def _(v):
     met = v.inter.select("user_id", F.col("item_id").alias("article_id"), "time").join(v.vec, "article_id")
-    pooled = graph.attention_last(met, "user_id", "embedding", "time")
+    pooled = graph.attention_last(met, "user_id", "embedding", "time", tables.width(v.vec, "embedding"))
     return pooled.select("user_id", F.posexplode("pooled").alias("pos", "x")).withColumn("x", F.round("x", 4) + F.lit(0.0))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frames, metrics, models, prep, sessions
+from ..sources import io
 from .registry import query
 from .relational import web_events
 
@@ -39,7 +40,7 @@ def _(v):
 
 @query("enc_ordinal", "SELECT i_doc_id, CAST(coalesce(r, -1) AS INTEGER) AS c_source FROM abt LEFT JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM (SELECT DISTINCT c_source AS s FROM abt WHERE c_source IS NOT NULL)) ON c_source = s")
 def _(v):
-    return prep.ordinal(_cols(v, "c_source"), "c_source", prep.fit_categories(v.abt, "c_source"))
+    return prep.ordinal(_cols(v, "c_source"), "c_source", prep.fit_codes(v.abt, "c_source"))
 
 
 @query("enc_onehot", "SELECT i_doc_id, CAST(c_lang = 'de' AS INTEGER) AS c_lang_de, CAST(c_lang = 'en' AS INTEGER) AS c_lang_en, CAST(c_lang = 'es' AS INTEGER) AS c_lang_es, CAST(c_lang = 'fr' AS INTEGER) AS c_lang_fr FROM abt")
@@ -54,7 +55,7 @@ def _(v):
 
 @query("enc_apply_order", "SELECT i_doc_id, CAST(c_lang = 'de' AS INTEGER) AS c_lang_de, CAST(c_lang = 'en' AS INTEGER) AS c_lang_en, CAST(c_lang = 'es' AS INTEGER) AS c_lang_es, CAST(c_lang = 'fr' AS INTEGER) AS c_lang_fr, CAST(coalesce(r, -1) AS INTEGER) AS c_source FROM abt LEFT JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM (SELECT DISTINCT c_source AS s FROM abt WHERE c_source IS NOT NULL)) ON c_source = s")
 def _(v):
-    fitted = {"onehot": {"c_lang": prep.fit_categories(v.abt, "c_lang")}, "ordinal": {"c_source": prep.fit_categories(v.abt, "c_source")}}
+    fitted = {"onehot": {"c_lang": prep.fit_categories(v.abt, "c_lang")}, "ordinal": {"c_source": prep.fit_codes(v.abt, "c_source")}}
     return prep.encode(_cols(v, "c_lang", "c_source"), fitted)
 
 
@@ -67,24 +68,28 @@ def _named(v, names):
     return v.spark.sql("SELECT explode(split(:names, ',')) AS feature", args={"names": ",".join(names)})
 
 
-@query("fsel_null", "SELECT unnest(['n_chars', 'c_lang', 'y_quality']) AS feature")
+_NULLS = ", ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END)" for c in ("n_chars", "n_gap", "c_lang", "c_source", "y_quality"))
+
+
+@query("fsel_null", f"SELECT f AS feature FROM (SELECT unnest(['n_chars', 'n_gap', 'c_lang', 'c_source', 'y_quality']) AS f, unnest([{_NULLS}]) AS share FROM abt) WHERE share <= 0.05")
 def _(v):
     return _named(v, prep.few_nulls(v.abt, ["n_chars", "n_gap", "c_lang", "c_source", "y_quality"], 0.05))
 
 
-@query("fsel_single_value", "SELECT unnest(['n_chars', 'n_gap']) AS feature")
+@query("fsel_single_value", "SELECT f AS feature FROM (SELECT unnest(['n_chars', 'fixed', 'n_gap']) AS f, unnest([count(DISTINCT n_chars), count(DISTINCT fixed), count(DISTINCT n_gap)]) AS n FROM (SELECT *, 3 AS fixed FROM abt)) WHERE n > 1")
 def _(v):
     df = v.abt.withColumn("fixed", F.lit(3))
     return _named(v, prep.not_constant(df, ["n_chars", "fixed", "n_gap"]))
 
 
-@query("fsel_corr", "SELECT unnest(['a', 'c']) AS feature")
+@query("fsel_corr", "WITH r AS (SELECT abs(corr(score, score * 2 + 1)) AS ab, abs(corr(score, n_chars)) AS ac, abs(corr(score * 2 + 1, n_chars)) AS bc FROM abt) SELECT 'a' AS feature FROM r UNION ALL SELECT 'b' FROM r WHERE ab < 0.9 UNION ALL SELECT 'c' FROM r WHERE ac < 0.9 AND (ab >= 0.9 OR bc < 0.9)")
 def _(v):
     df = v.abt.select(F.col("score").alias("a"), (F.col("score") * 2 + 1).alias("b"), F.col("n_chars").alias("c"))
     return _named(v, prep.uncorrelated(df, ["a", "b", "c"], 0.9))
 
 
-@query("fsel_all", "SELECT unnest(['n_chars', 'score', 'c_lang']) AS feature")
+@query("fsel_all", """WITH r AS (SELECT avg(CASE WHEN n_gap IS NULL THEN 1.0 ELSE 0 END) AS gaps, count(DISTINCT n_chars) AS chars, count(DISTINCT score) AS scores, count(DISTINCT c_lang) AS langs, abs(corr(n_chars, n_gap)) AS cg, abs(corr(n_chars, score)) AS cs, abs(corr(n_gap, score)) AS gs, abs(corr(n_chars, score * 2)) AS ct, abs(corr(score, score * 2)) AS st FROM abt)
+    SELECT 'n_chars' AS feature FROM r WHERE chars > 1 UNION ALL SELECT 'n_gap' FROM r WHERE gaps <= 0.05 AND cg < 0.9 UNION ALL SELECT 'score' FROM r WHERE scores > 1 AND cs < 0.9 AND (gaps > 0.05 OR gs < 0.9) UNION ALL SELECT 'twice' FROM r WHERE ct < 0.9 AND st < 0.9 UNION ALL SELECT 'c_lang' FROM r WHERE langs > 1""")
 def _(v):
     df = v.abt.withColumn("fixed", F.lit(3)).withColumn("twice", F.col("score") * 2)
     return _named(v, prep.select_features(df, ["n_chars", "n_gap", "score", "twice", "fixed", "c_lang"], 0.05, 0.9))
@@ -121,7 +126,7 @@ def _(v):
 
 @query("mdl_score_batched")
 def _(v):
-    return models.score(_model_data(v), _model(v)).select("i_doc_id", "probability")
+    return models.score_batched(_model_data(v), _model(v), "i_doc_id", io.scratch(v.spark, "scores"), 3).select("i_doc_id", "probability")
 
 
 @query("mdl_calibrate")
@@ -141,7 +146,7 @@ def _(v):
 
 @query("mdl_attribution")
 def _(v):
-    return models.attributions(_model_data(v).where("i_doc_id % 10 = 0"), _model(v), [*_NUM, *_CAT], "i_doc_id", "y_quality", 2)
+    return models.attributions(_model_data(v), _model(v), [*_NUM, *_CAT], "i_doc_id", "y_quality", 2)
 
 
 @query("mdl_pdp")
@@ -168,7 +173,7 @@ def _(v):
     return models.text_vectors(v.documents, "doc_id", "text")
 
 
-@query("llm_batch")
+@query("llm_batch", "WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'Summarize the following text:' || chr(10) || text AS prompt FROM documents) SELECT id, prompt, array_to_string(string_split(prompt, ' ')[1:8], ' ') AS completion FROM p")
 def _(v):
     return models.complete_batch(v.documents, "doc_id", "text", "summarize")
 

@@ -46,17 +46,17 @@ def _named(v):
     return v.art.withColumn("prod_name", F.concat_ws("/", "prod_name", "section"))
 
 
-@query("cand_prod_name", "SELECT customer_id, string_agg(article_id, ' ' ORDER BY article_id) AS previously_bought_prod_name FROM (SELECT DISTINCT t.customer_id, b.article_id FROM (SELECT DISTINCT customer_id, article_id FROM tx WHERE customer_id % 4 = 1) t JOIN art a ON t.article_id = a.article_id JOIN art b ON a.prod_name = b.prod_name AND a.section = b.section) GROUP BY 1")
+@query("cand_prod_name", "SELECT customer_id, string_agg(article_id, ' ' ORDER BY article_id) AS previously_bought_prod_name FROM (SELECT DISTINCT t.customer_id, b.article_id FROM (SELECT DISTINCT customer_id, article_id FROM tx) t JOIN art a ON t.article_id = a.article_id JOIN art b ON a.prod_name = b.prod_name AND a.section = b.section) GROUP BY 1")
 def _(v):
-    return _string(recs.same_product_name(v.tx.where("customer_id % 4 = 1"), _named(v)), "previously_bought_prod_name")
+    return _string(recs.same_product_name(v.tx, _named(v)), "previously_bought_prod_name")
 
 
 _DIST = "round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-@query("knn_exact", "WITH d AS (SELECT a.article_id AS query, b.article_id AS item, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM vec a, vec b WHERE a.article_id % 4 = 0) SELECT query, item, CAST(r AS INTEGER) AS rank, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, item) AS r FROM d) WHERE r <= 5")
+@query("knn_exact", "WITH d AS (SELECT a.article_id AS query, b.article_id AS item, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM vec a, vec b) SELECT query, item, CAST(r AS INTEGER) AS rank, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, item) AS r FROM d) WHERE r <= 5")
 def _(v):
-    return recs.nearest(v.vec.where("article_id % 4 = 0"), v.vec, 5).withColumn("distance", F.round("distance", 4))
+    return recs.nearest(v.vec, v.vec, 5).withColumn("distance", F.round("distance", 4))
 
 
 _RECENT = "r AS (SELECT DISTINCT customer_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t_dat DESC, line_id DESC, article_id DESC) AS n FROM tx) WHERE n <= {n})"
@@ -151,10 +151,10 @@ def _(v):
     return made.withColumn("image_cosine_similarity", F.round("image_cosine_similarity", 4) + F.lit(0.0))
 
 
-@query("feat_merge_sims", f"WITH {_CAND} SELECT customer_id, article_id, 's' AS strategy_name, article_id % 3 AS a, customer_id % 5 AS b FROM k WHERE article_id % 2 = 0")
+@query("feat_merge_sims", f"WITH {_CAND} SELECT customer_id, article_id, 's' AS strategy_name, article_id % 3 AS a, customer_id % 5 AS b FROM k")
 def _(v):
     c = _candidates(v)
-    return recs.merge_similarities(c.withColumn("a", F.col("article_id") % 3), c.where("article_id % 2 = 0").withColumn("b", F.col("customer_id") % 5))
+    return recs.merge_similarities(c.withColumn("a", F.col("article_id") % 3), c.withColumn("b", F.col("customer_id") % 5))
 
 
 @query("feat_article_manual", "SELECT article_id, round(avg(CASE WHEN n > 1 THEN 1.0E0 ELSE 0 END), 5) AS rebuy_share_manual, round(sum(o) / CAST(sum(n) AS DOUBLE), 5) AS offline_share_manual FROM (SELECT article_id, customer_id, count(*) AS n, count(*) FILTER (WHERE sales_channel_id = 1) AS o FROM tx GROUP BY 1, 2) GROUP BY 1")
@@ -183,15 +183,15 @@ def _(v):
     return recs.add_label(_candidates(v), _past_future(v)[1])
 
 
-@query("feat_add_article", f"WITH {_CAND} SELECT k.customer_id, k.article_id, 's' AS strategy_name, CAST(coalesce(n, 0) AS INTEGER) AS count_sold FROM k LEFT JOIN (SELECT article_id, count(*) AS n FROM tx WHERE sales_channel_id = 1 AND article_id % 2 = 0 GROUP BY 1) q ON k.article_id = q.article_id")
+@query("feat_add_article", f"WITH {_CAND} SELECT k.customer_id, k.article_id, 's' AS strategy_name, CAST(coalesce(n, 0) AS INTEGER) AS count_sold FROM k LEFT JOIN (SELECT article_id, count(*) AS n FROM tx WHERE sales_channel_id = 1 GROUP BY 1) q ON k.article_id = q.article_id")
 def _(v):
-    sold = v.tx.where("sales_channel_id = 1 and article_id % 2 = 0").groupBy("article_id").agg(F.count("*").alias("count_sold"))
+    sold = v.tx.where("sales_channel_id = 1").groupBy("article_id").agg(F.count("*").alias("count_sold"))
     return recs.add_features(_candidates(v), "article_id", sold)
 
 
-@query("feat_add_customer", f"WITH {_CAND} SELECT k.customer_id, k.article_id, 's' AS strategy_name, CAST(coalesce(n, 0) AS INTEGER) AS count_bought, last FROM k LEFT JOIN (SELECT customer_id, count(*) AS n, max(article_id) AS last FROM tx WHERE article_id < 100 GROUP BY 1) q ON k.customer_id = q.customer_id")
+@query("feat_add_customer", f"WITH {_CAND} SELECT k.customer_id, k.article_id, 's' AS strategy_name, CAST(coalesce(n, 0) AS INTEGER) AS count_bought, last FROM k LEFT JOIN (SELECT customer_id, count(*) AS n, max(article_id) AS last FROM tx GROUP BY 1) q ON k.customer_id = q.customer_id")
 def _(v):
-    bought = v.tx.where("article_id < 100").groupBy("customer_id").agg(F.count("*").alias("count_bought"), F.max("article_id").alias("last"))
+    bought = v.tx.groupBy("customer_id").agg(F.count("*").alias("count_bought"), F.max("article_id").alias("last"))
     return recs.add_features(_candidates(v), "customer_id", bought)
 
 
@@ -229,10 +229,11 @@ def _(v):
     return recs.blend(lists, "customer_id", 12)
 
 
-@query("rank_multi", f"WITH {_BLEND} SELECT customer_id, string_agg(article_id, ' ' ORDER BY s DESC, seen) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, seen) AS p FROM z) WHERE p <= 6 GROUP BY 1")
+@query("rank_multi", f"WITH {_BLEND} SELECT customer_id, string_agg(article_id, ' ' ORDER BY s DESC, seen) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, seen) AS p FROM z) WHERE p <= 12 GROUP BY 1")
 def _(v):
-    lists = {str(s): tables.top_lists(_scored(v, s), "customer_id", "article_id", "score", 12) for s in (3, 5)}
-    return recs.blend(lists, "customer_id", 6)
+    sold = v.tx.groupBy("article_id").agg(F.count("*").alias("n"))
+    model = lambda seed: lambda df: df.withColumn("score", (F.col("n") * seed + F.col("article_id")) % 97)
+    return recs.rank_models(_candidates(v).join(sold, "article_id"), {"3": model(3), "5": model(5)})
 
 
 def _truth(v):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import frames, sampling, sessions, tables
+from ..operators import frames, ranks, sampling, sessions, tables
 from ..sources import io
 from .registry import query
 
@@ -225,9 +225,9 @@ def _(v):
     return v.events.where("event_type <> 'error'").select("event_id", F.inline(params)).where("key = 'engagement'").select("event_id", F.col("value").alias("engagement"))
 
 
-@query("jn_outer_on_index", "SELECT coalesce(a.article_id, b.article_id) AS article_id, a.n, b.dim FROM (SELECT article_id, count(*) AS n FROM tx WHERE article_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT article_id, label AS dim FROM vec) b ON a.article_id = b.article_id")
+@query("jn_outer_on_index", "SELECT coalesce(a.article_id, b.article_id) AS article_id, a.n, b.dim FROM (SELECT article_id, count(*) AS n FROM tx GROUP BY 1) a FULL JOIN (SELECT article_id, label AS dim FROM vec) b ON a.article_id = b.article_id")
 def _(v):
-    return tables.outer_on("article_id", v.tx.where("article_id % 2 = 0").groupBy("article_id").agg(F.count("*").alias("n")), v.vec.select("article_id", F.col("label").alias("dim")))
+    return tables.outer_on("article_id", v.tx.groupBy("article_id").agg(F.count("*").alias("n")), v.vec.select("article_id", F.col("label").alias("dim")))
 
 
 @query("jn_semi", "SELECT line_id FROM tx WHERE customer_id IN (SELECT customer_id FROM cust WHERE age > 5000)")
@@ -252,10 +252,10 @@ def _(v):
     return v.cust.select("customer_id").crossJoin(F.broadcast(items))
 
 
-@query("jn_self_prod", "SELECT DISTINCT l.customer_id, a.article_id FROM (SELECT DISTINCT customer_id, index_name, section FROM tx JOIN art ON tx.article_id = art.article_id WHERE customer_id % 20 = 0) l JOIN art a ON a.index_name = l.index_name AND a.section = l.section")
+@query("jn_self_prod", "SELECT DISTINCT l.customer_id, a.article_id FROM (SELECT DISTINCT customer_id, index_name, section FROM tx JOIN art ON tx.article_id = art.article_id) l JOIN art a ON a.index_name = l.index_name AND a.section = l.section")
 def _(v):
     items = v.art.withColumn("group", F.concat_ws("|", "index_name", "section"))
-    return tables.through_attribute(v.tx.where("customer_id % 20 = 0"), items, "customer_id", "article_id", "group").distinct()
+    return tables.through_attribute(v.tx, items, "customer_id", "article_id", "group").distinct()
 
 
 # Aggregates.
@@ -369,7 +369,7 @@ def _(v):
 @query("agg_mean_vector", "SELECT customer_id, CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(embedding[pos] AS DOUBLE)), 5) + 0.0 AS m FROM (SELECT customer_id, embedding, unnest(range(1, 65)) AS pos FROM (SELECT DISTINCT customer_id, article_id FROM tx) t JOIN vec ON t.article_id = vec.article_id) GROUP BY 1, 2")
 def _(v):
     bought = v.tx.select("customer_id", "article_id").distinct().join(v.vec, "article_id")
-    return tables.mean_vector(bought, "customer_id", "embedding").select("customer_id", F.posexplode("mean_vector").alias("pos", "m")).withColumn("m", F.round("m", 5) + F.lit(0.0))
+    return tables.mean_vector(bought, "customer_id", "embedding", width=tables.width(v.vec, "embedding")).select("customer_id", F.posexplode("mean_vector").alias("pos", "m")).withColumn("m", F.round("m", 5) + F.lit(0.0))
 
 
 @query("agg_hist_stacked", "SELECT product_group_name, index_name, count(*) AS n FROM art GROUP BY 1, 2")
@@ -383,9 +383,9 @@ def _(v):
     return v.art.groupBy("product_group_name").agg(F.min("list_price").alias("low"), q.alias("q"), F.max("list_price").alias("high")).select("product_group_name", "low", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "mid", "q3"))], "high")
 
 
-@query("agg_profile", "SELECT 'age' AS \"column\", count(age) AS count, count(*) - count(age) AS nulls, count(DISTINCT age) AS n_distinct, min(age) AS min, max(age) AS max, round(avg(age), 4) AS mean, round(stddev_samp(age), 4) AS std FROM cust UNION ALL SELECT 'postal_code', count(postal_code), count(*) - count(postal_code), count(DISTINCT postal_code), min(postal_code), max(postal_code), round(avg(postal_code), 4), round(stddev_samp(postal_code), 4) FROM cust")
+@query("agg_profile", "SELECT 'age' AS \"column\", count(age) AS count, count(*) - count(age) AS nulls, count(DISTINCT age) AS n_distinct, min(age) AS min, max(age) AS max, round(avg(age), 4) AS mean, round(stddev_samp(age), 4) AS std, round(quantile_cont(age, 0.25), 4) AS q1, round(quantile_cont(age, 0.5), 4) AS q2, round(quantile_cont(age, 0.75), 4) AS q3 FROM cust UNION ALL SELECT 'postal_code', count(postal_code), count(*) - count(postal_code), count(DISTINCT postal_code), min(postal_code), max(postal_code), round(avg(postal_code), 4), round(stddev_samp(postal_code), 4), round(quantile_cont(postal_code, 0.25), 4), round(quantile_cont(postal_code, 0.5), 4), round(quantile_cont(postal_code, 0.75), 4) FROM cust")
 def _(v):
-    return tables.profile(v.cust, ["age", "postal_code"]).drop("quartiles").withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+    return tables.profile(v.cust, ["age", "postal_code"]).withColumns({c: F.round(c, 4) for c in ("mean", "std", "q1", "q2", "q3")})
 
 
 @query("ga_sessions", """SELECT user_id AS i_visitor_id, session_id AS i_session_id, CASE WHEN start IS NULL THEN last ELSE start END AS i_visit_start_time, event_date AS i_event_date, browser AS c_browser, os AS c_os, country AS c_country, source AS c_source, medium AS c_medium, n_hits, n_page_views, n_visits, n_total_time, n_new_visit, y_add_to_cart FROM (
@@ -440,7 +440,13 @@ def _(v):
     return tables.order_index(v.inter, "user_id", "item_id", "time", "row_id").select("row_id", "order", "u_order")
 
 
-@query("win_refine_time")
+#: Times of `inter` in steps of 5000, made strictly increasing for each user, one event after the other.
+REFINED = """WITH RECURSIVE o AS (SELECT *, time // 5000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY time // 5000, row_id) AS n FROM inter),
+    f AS (SELECT user_id, n, row_id, item_id, t AS last, 1::BIGINT AS gap FROM o WHERE n = 1
+          UNION ALL SELECT o.user_id, o.n, o.row_id, o.item_id, CASE WHEN o.t > f.last THEN o.t ELSE o.t + f.gap END, CASE WHEN o.t > f.last THEN f.gap ELSE f.gap + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)"""
+
+
+@query("win_refine_time", f"{REFINED} SELECT user_id, item_id, last AS time, row_id FROM f")
 def _(v):
     coarse = v.inter.withColumn("time", F.floor(F.col("time") / 5000))
     return tables.refine_times(coarse, "user_id", "time", "row_id")
@@ -487,7 +493,7 @@ def _(v):
 @query("srt_argsort_items", "SELECT g, string_agg(item, ' ' ORDER BY q DESC, item) AS prediction FROM (SELECT g, item, max(q) AS q FROM prod GROUP BY 1, 2) GROUP BY 1")
 def _(v):
     best = v.prod.groupBy("g", "item").agg(F.max("q").alias("q"))
-    return tables.top_lists(best, "g", "item", "q", 1000).select("g", F.array_join(F.col("prediction").cast("array<string>"), " ").alias("prediction"))
+    return tables.top_lists(best, "g", "item", "q", None).select("g", F.array_join(F.col("prediction").cast("array<string>"), " ").alias("prediction"))
 
 
 # Sets.
@@ -520,9 +526,10 @@ def _(v):
     return tables.except_items(v.inter, v.inter, v.inter, "user_id", "item_id")
 
 
-@query("set_diff_frontier", "SELECT DISTINCT item_id FROM inter WHERE user_id % 2 = 0 EXCEPT SELECT item_id FROM inter WHERE user_id % 5 = 1")
+@query("set_diff_frontier", "SELECT DISTINCT user_id FROM inter WHERE time >= (SELECT max(time) // 2 FROM inter) EXCEPT SELECT user_id FROM inter WHERE time < (SELECT max(time) // 2 FROM inter)")
 def _(v):
-    return v.inter.where("user_id % 2 = 0").select("item_id").distinct().join(v.inter.where("user_id % 5 = 1"), "item_id", "left_anti")
+    half = v.inter.agg(F.max("time")).first()[0] // 2
+    return v.inter.where(F.col("time") >= half).select("user_id").distinct().join(v.inter.where(F.col("time") < half), "user_id", "left_anti")
 
 
 # Scalars.
@@ -581,9 +588,9 @@ def _(v):
     return v.pages.select("page_id", fn.strip_extension("url").alias("id"))
 
 
-@query("fn_regex_cols", "SELECT customer_id, CAST(coalesce(n, 0) AS INTEGER) AS count_n, m AS other FROM cust LEFT JOIN (SELECT customer_id AS cid, count(*) AS n, max(article_id) AS m FROM tx WHERE sales_channel_id = 1 AND article_id < 50 GROUP BY 1) ON customer_id = cid")
+@query("fn_regex_cols", "SELECT customer_id, CAST(coalesce(n, 0) AS INTEGER) AS count_n, m AS other FROM cust LEFT JOIN (SELECT customer_id AS cid, count(*) AS n, max(article_id) AS m FROM tx WHERE sales_channel_id = 1 GROUP BY 1) ON customer_id = cid")
 def _(v):
-    few = v.tx.where("sales_channel_id = 1 and article_id < 50").groupBy("customer_id").agg(F.count("*").alias("count_n"), F.max("article_id").alias("other"))
+    few = v.tx.where("sales_channel_id = 1").groupBy("customer_id").agg(F.count("*").alias("count_n"), F.max("article_id").alias("other"))
     return frames.fill_counts(v.cust.select("customer_id").join(few, "customer_id", "left"))
 
 
@@ -637,9 +644,9 @@ def _(v):
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("s").alias("t")))).select("c_nationkey", F.round(F.col("s") / F.col("t"), 6).alias("share"))
 
 
-@query("fn_prompt", "SELECT item_id, 'Explain: ' || array_to_string(string_split(text, ' ')[1:8], ' ') AS prompt FROM benchmark")
+@query("fn_prompt", "SELECT doc_id, 'Explain: ' || text AS prompt FROM documents")
 def _(v):
-    return v.benchmark.select("item_id", fn.prompt(F.array_join(F.slice(F.split("text", " "), 1, 8), " "), "Explain: ").alias("prompt"))
+    return v.documents.select("doc_id", fn.prompt("text", "Explain: ").alias("prompt"))
 
 
 # Splits and samples.
@@ -694,7 +701,7 @@ def _(v):
 
 @query("smp_strat_customers", f"WITH t AS (SELECT customer_id AS cid, count(DISTINCT t_dat) AS n_tx FROM tx GROUP BY 1), s AS (SELECT customer_id, coalesce(age, (SELECT median(age) FROM cust)) AS a, coalesce(n_tx, 0) AS n_tx FROM cust LEFT JOIN t ON customer_id = cid), e AS (SELECT quantile_cont(a, [0, 0.3333333333333333, 0.6666666666666666, 1]) AS q FROM s), b AS (SELECT customer_id, {_bins_sql('a', 'q')} AS age_bin, CASE WHEN n_tx = 0 THEN '1' WHEN n_tx <= 1 THEN '2' WHEN n_tx <= 3 THEN '3' WHEN n_tx <= 6 THEN '4' WHEN n_tx <= 9 THEN '5' ELSE '6' END AS tx_bin FROM s, e), r AS (SELECT *, {_RANKED.format(s='age_bin, tx_bin', k='customer_id')} FROM b) SELECT customer_id, age_bin, tx_bin FROM r WHERE r <= round(0.2 * n)")
 def _(v):
-    median = v.cust.agg(F.percentile("age", F.lit(0.5))).first()[0]
+    (median,) = ranks.quantiles(v.cust, "age", [0.5])
     n = v.tx.groupBy("customer_id").agg(F.count_distinct("t_dat").alias("n_tx"))
     keys = v.cust.join(n, "customer_id", "left").select("customer_id", F.coalesce("age", F.lit(median)).alias("a"), F.coalesce("n_tx", F.lit(0)).alias("n_tx"))
     edges = sampling.quantile_edges(keys, "a", 3)

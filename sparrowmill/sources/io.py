@@ -87,6 +87,14 @@ class Layers:
         return self.spark.read.parquet(self.path(layer, name))
 
 
+def finished(spark: SparkSession, path: str, by: str) -> set[int]:
+    """The numbers n of the folders {path}/{by}=n that a writer has completed, in any file system Spark reads."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}=*/_SUCCESS")) if files.exists(root) else []
+    return {int(f.getPath().getParent().getName().split("=")[1]) for f in found or []}
+
+
 def save_params(spark: SparkSession, rows: list[tuple[str, str, str]], path: str) -> None:
     """Fitted parameters (step, column, value) as a table, so that a later run can apply them."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("step", "column", "value")])

@@ -21,7 +21,7 @@ VIEWS = {
     "inter": "SELECT o_custkey AS user_id, o_orderkey % 200 AS item_id, CAST(o_orderkey AS BIGINT) AS time, o_orderkey AS row_id FROM orders",
     "ser": "SELECT c_mktsegment AS unique_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, round(sum(o_totalprice), 2) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "abt": "SELECT d.doc_id AS i_doc_id, d.n_chars AS n_chars, CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE d.doc_id % 50 END AS n_gap, d.lang AS c_lang, CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE d.source END AS c_source, l.quality AS y_quality, (d.doc_id * 37 % 1000) / 1000.0E0 AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
-    "prod": "SELECT l_orderkey AS g, l_linenumber AS n, l_partkey AS item, l_quantity AS q FROM lineitem WHERE l_orderkey % 3 = 0",
+    "prod": "SELECT l_orderkey AS g, l_linenumber AS n, l_partkey AS item, l_quantity AS q FROM lineitem",
 }
 
 
@@ -46,4 +46,6 @@ def with_views(sql: str) -> str:
     used = [f"{n} AS ({v})" for n, v in VIEWS.items() if re.search(rf"\b(?:FROM|JOIN|,) {n}\b", sql)]
     if not used:
         return sql
+    if re.match(r"\s*WITH RECURSIVE\b", sql):
+        return f"WITH RECURSIVE {', '.join(used)}, {sql.strip()[15:]}"
     return f"WITH {', '.join(used)}, {sql.strip()[5:]}" if re.match(r"\s*WITH\b", sql) else f"WITH {', '.join(used)} {sql}"
