@@ -2,14 +2,16 @@
 
 Overlapping heuristic labellers vote on each text: good, bad or nothing. How often each combination of votes occurs is
 counted over all documents; expectation-maximisation on these counts estimates the share of good texts and each
-labeller's chance of each vote on good and on bad texts. The posterior of a text's votes is its label. The labels of a
-bounded, hash-chosen sample (FIT_ROWS documents) train a linear scorer over hashed features (words and binned signals),
-and the scorer judges every document.
+labeller's chance of each vote. Bad texts have a fault each, so labellers are not independent among them: there is one
+good class and, for each labeller, a class of bad texts, and within a class votes are independent. Every share and chance
+is estimated; the start gives a text to the classes of the labellers that call it bad, and else to the good one. The
+posterior of a text's votes is its label. The labels of a bounded, hash-chosen sample (at most FIT_ROWS documents) train a
+linear scorer over hashed features (words and binned signals), and the scorer judges every document.
 
 The table of combinations has at most 3 to the number of labellers rows, so its size does not grow with the data.
 
 Cases: null and empty texts get no votes, so the prior decides. Null ids and repeated rows are documents like any
-other. `keep_good` keeps all columns, whatever their names. Empty tables give empty results. Ties (a score at the
+other; ids are read as long. `keep_good` keeps all columns, whatever their names. Empty tables give empty results. Ties (a score at the
 threshold) stay.
 """
 
@@ -26,8 +28,8 @@ from .textkit import arrow_rows, batches, pack, words
 FIT_ROWS = 8192
 FEATURES = 1 << 16
 THRESHOLD = 0.5
-MOST_FALSE = 0.003
-LEAST_MISSED = 0.4
+FIRST_TRUST = 0.9  # at the start, of a vote for bad
+PRIOR_GOOD, PRIOR_TEXTS = 0.9, 10.0  # a weak prior of the share of good texts, worth so many texts
 _BATCH_BYTES = 1 << 20
 _FUNCTION_WORDS = "the of and to a in is it that for was on with as be at by from or are this de la le les et des en un une du est que el los las y del se der die das und ist von mit den nicht ein eine zu dem il di che".split()
 _END, _ALNUM, _DIGIT, _UPPER, _HIGH = 0, 1, 2, 3, 4
@@ -115,33 +117,40 @@ def votes(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM: share of good texts and chances[class, labeller, vote] (class 0 good, 1 bad).
-
-    A labeller looks for one fault, so its vote for bad tells much and the lack of its fault little: the chance of
-    finding a fault in a good text is held at MOST_FALSE or below, that of finding none in a bad one at LEAST_MISSED
-    or above. Else kinds of bad texts with a fault of their own
-    would settle among the good ones.
-    """
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """EM: shares of the classes (the good one first, then one for each labeller) and chances[class, labeller, good or bad]
+    of a vote that is given."""
+    n = len(LABELLERS)
+    prior = np.append(PRIOR_GOOD, np.full(n, (1 - PRIOR_GOOD) / n))
     if not len(patterns):
-        return 0.9, np.full((2, len(LABELLERS), 3), 1 / 3)
-    p = np.array([0.95, 0.3, 0.05])[np.minimum((patterns == 2).sum(1), 2)]
+        return prior, np.full((n + 1, n, 2), 0.5)
+    good, bad = (patterns == 1).astype(float), (patterns == 2).astype(float)
+    faults = bad.sum(1, keepdims=True)
+    p = np.where(faults > 0, np.hstack([np.full((len(bad), 1), 1 - FIRST_TRUST), FIRST_TRUST * bad / np.maximum(faults, 1)]), np.append(1.0, np.zeros(n)))
     for _ in range(rounds):
-        share = (counts @ p + 1) / (counts.sum() + 2)
-        chances = np.stack([[[((patterns[:, c] == v) * counts) @ q + 0.5 for v in range(3)] for c in range(patterns.shape[1])] for q in (p, 1 - p)])
+        mass = counts[:, None] * p
+        shares = (mass.sum(0) + PRIOR_TEXTS * prior) / (counts.sum() + PRIOR_TEXTS)
+        chances = np.stack([mass.T @ good + 0.5, mass.T @ bad + 0.5], 2)
         chances /= chances.sum(2, keepdims=True)
-        chances[0, :, 2] = np.minimum(chances[0, :, 2], MOST_FALSE)
-        chances[1, :, 2] = np.maximum(chances[1, :, 2], 4 * MOST_FALSE)
-        chances[:, :, 1] = np.maximum(1 - chances[:, :, 0] - chances[:, :, 2], [[1e-6], [LEAST_MISSED]])
-        p = posterior(patterns, share, chances)
-    return float(share), chances
+        p = _classes(good, bad, shares, chances)
+    return shares, chances
+
+
+def _classes(good: np.ndarray, bad: np.ndarray, shares: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    log = np.log(shares) + good @ np.log(chances[:, :, 0]).T + bad @ np.log(chances[:, :, 1]).T
+    p = np.exp(log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
-def posterior(patterns: np.ndarray, share: float, chances: np.ndarray) -> np.ndarray:
+def posterior(patterns: np.ndarray, shares: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Chance that a text with these votes is good. A labeller that says nothing tells nothing."""
-    told = patterns > 0
-    log = [np.log(s) + (np.log(np.take_along_axis(chances[k][None], patterns[:, :, None].astype(np.int64), 2)[:, :, 0]) * told).sum(1) for k, s in ((0, share), (1, 1 - share))]
-    return 1 / (1 + np.exp(np.clip(log[1] - log[0], -60, 60)))
+    return _classes((patterns == 1).astype(float), (patterns == 2).astype(float), shares, chances)[:, 0]
+
+
+def accuracies(shares: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Of each labeller: how often its vote on a good text is good, and how often on a bad one is bad."""
+    bad = shares[1:] / shares[1:].sum()
+    return np.stack([chances[0, :, 0], bad @ chances[1:, :, 1]], 1)
 
 
 _EDGES = {
@@ -182,14 +191,14 @@ def fit_scorer(n: int, row: np.ndarray, cell: np.ndarray, value: np.ndarray, lab
 
 
 class Model:
-    def __init__(self, share: float, chances: np.ndarray, weights: np.ndarray):
-        self.share, self.chances, self.weights = share, chances, weights
+    def __init__(self, shares: np.ndarray, chances: np.ndarray, weights: np.ndarray):
+        self.shares, self.chances, self.weights = shares, chances, weights
 
     def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Weak posterior and score, both chances of being good."""
         row, cell, value, found = features(texts)
         z = np.bincount(row, self.weights[cell] * value, len(texts)) + self.weights[-1]
-        return posterior(votes(found), self.share, self.chances), 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return posterior(votes(found), self.shares, self.chances), 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fit_rows: int = FIT_ROWS) -> Model:
@@ -203,12 +212,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fit_
     table = texts.select("text").mapInArrow(vote, "votes binary").groupBy("votes").agg(F.count("*").alias("n")).collect()
     patterns = np.array([np.frombuffer(bytes(r.votes), np.int8) for r in table]).reshape(-1, len(LABELLERS))
     counts = np.array([r.n for r in table], float)
-    share, chances = fit_labellers(patterns, counts)
+    shares, chances = fit_labellers(patterns, counts)
 
     def featurise(record_batches):
         for held in batches(arrow_rows(record_batches, "text"), lambda r: len(r[0]), _BATCH_BYTES):
             row, cell, value, found = features([t.encode("utf-8") for (t,) in held])
-            label = posterior(votes(found), share, chances)
+            label = posterior(votes(found), shares, chances)
             order = np.argsort(row, kind="stable")
             edge = np.searchsorted(row[order], np.arange(len(held) + 1))
             cut = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -218,15 +227,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fit_
             )
 
     total = counts.sum()
-    chosen = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1.0, total)))
-    sample = texts.where(chosen).select("text").mapInArrow(featurise, "cells binary, values binary, label double").limit(2 * fit_rows).collect()
+    share = 1.0 if total <= fit_rows else 0.95 * fit_rows / total
+    chosen = F.pmod(F.xxhash64("id", "text", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share)
+    sample = texts.where(chosen).select("text").mapInArrow(featurise, "cells binary, values binary, label double").limit(fit_rows).collect()
     sizes = [len(r["cells"]) // 4 for r in sample]
     cell = np.frombuffer(b"".join(bytes(r["cells"]) for r in sample), "<i4")
     value = np.frombuffer(b"".join(bytes(r["values"]) for r in sample), "<f4").astype(float)
     weights = fit_scorer(len(sample), np.repeat(np.arange(len(sample)), sizes), cell, value, np.array([r.label for r in sample]))
     if not len(sample):
         weights[-1] = 2.0
-    return Model(share, chances, weights)
+    return Model(shares, chances, weights)
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
