@@ -145,6 +145,19 @@ def test_licenses(spark, texts):
     assert not any(a.doc_id == b.doc_id and a.rule != b.rule and a.first <= b.first and b.last <= a.last for a in spans for b in spans if a.doc_id < 8)
 
 
+def test_license_gates_lose_no_match(spark):
+    """Without gates every rule runs on every text, and finds the same."""
+    rng = random.Random(12)
+    parts = [w for r in licenses.rules() for w in re.sub(r"[^a-z0-9 ]+", " ", r["regex"]).split()]
+    pool = sorted(set(parts))
+    every = [" ".join([*rng.choices(pool, k=12), *re.sub(r"\\(.*?\\)|[^a-z0-9 ]", "", r["regex"]).split(), *rng.choices(pool, k=5)]) for r in licenses.rules()[::3]]
+    table = licenses.rules()
+    ungated = [r | {"keyword": "anyhow", "gate": "anyhow"} for r in table]
+    df = docs_of(spark, every)
+    shown = lambda t, d: rows(licenses.scan(d, table=t).select("doc_id", "rule", "label", "first", "last"))
+    assert shown(table, df) == shown(ungated, df.withColumn("text", F.concat("text", F.lit(" anyhow"))))
+
+
 def test_license_edges(spark):
     docs = awkward(spark)
     got = licenses.license_digest(docs)
@@ -546,3 +559,17 @@ def test_pipeline_against_its_parts(spark):
     mixed = corpus_pipeline.STAGES[3][1](spark, near, SF)
     want = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
     assert Counter((r.doc_id, r.decoded_sha256) for r in out.collect()) == want
+
+
+def test_release_deletes_what_operators_wrote(spark):
+    import os
+
+    from sparrowmill.llm import common
+
+    common.release(spark)
+    docs = docs_of(spark, ["a b c", "a b c", "long text " * 20])
+    assert repeats.remove_repeats(docs).count() == 3 and exact_dedup.classes(docs).count() == 3
+    folders, tables = [p.removeprefix("file://") for p in common._WRITTEN], list(common._TABLES)
+    assert folders and tables and all(map(os.path.exists, folders))
+    common.release(spark)
+    assert not any(map(os.path.exists, folders)) and not any(map(spark.catalog.tableExists, tables))
