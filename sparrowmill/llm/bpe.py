@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import nonnull_text
-from .textkit import batches
+from .textkit import arrow_rows, batches
 
 MOST_VOCABULARY_BYTES = 64 << 20
-MOST_PIECES = 300_000
+MOST_PIECES = 100_000
 _NONE = 1 << 60
 _NO_PAIR = np.iinfo(np.int32).max
 _TOGETHER = 64  # longer pieces, in bytes, are merged alone
@@ -198,7 +198,7 @@ def merge_pieces(pieces: list[bytes], of_byte: np.ndarray, pairs: Pairs) -> tupl
 
 
 class Tokenizer:
-    """Encodes and decodes by ranks; keeps up to MOST_PIECES pieces: their ids, the ids as text, what they decode to."""
+    """Encodes and decodes by ranks; keeps up to MOST_PIECES pieces: their ids as text and what they decode to."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -206,13 +206,13 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
         whole = all(bytes([b]) in ranks for b in range(256))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32) if whole else None
         self.pairs = Pairs(ranks) if whole else None
 
-    def _entry(self, ids) -> tuple[tuple[int, ...], str, bytes]:
-        return tuple(ids), ",".join([self.names[i] for i in ids]), self.decode(ids)
+    def _entry(self, ids) -> tuple[str, bytes]:
+        return ",".join([self.names[i] for i in ids]), self.decode(ids)
 
     def _learn(self, new: set[str]) -> None:
         """Entries of pieces that are not kept yet; short ones are merged together."""
@@ -231,8 +231,8 @@ class Tokenizer:
                 for (piece, _), a, b in zip(part, [0, *ends], ends, strict=False):
                     self.pieces[piece] = self._entry(ids[a:b])
 
-    def entries(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
-        """The entry of every piece of every text."""
+    def entries(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
+        """The ids as text, and the bytes they decode to, of every piece of every text."""
         cut = list(map(self.find, texts))
         distinct = set(itertools.chain.from_iterable(cut))
         if len(self.pieces) + len(distinct) > MOST_PIECES:
@@ -245,7 +245,7 @@ class Tokenizer:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(itertools.chain.from_iterable([e[0] for e in found])) for found in self.entries(texts)]
+        return [[int(i) for e in found for i in e[0].split(",")] for found in self.entries(texts)]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -277,7 +277,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(record_batches):
         tokenizer = _tokenizer(shared, pattern)
         for b in record_batches:
-            ids = [i for part in batches(b.column("text").to_pylist(), len, _BATCH_BYTES) for i in tokenizer.encode(part)]
+            texts = (t for (t,) in arrow_rows([b], "text"))
+            ids = [i for part in batches(texts, len, _BATCH_BYTES) for i in tokenizer.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), nonnull_text(text_col).alias("text"))
@@ -308,11 +309,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for b in record_batches:
             n, of_ids, of_bytes = [], [], []
-            for part in batches(b.column("text").to_pylist(), len, _BATCH_BYTES):
+            for part in batches((t for (t,) in arrow_rows([b], "text")), len, _BATCH_BYTES):
                 for found in tokenizer.entries(part):
-                    n.append(sum([len(e[0]) for e in found]))
-                    of_ids.append(digest(",".join([e[1] for e in found]).encode()))
-                    of_bytes.append(digest(b"".join([e[2] for e in found])))
+                    ids = ",".join([e[0] for e in found])
+                    n.append(ids.count(",") + 1 if found else 0)
+                    of_ids.append(digest(ids.encode()))
+                    of_bytes.append(digest(b"".join([e[1] for e in found])))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), nonnull_text(text_col).alias("text"))

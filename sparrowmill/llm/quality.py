@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import nonnull_text
-from .textkit import arrow_rows, batches, pack, words
+from .textkit import arrow_rows, batches, pack, slices, words
 
 FIT_ROWS = 8192
 FEATURES = 1 << 16
@@ -259,7 +259,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     def run(record_batches):
         for b in record_batches:
-            texts = [(t or "").encode("utf-8") for t in b.column(at).to_pylist()]
+            texts = ((t or "").encode("utf-8") for part in slices(b) for t in part.column(at).to_pylist())
             keep = [shared.value.judge(part)[1] >= threshold for part in batches(texts, len, _BATCH_BYTES)]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 

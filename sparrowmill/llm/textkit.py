@@ -96,7 +96,14 @@ def batches(rows, size, most: int):
         yield held
 
 
+def slices(b, rows: int = 256):
+    """Parts of an Arrow batch, so that Python never holds all its texts."""
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def arrow_rows(record_batches, *columns: str):
-    """Tuples of the columns of Arrow batches, a batch at a time."""
+    """Tuples of the columns of Arrow batches."""
     for b in record_batches:
-        yield from zip(*[b.column(c).to_pylist() for c in columns], strict=True)
+        for part in slices(b):
+            yield from zip(*[part.column(c).to_pylist() for c in columns], strict=True)
