@@ -6,9 +6,11 @@ into Voronoi cells. From a summary of every cell (the k + 1 smallest distances o
 the triangle inequality, a distance within which the answers of all queries of a cell lie, and data go to a group of
 queries only if that bound lets them be an answer. Each group of queries is a cut of a cell of bounded size, data
 sent to it are dealt into shards of bounded size, shards are solved locally, and the best of the shards are merged.
+Cells whose bound lets through more than POOLED of all data gain nothing from being apart: their queries share groups, so
+data that cannot be pruned are copied once a group of group_queries queries and not once a cell.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as if filled
-with zeros. Ties go to the smaller id. Null ids take part as data never as queries. Rows that repeat an id are data
+with zeros. Ties go to the smaller id. Rows with null ids take no part; ids are read as long. Rows that repeat an id are data
 of their own; a query never meets rows with its own id. Empty tables and k beyond the data give what there is.
 """
 
@@ -25,6 +27,8 @@ from .common import materialise
 PIVOTS = 24
 GROUP_QUERIES = 512
 SHARD_ROWS = 8192
+POOLED = 0.5
+_POOL = -1
 
 
 def quantised(vector: str, scale: int) -> Column:
@@ -126,17 +130,22 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     for cell, (radius, n) in sorted(asking.items()):
         upper = np.sort(np.concatenate([radius + between[cell, j] + np.array(ds) for j, ds in enumerate(near) if ds]))
         bound = (upper[k] if len(upper) > k else np.inf) * (1 + 1e-9) + 1e-3
-        groups.append((int(cell), float(radius + bound), int(-(-n // group_queries))))
+        groups.append((int(cell), float(radius + bound), int(n)))
     if not groups:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sent = placed.agg(*[F.count(F.when(F.element_at("dists", c + 1) <= r, 1)) for c, r, _ in groups]).first()
+    pooled = [c for (c, _, _), rows in zip(groups, sent, strict=True) if rows > POOLED * n_rows]
+    in_pool = sum(n for c, _, n in groups if c in pooled)
+    groups = [(c, r, -(-n // group_queries)) for c, r, n in groups if c not in pooled] + ([(_POOL, 0.0, -(-in_pool // group_queries))] if pooled else [])
     shards = max(1, -(-n_rows // shard_rows))
     # A datum goes to a group if its distance to the group's pivot is at most radius + bound; cells far off never are.
-    reached = F.filter(F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(r).alias("r"), F.lit(b).alias("blocks")) for c, r, b in groups]), lambda g: F.element_at(F.col("dists"), g["cell"] + 1) <= g["r"])
+    reached = F.filter(F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(r).alias("r"), F.lit(b).alias("blocks")) for c, r, b in groups]), lambda g: F.coalesce(F.get("dists", g["cell"]) <= g["r"], F.lit(True)))  # the pool has no distance
     shard = F.pmod(F.xxhash64("id", "packed"), F.lit(shards)).cast("int")
     data = placed.select("id", "packed", shard.alias("shard"), F.explode(reached).alias("g"))
     data = data.select("id", "packed", "shard", F.col("g.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("block"))
-    blocks = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c, _, _ in groups]), F.array(*[F.lit(b) for _, _, b in groups])), F.col("ask_cell"))
-    asks = placed.where("asks").select("id", "packed", F.col("ask_cell").alias("cell"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    home = F.when(F.col("ask_cell").isin(pooled), _POOL).otherwise(F.col("ask_cell"))
+    blocks = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c, _, _ in groups]), F.array(*[F.lit(b) for _, _, b in groups])), home)
+    asks = placed.where("asks").select("id", "packed", home.alias("cell"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     keys = ["cell", "block", "shard"]
     local = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(lambda q, d: _solve(q, d, width, k), "query_id long, vec_id long, score long")
