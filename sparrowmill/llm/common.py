@@ -25,10 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+_TABLES: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators have written for themselves in this process, once their results are stored."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends at the files."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends at the files, until release()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,9 @@
 """License scans by ordered signature rules. DataFrame functions only.
 
 A text is read as words (runs of ASCII letters and digits and of characters beyond ASCII, ASCII letters in lower
-case), joined by single spaces. Every rule is a regex over that word string, gated by a keyword: its regex runs
-only on texts that hold the keyword as a word. Places that a rule finds become intervals of words; an interval
+case), joined by single spaces. Every rule is a regex over that word string, gated by keywords: texts that hold no rule's
+keyword are put aside by one scan, and a regex runs only on texts that hold its gate as a word, the word among those which
+it cannot do without that the fewest other rules share. Places that a rule finds become intervals of words; an interval
 inside another one is suppressed, the longer winning, then the rule with the smaller priority number, then the
 smaller rule number. What stays gives labels and a score (the highest confidence of a rule that stays).
 
@@ -15,6 +16,8 @@ Null ids are kept. Extra columns are not read. Long texts with many places becom
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +70,7 @@ mit|hereby|0.9|permission is hereby granted free of charge to any person obtaini
 mit|license|0.8|x11 license
 bsd|bsd|0.97|bsd (2|3|4|two|three|four) clause( simplified| new| revised| original)?( license)?
 bsd|license|0.95|(simplified|new|revised|modified|original) bsd license
-bsd|bsd|0.9|(licensed|released|distributed|available) under( the|a)? bsd( style)?( license)?
+bsd|bsd|0.9|(licensed|released|distributed|available) under( the| a)? bsd( style)?( license)?
 bsd|license|0.9|bsd( style)? license
 bsd|clause|0.9|(2|3|two|three) clause bsd( license)?
 bsd|redistribution|0.9|redistribution and use in source and binary forms with or without modification are permitted
@@ -206,7 +209,18 @@ def rules() -> list[dict]:
     for line in HAND.strip().splitlines():
         label, keyword, confidence, regex = line.split("|", 3)
         made.append((label, keyword, float(confidence), regex))
-    return [{"rule": n, "label": x[0], "keyword": x[1], "confidence": x[2], "regex": f"(?<= )((?:{x[3]}))(?= )"} for n, x in enumerate(made)]
+    needed = [_needed(x[3]) or {x[1]} for x in made]
+    shared = Counter(w for words in needed for w in words)
+    gates = [min(words, key=lambda w: (shared[w], -len(w), w)) for words in needed]
+    return [{"rule": n, "label": x[0], "keyword": x[1], "gate": g, "confidence": x[2], "regex": f"(?<= )((?:{x[3]}))(?= )"} for n, (x, g) in enumerate(zip(made, gates, strict=True))]
+
+
+def _needed(regex: str) -> set[str]:
+    """Words that stand in every match: those outside groups, with nothing optional in them."""
+    while "(" in regex:
+        regex = re.sub(r"\(([^()]*)\)\??", lambda m: " # " if m[1].startswith(" ") else "#", regex)
+    regex = re.sub(r"[# ]* \?", "#", regex)  # a space that may lack joins words
+    return {w for w in regex.split(" ") if re.fullmatch(r"[a-z0-9]*[a-z][a-z0-9]+", w)}
 
 
 def words_of(text: str) -> Column:
@@ -222,12 +236,12 @@ def _spaces(s: Column) -> Column:
 
 def detections(texts: DataFrame, key: list[str], words: str, table: list[dict]) -> DataFrame:
     """key, rule, label, confidence, first, last: all places of all rules, before suppression. One row a place."""
-    by_keyword: dict[str, list[dict]] = {}
+    by_gate: dict[str, list[dict]] = {}
     for r in table:
-        by_keyword.setdefault(r["keyword"], []).append(r)
-    kind = "struct<rule:int,label:string,keyword:string,confidence:double,regex:string>"
-    gates = F.array(*[F.lit(k) for k in sorted(by_keyword)])
-    ruled = F.from_json(F.lit(json.dumps(by_keyword)), f"map<string,array<{kind}>>")
+        by_gate.setdefault(r.get("gate", r["keyword"]), []).append(r)
+    kind = "struct<rule:int,label:string,confidence:double,regex:string>"
+    gates = F.array(*[F.lit(k) for k in sorted(by_gate)])
+    ruled = F.from_json(F.lit(json.dumps(by_gate)), f"map<string,array<{kind}>>")
     gated = texts.select(*key, words, F.explode(F.filter(gates, lambda k: F.instr(F.col(words), F.concat(F.lit(" "), k, F.lit(" "))) > 0)).alias("gate"))
     tried = gated.select(*key, words, F.inline(F.element_at(ruled, F.col("gate"))))
     marked = tried.select(*key, "rule", "label", "confidence", F.regexp_replace(F.col(words), F.col("regex"), F.lit("\u0001$1\u0002")).alias("marked"))
@@ -257,7 +271,7 @@ def _gated(docs: DataFrame, id_col: str, text_col: str, table: list[dict]) -> Da
 
 def _base_rules(base: dict[str, str]) -> list[dict]:
     """Zero-width, so that places which overlap are all found."""
-    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
+    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "gate": p.split()[0], "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[dict] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ Bytes decide everywhere; hashes only choose where to compare. Steps 2 and 3 hold
 contexts; a chunk is a few MB, or one text if that is longer.
 
 Cases: null and empty texts are zero bytes. Null ids are larger than all others and equal to each other. Rows that
-repeat an id are one document: they never remove from each other. Texts below 50 bytes lose nothing. Extra
+repeat an id are one document: they never remove from each other. Ids are read as long. Texts below 50 bytes lose nothing. Extra
 columns are not read. Empty tables give empty results.
 """
 
@@ -36,13 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, nonnull_text
+from .common import _TABLES, materialise, nonnull_text
 from .textkit import U, arrow_rows, batches, mix
 
 WINDOW, GRAM = 50, 24
 SIDE = WINDOW - GRAM  # bytes to the left of an anchor that a window can hold
 CONTEXT = SIDE + WINDOW
 CHUNK_BYTES = 2 << 20
+OWNER_BYTES = 3 << 20  # of text whose anchors an owner gets
 NO_ID = np.iinfo(np.int64).max
 _STEP = 1 << 18
 _BITS = np.arange(SIDE + 1)
@@ -161,7 +162,7 @@ def _distinct(rows: np.ndarray, major: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h * U(n)) >> U(48)).astype(np.int64)
+    return (((h >> U(16)) * U(n)) >> U(32)).astype(np.int64)
 
 
 def _split(key: np.ndarray) -> list[tuple[int, slice]]:
@@ -311,10 +312,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), nonnull_text(text_col).alias("text"))
     table = f"chunks_{uuid.uuid4().hex}"
+    _TABLES.append(table)
     rows.mapInArrow(gather, "chunk long, n long, blob binary").write.format("parquet").option("compression", "none").bucketBy(n, "chunk").saveAsTable(table)
     chunks = spark.table(table)
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    owners = int(min(65_535, max(n, total // (3 << 20))))
+    owners = int(min(2**31 - 1, max(n, total // OWNER_BYTES)))
 
     def ask(record_batches):
         for number, blob in arrow_rows(record_batches, "chunk", "blob"):
