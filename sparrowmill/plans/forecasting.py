@@ -59,12 +59,35 @@ def _(v):
     return _rounded(series.smoothed(v.ser, H, 0.05, 30), "SES")
 
 
-def _fitted(key: str, name: str) -> None:
-    query(key)(lambda v: series.forecast(v.ser, H, [name], 30))
-
-
-for _key, _name in (("ts_theta", "Theta"), ("ts_auto_theta", "AutoTheta"), ("ts_adida", "ADIDA"), ("ts_imapa", "IMAPA"), ("ts_auto_ets", "AutoETS"), ("ts_auto_arima", "AutoARIMA")):
-    _fitted(_key, _name)
+def _steps_sql(value: str, name: str) -> str:
+    """Future steps with a value that may grow by step k; v holds one row a series."""
+    return f"SELECT l.unique_id, l.e + CAST(30 * k AS INTEGER) AS ds, round({value}, 3) AS {name} FROM {_LAST}, v WHERE v.unique_id = l.unique_id"
+
+
+_PLACED = "p AS (SELECT unique_id, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY unique_id) AS n FROM ser)"
+#: Sums of `s` neighbours smoothed by 0.1, for s from the first to the mean interval between sales.
+_SUMMED = f"""{_PLACED}, m AS (SELECT unique_id, CASE WHEN count(*) > 1 THEN greatest(1, CAST(round_even((max(i) - min(i)) / (count(*) - 1.0), 0) AS BIGINT)) ELSE 1 END AS m FROM p WHERE y <> 0 GROUP BY 1),
+    z AS (SELECT unique_id, m, unnest(range(1, m + 1)) AS s FROM m),
+    b AS (SELECT p.unique_id, m, s, (i - (n - (n // s) * s)) // s AS j, n // s AS nb, sum(y) AS w FROM p JOIN z ON p.unique_id = z.unique_id WHERE i >= n - (n // s) * s GROUP BY 1, 2, 3, 4, 5),
+    f AS (SELECT unique_id, m, s, sum(w * CASE WHEN j = 0 THEN pow(0.9, nb - 1) ELSE 0.1 * pow(0.9, nb - 1 - j) END) / s AS x FROM b GROUP BY 1, 2, 3)"""
+_ADIDA = f"WITH {_SUMMED}, v AS (SELECT unique_id, x FROM f WHERE s = m) {_steps_sql('x', 'ADIDA')}"
+_IMAPA = f"WITH {_SUMMED}, v AS (SELECT unique_id, avg(x) AS x FROM f GROUP BY 1) {_steps_sql('x', 'IMAPA')}"
+#: The trend line, and the line of doubled curvature smoothed by the best of ten rates.
+_THETA = f"""WITH {_PLACED}, g AS (SELECT unique_id, regr_slope(y, i) AS slope, regr_intercept(y, i) AS base, any_value(n) AS n FROM p GROUP BY 1),
+    c AS (SELECT p.unique_id, i, p.n, 2 * y - (base + slope * i) AS x FROM p JOIN g ON p.unique_id = g.unique_id), al AS (SELECT 0.05 + 0.1 * unnest(range(0, 10)) AS a),
+    lv AS (SELECT t.unique_id, a, t.i, sum(q.x * CASE WHEN q.i = 0 THEN pow(1 - a, t.i) ELSE a * pow(1 - a, t.i - q.i) END) AS level FROM c t JOIN c q ON q.unique_id = t.unique_id AND q.i <= t.i, al GROUP BY 1, 2, 3),
+    er AS (SELECT lv.unique_id, a, sum((c.x - level) * (c.x - level)) AS sse FROM lv JOIN c ON c.unique_id = lv.unique_id AND c.i = lv.i + 1 GROUP BY 1, 2),
+    be AS (SELECT unique_id, arg_min(a, sse) AS a FROM er GROUP BY 1),
+    v AS (SELECT g.unique_id, base, slope, n, level FROM g JOIN be ON be.unique_id = g.unique_id JOIN lv ON lv.unique_id = g.unique_id AND lv.a = be.a AND lv.i = n - 1)
+    {_steps_sql('0.5 * (base + slope * (n - 1 + k)) + 0.5 * level', 'Theta')}"""
+
+
+def _fitted(key: str, name: str, sql: str | None = None) -> None:
+    query(key, sql, dates=("ds",) if sql else ())(lambda v: _rounded(series.forecast(v.ser, H, [name], 30), name))
+
+
+for _key, _name, _sql in (("ts_theta", "Theta", _THETA), ("ts_auto_theta", "AutoTheta", None), ("ts_adida", "ADIDA", _ADIDA), ("ts_imapa", "IMAPA", _IMAPA), ("ts_auto_ets", "AutoETS", None), ("ts_auto_arima", "AutoARIMA", None)):
+    _fitted(_key, _name, _sql)
 
 
 def _with_x(df):

@@ -189,3 +189,109 @@ def test_prompts_hold_the_whole_text(spark):
     got = {r.id: r for r in models.complete_batch(df, "id", "text", "summarize", lambda p, most: p.str.len().astype(str) + f" {most}").collect()}
     want = "Summarize the following text:\n" + text
     assert got["1"].prompt == want and got["1"].completion == f"{len(want)} 256" and got["2"].prompt is None
+
+
+def test_orders_by_ranges(spark):
+    import numpy as np
+
+    from sparrowmill.operators import ranks
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(0, 1, 3000), 2) + 0.0
+    x[:1000] = 0.5  # a third of all rows
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 7, "x double").repartition(5)
+    points = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    for most in (ranks.SAMPLE, 50):  # all values at hand, or by ranges
+        kept, ranks.SAMPLE = ranks.SAMPLE, most
+        try:
+            assert ranks.quantiles(df, "x", points) == pytest.approx(np.quantile(x, points).tolist())
+        finally:
+            ranks.SAMPLE = kept
+    assert ranks.quantiles(df.where("x is null"), "x", points) == []
+    counts = df.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    values, n = np.unique(x, return_counts=True)
+    assert rows(ranks.running(counts, "x", "n", parts=7).select("x", "n", "before")) == sorted(zip(values.tolist(), n.tolist(), (np.cumsum(n) - n).tolist(), strict=True), key=repr)
+    words = spark.createDataFrame([(w,) for w in ("b", "a", None, "c", "a")], "w string")
+    assert rows(ranks.dense_ids(words, "w")) == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(prep.fit_codes(words, "w")) == [("a", 1), ("b", 2), ("c", 3)]
+    coded = prep.ordinal(words.union(spark.createDataFrame([("z",)], "w string")), "w", prep.fit_codes(words, "w"))
+    assert sorted(r.w for r in coded.collect()) == [-1, -1, 1, 1, 2, 3]
+
+
+def test_refined_times_fold_a_user_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    events = [(rng.choice([1, 2, None]), rng.choice([None, *range(6)]), n) for n in range(200)]
+    want, state = [], {}
+    for u, t, n in sorted(events, key=lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, e[1] or 0, e[2])):
+        last, gap = state.get(u, (None, 1))
+        if t is not None:
+            out = t if last is None or t > last else t + gap
+            state[u] = (out, gap + (last is not None and t <= last))
+            t = out
+        want.append((u, t, n))
+    df = spark.createDataFrame(events, "u int, t long, id int").repartition(7)
+    assert rows(tables.refine_times(df, "u", "t", "id")) == sorted(want, key=repr)
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (150, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)] + [(999, None)], "article_id long, embedding array<float>")
+    want = []
+    for n, v in enumerate(vectors):
+        d = np.sqrt(((vectors - v) ** 2).sum(1))
+        want += [(n, int(i), r + 1) for r, i in enumerate(np.lexsort((np.arange(150), d))[:5])]
+    for block in (40, 4096):
+        assert rows(recs.nearest(df, df, 5, block_rows=block).select("query", "item", "rank")) == sorted(want, key=repr)
+
+
+def test_neighbourhoods_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    edges = [(rng.randrange(12), rng.randrange(8), t) for t in range(150)]
+
+    def latest(by, key, until, k):
+        return sorted([e for e in edges if e[by] == key and e[2] <= until], key=lambda e: (e[2], e[1 - by]))[-k:]
+
+    def brute(root, until, hops, item_max, user_max):
+        found, seen, front = set(), {root}, [root]
+        walked = latest(0, root, until, item_max)
+        found.update(walked)
+        for _ in range(hops - 1):
+            users = [e for i in {e[1] for e in walked} for e in latest(1, i, until, user_max)]
+            front = sorted({e[0] for e in users} - seen, reverse=True)[:user_max]
+            seen.update(front)
+            walked = [e for u in front for e in latest(0, u, until, item_max)]
+            found.update(users + walked)
+        return found
+
+    df = spark.createDataFrame(edges, "user_id long, item_id long, time long")
+    got = graph.sample_graphs(df, 3, item_max=4, user_max=3)
+    want = []
+    for u in range(12):
+        mine = sorted((e for e in edges if e[0] == u), key=lambda e: (e[2], e[1]))
+        for n in range(2, len(mine)):
+            want += [(u, n, *e) for e in brute(u, mine[n - 1][2], 3, 4, 3)]
+    assert rows(got.select("root", "n_items", "user_id", "item_id", "time")) == sorted(want, key=repr)
+    ready = {r.user_id: (r.sequence, r.target, r.n_items) for r in graph.user_samples(df, 5, predict=True).collect()}
+    for u in {e[0] for e in edges}:
+        mine = [e[1] for e in sorted((e for e in edges if e[0] == u), key=lambda e: (e[2], e[1]))]
+        assert ready[u] == (mine[-5:], 0, len(mine))
+
+
+def test_models_rank_and_score_in_batches(spark, tmp_path):
+    data = spark.createDataFrame([(n % 9, n, float(n % 7), float(n % 5), float(n % 7 > 3)) for n in range(180)], "customer_id long, article_id long, a double, b double, y double")
+    one, two = (models.train_gbt(data, [c], [], "y", maxIter=2, maxDepth=2) for c in ("a", "b"))
+    scorer = lambda m: lambda df: models.score(df, m, "score")
+    got = recs.rank_models(data, {"one": scorer(one), "two": scorer(two)}, top=5, k=3)
+    lists = {n: tables.top_lists(models.score(data, m, "score"), "customer_id", "article_id", "score", 5) for n, m in (("one", one), ("two", two))}
+    assert rows(got) == rows(recs.blend(lists, "customer_id", 3)) and got.count() == 9
+    path = str(tmp_path / "scores")
+    want = rows(models.score(data, one).select("article_id", "probability"))
+    assert rows(models.score_batched(data, one, "article_id", path, 3).select("article_id", "probability")) == want
+    assert rows(models.score_batched(data.limit(0), one, "article_id", path, 3).select("article_id", "probability")) == want  # nothing left to do
