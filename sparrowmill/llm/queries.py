@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, licenses, lm_scoring, mixing, near_dedup, quality, repeats, topk
+from . import bpe, exact_dedup, html_text, licenses, lm_scoring, mixing, near_dedup, periodic, quality, repeats, spelling, token_counts, topk
 from .common import query_source
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -18,6 +19,12 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = query_source(spark, sf_dir, "documents")
     return lm_scoring.score(docs, lm_scoring.good_ids(query_source(spark, sf_dir, "labels")))
@@ -61,8 +68,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(query_source(spark, sf_dir, "pages"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.scan(periodic.plant(query_source(spark, sf_dir, "documents"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(query_source(spark, sf_dir, "documents"), piece_file(), 4096)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(query_source(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_license_scan, op4_near_dedup, op5_exact_dedup, op6_byte_bpe, op7_quality, op8_topk, op9_mixing, op10_html_text)}
+    listed = (op1_lm_scoring, op2_suffix_dedup, op3_license_scan, op4_near_dedup, op5_exact_dedup, op6_byte_bpe, op7_quality, op8_topk, op9_mixing, op10_html_text, op11_runs, op12_token_counts, op13_spelling)
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
