@@ -1,11 +1,12 @@
 """Forecasts of many series. In: unique_id, ds, y. Out: unique_id, ds, a column a model, one row a future step.
 
-Closed forms are plain aggregates and windows. Fitted models run per series in numpy inside applyInPandas: a series is
-one group, as the model needs it whole.
+Closed forms are plain aggregates and windows. Fitted models run in numpy: a series is one row of arrays, as the model needs
+it whole, and the series of an Arrow batch are fitted side by side (statespace.py).
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import statespace
 from .frames import date_cutoffs, rename
 
 KEY = "unique_id string, ds date"
@@ -93,22 +95,6 @@ def theta(y: np.ndarray, h: int) -> np.ndarray:
     return 0.5 * (base + slope * np.arange(len(y), len(y) + h)) + 0.5 * _best_ses(curved)
 
 
-def auto_theta(y: np.ndarray, h: int) -> np.ndarray:
-    """The weight of the trend line that would have forecast the last values best."""
-    hold = max(1, len(y) // 5)
-    if len(y) < 6:
-        return theta(y, h)
-
-    def line(y: np.ndarray, w: float, h: int) -> np.ndarray:
-        t = np.arange(len(y))
-        slope, base = np.polyfit(t, y, 1)
-        trend, ahead = base + slope * t, base + slope * np.arange(len(y), len(y) + h)
-        return w * ahead + (1 - w) * _best_ses((y - w * trend) / (1 - w))
-
-    best = min((0.0, 0.25, 0.5, 0.75), key=lambda w: np.square(line(y[:-hold], w, hold) - y[-hold:]).sum())
-    return line(y, best, h)
-
-
 def _aggregated(y: np.ndarray, size: int) -> float:
     n = len(y) // size
     return _ses(y[len(y) - n * size :].reshape(n, size).sum(1), 0.1)[0] / size if n else float(y.mean())
@@ -127,123 +113,116 @@ def imapa(y: np.ndarray, h: int) -> np.ndarray:
     return np.full(h, np.mean([_aggregated(y, s) for s in range(1, _mean_interval(y) + 1)]))
 
 
-def _aicc(sse: float, n: int, k: int) -> float:
-    return n * np.log(max(sse, 1e-12) / n) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else np.inf)
-
-
-def auto_ets(y: np.ndarray, h: int) -> np.ndarray:
-    """Level, trend or damped trend with additive errors, by AICc over a grid."""
-    if len(y) < 4:
-        return np.full(h, y[-1], float)
-    best, n = (np.inf, np.full(h, y[-1], float)), len(y)
-    for a in np.linspace(0.1, 0.9, 5):
-        level, sse = _ses(y, a)
-        best = min(best, (_aicc(sse, n, 2), np.full(h, level)), key=lambda x: x[0])
-        for b in (0.05, 0.2, 0.5):
-            for damp in (0.9, 1.0):
-                level, trend, sse = y[0], y[1] - y[0], 0.0
-                for v in y[1:]:
-                    ahead = level + damp * trend
-                    sse += (v - ahead) ** 2
-                    new = ahead + a * (v - ahead)
-                    trend, level = damp * trend + a * b * (v - ahead), new
-                steps = np.cumsum(damp ** np.arange(1, h + 1))
-                best = min(best, (_aicc(sse, n, 4 + (damp < 1)), level + trend * steps), key=lambda x: x[0])
-    return best[1]
-
-
-def auto_arima(y: np.ndarray, h: int, x: np.ndarray | None = None, ahead: np.ndarray | None = None) -> np.ndarray:
-    """AR order 0 to 3 and 0 or 1 difference by conditional least squares and AICc, with regressors if given."""
-    best = (np.inf, np.full(h, y[-1], float))
-    for d in (0, 1):
-        z = np.diff(y, d)
-        xs = None if x is None else (x if d == 0 else np.diff(x, axis=0))
-        for p in range(0, 4):
-            n = len(z) - p
-            k = 1 + p + (0 if xs is None else xs.shape[1])
-            if n < k + 3:
-                continue
-            cols = [np.ones(n), *[z[p - i - 1 : len(z) - i - 1] for i in range(p)], *([] if xs is None else xs[p:].T)]
-            design = np.column_stack(cols)
-            beta, *_ = np.linalg.lstsq(design, z[p:], rcond=None)
-            sse = float(np.square(z[p:] - design @ beta).sum())
-            score = _aicc(sse, n, k) + 2 * d
-            if score >= best[0] or not np.isfinite(beta).all():
-                continue
-            past, out = list(z), []
-            steps = None if ahead is None else (ahead if d == 0 else np.diff(np.vstack([x[-1:], ahead]), axis=0))
-            for s in range(h):
-                row = [1.0, *[past[-i - 1] for i in range(p)], *([] if steps is None else steps[s])]
-                past.append(float(np.dot(row, beta)))
-                out.append(past[-1])
-            path = np.array(out) if d == 0 else y[-1] + np.cumsum(out)
-            if np.isfinite(path).all() and np.abs(path).max() <= 1e3 * (np.abs(y).max() + 1):
-                best = (score, path)
-    return best[1]
-
-
-MODELS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
-    "Naive": lambda y, h: np.full(h, y[-1], float),
-    "HistoricAverage": lambda y, h: np.full(h, y.mean()),
-    "SeasonalNaive": lambda y, h: np.resize(y[-4:], h).astype(float),
-    "WindowAverage": lambda y, h: np.full(h, y[-4:].mean()),
-    "SES": lambda y, h: np.full(h, _ses(y, 0.05)[0]),
-    "Theta": theta,
-    "AutoTheta": auto_theta,
-    "ADIDA": adida,
-    "IMAPA": imapa,
-    "AutoETS": auto_ets,
-    "AutoARIMA": auto_arima,
+Model = Callable[[list[np.ndarray], int, int], np.ndarray]
+
+
+def _each(model: Callable[..., np.ndarray]) -> Model:
+    return lambda series, h, season: np.array([model(y, h) for y in series])
+
+
+#: From the values of many series, the steps ahead and the season's length to the next values, a row a series.
+MODELS: dict[str, Model] = {
+    "Naive": _each(lambda y, h: np.full(h, y[-1], float)),
+    "HistoricAverage": _each(lambda y, h: np.full(h, y.mean())),
+    "SeasonalNaive": lambda series, h, season: np.array([np.resize(y[-season:], h).astype(float) for y in series]),
+    "WindowAverage": _each(lambda y, h: np.full(h, y[-4:].mean())),
+    "SES": _each(lambda y, h: np.full(h, _ses(y, 0.05)[0])),
+    "Theta": _each(theta),
+    "AutoTheta": statespace.auto_theta,
+    "ADIDA": _each(adida),
+    "IMAPA": _each(imapa),
+    "AutoETS": lambda series, h, season: statespace.auto_ets(series, h, season)[0],
+    "AutoARIMA": lambda series, h, season: statespace.auto_arima(series, h, season)[0],
 }
 QUICK = ("Naive", "HistoricAverage", "SES", "WindowAverage")
+TOGETHER = 256  # series of a task that are fitted side by side
 
 
-def models(names: list[str] | None = None, quick: bool = False) -> dict[str, Callable]:
+def models(names: list[str] | None = None, quick: bool = False) -> dict[str, Model]:
     names = list(QUICK) if quick else (names or ["AutoETS"])
     if unknown := [n for n in names if n not in MODELS]:
         raise ValueError(f"unknown models {unknown}; there are {sorted(MODELS)}")
     return {n: MODELS[n] for n in names}
 
 
-def with_fallback(model: Callable, fallback: Callable) -> Callable:
-    def run(y: np.ndarray, h: int) -> np.ndarray:
+def with_fallback(model: Model, fallback: Model) -> Model:
+    """The model's forecasts; the fallback's for a series on which it fails or gives no finite number."""
+
+    def run(series: list[np.ndarray], h: int, season: int) -> np.ndarray:
         try:
-            out = np.asarray(model(y, h), float)
-            return out if np.isfinite(out).all() else fallback(y, h)
+            out = np.array(model(series, h, season), float)
         except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
-            return fallback(y, h)
+            if len(series) == 1:
+                return fallback(series, h, season)
+            return np.concatenate([run([y], h, season) for y in series])
+        bad = np.flatnonzero(~np.isfinite(out).all(axis=1))
+        if len(bad):
+            out[bad] = fallback([series[i] for i in bad], h, season)
+        return out
 
     return run
 
 
-def forecast(df: DataFrame, h: int, names: list[str], step_days: int = 7, fallback: str = "HistoricAverage", extra: dict[str, Callable] | None = None) -> DataFrame:
-    """All models side by side; a model that fails on a series gives the fallback's values there."""
-    chosen = {n: with_fallback(m, MODELS[fallback]) for n, m in (models([n for n in names if n not in (extra or {})]) if set(names) - set(extra or {}) else {}).items()}
-    chosen |= {n: with_fallback(m, MODELS[fallback]) for n, m in (extra or {}).items()}
+def _chosen(names: list[str], fallback: str, extra: dict[str, Callable] | None) -> dict[str, Model]:
+    own = {n: _each(m) for n, m in (extra or {}).items()}
+    listed = [n for n in names if n not in own]
+    return {n: with_fallback(m, MODELS[fallback]) for n, m in ((models(listed) if listed else {}) | own).items()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y, end = pdf["y"].to_numpy(float), pd.Timestamp(pdf["ds"].iloc[-1])
-        days = [(end + pd.Timedelta(days=step_days * (i + 1))).date() for i in range(h)]
-        return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": days} | {n: m(y, h) for n, m in chosen.items()})
 
-    clean = df.where("y is not null").select(F.col("unique_id").cast("string"), "ds", F.col("y").cast("double"))
-    return clean.groupBy("unique_id").applyInPandas(run, ", ".join([KEY, *[f"{n} double" for n in chosen]]))
+def pack(df: DataFrame, *columns: str) -> DataFrame:
+    """unique_id, ds and arrays of y and other columns, by date: a row a series. Steps without y are left out."""
+    kept = [F.col(c).cast("double").alias(c) for c in ("y", *columns)]
+    clean = df.where("y is not null").select(F.col("unique_id").cast("string"), F.col("ds").cast("date").alias("ds"), *kept)
+    rows = clean.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y", *columns))).alias("_s"))
+    return rows.select("unique_id", *[F.col("_s")[c].alias(c) for c in ("ds", "y", *columns)])
 
 
-def forecast_exogenous(df: DataFrame, future_x: DataFrame, regressors: list[str], name: str = "AutoARIMA") -> DataFrame:
-    """Regression with autoregressive terms; every future step needs its regressors."""
+def _parts(batches):
+    for b in batches:
+        for at in range(0, len(b), TOGETHER):
+            yield b.iloc[at : at + TOGETHER]
 
-    def run(train: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        if not len(train) or not len(ahead):
-            return pd.DataFrame({"unique_id": pd.Series(dtype=str), "ds": pd.Series(dtype=object), name: pd.Series(dtype=float)})
-        train, ahead = train.sort_values("ds"), ahead.sort_values("ds")
-        if ahead[regressors].isna().any().any():
-            raise ValueError("a future step lacks its regressors")
-        out = auto_arima(train["y"].to_numpy(float), len(ahead), train[regressors].to_numpy(float), ahead[regressors].to_numpy(float))
-        return pd.DataFrame({"unique_id": train["unique_id"].iloc[0], "ds": ahead["ds"], name: out})
 
-    return df.groupBy("unique_id").cogroup(future_x.groupBy("unique_id")).applyInPandas(run, f"{KEY}, {name} double")
+def forecast(df: DataFrame, h: int, names: list[str], step_days: int = 7, fallback: str = "HistoricAverage", extra: dict[str, Callable] | None = None, season: int = 4) -> DataFrame:
+    """All models side by side; a model that fails on a series gives the fallback's values there.
+
+    A series is one row of arrays, and the series of a batch are fitted together. extra: name -> model of one series (y, h).
+    """
+    chosen = _chosen(names, fallback, extra)
+
+    def run(batches):
+        for part in _parts(batches):
+            series = [np.asarray(y, float) for y in part["y"]]
+            made = {n: m(series, h, season).ravel() for n, m in chosen.items()}
+            days = [end + datetime.timedelta(days=step_days * (i + 1)) for end in part["end"] for i in range(h)]
+            yield pd.DataFrame({"unique_id": np.repeat(part["unique_id"].to_numpy(), h), "ds": days} | made)
+
+    rows = pack(df).select("unique_id", F.element_at("ds", -1).alias("end"), "y")
+    return rows.mapInPandas(run, ", ".join([KEY, *[f"{n} double" for n in chosen]]))
+
+
+def forecast_exogenous(df: DataFrame, future_x: DataFrame, regressors: list[str], name: str = "AutoARIMA", season: int = 1) -> DataFrame:
+    """ARIMA whose regressors pass the same filter; every future step needs its regressors, past steps without are left out."""
+    steps = F.sort_array(F.collect_list(F.struct("ds", *[F.col(c).cast("double").alias(c) for c in regressors])))
+    later = future_x.groupBy(F.col("unique_id").cast("string").alias("unique_id")).agg(steps.alias("_x"))
+    later = later.select("unique_id", F.col("_x")["ds"].alias("_days"), *[F.col("_x")[c].alias(f"_{c}") for c in regressors])
+    rows = pack(df.dropna(subset=regressors), *regressors).join(later, "unique_id").drop("ds")
+
+    def run(batches):
+        for part in _parts(batches):
+            series = [np.asarray(y, float) for y in part["y"]]
+            past = [np.column_stack([np.asarray(v, float) for v in r]) for r in zip(*[part[c] for c in regressors], strict=True)]
+            ahead = [np.column_stack([np.asarray(v, float) for v in r]) for r in zip(*[part[f"_{c}"] for c in regressors], strict=True)]
+            if any(np.isnan(a).any() for a in ahead):
+                raise ValueError("a future step lacks its regressors")
+            h = max(map(len, ahead))
+            full = [np.vstack([a, np.repeat(a[-1:], h - len(a), axis=0)]) for a in ahead]
+            made = statespace.auto_arima(series, h, season, past, full)[0]
+            for key, days, y, values in zip(part["unique_id"], part["_days"], series, made, strict=True):
+                values = values[: len(days)] if np.isfinite(values).all() else np.full(len(days), y.mean())
+                yield pd.DataFrame({"unique_id": key, "ds": list(days), name: values})
+
+    return rows.mapInPandas(run, f"{KEY}, {name} double")
 
 
 def cutoffs(df: DataFrame, n_windows: int, step: int, h: int) -> DataFrame:
@@ -265,5 +244,62 @@ def cross_validate(df: DataFrame, h: int, n_windows: int, step: int, fit: Callab
     return actual.join(made, ["unique_id", "cutoff", "step"]).select("unique_id", "ds", "cutoff", "y", *value_cols)
 
 
+def _states(y: np.ndarray, ends: list[int], h: int, name: str, season: int) -> list[np.ndarray]:
+    """The forecasts of a closed form from each of y[:end], its state being kept at the ends of one pass."""
+    n = np.array(ends)
+    if name == "Naive":
+        last = y[n - 1]
+    elif name == "HistoricAverage":
+        last = np.cumsum(y)[n - 1] / n
+    elif name == "WindowAverage":
+        sums = np.concatenate([[0.0], np.cumsum(y)])
+        last = (sums[n] - sums[np.maximum(n - 4, 0)]) / np.minimum(n, 4)
+    elif name == "SES":
+        levels, level = np.empty(len(y)), y[0]
+        for i, v in enumerate(y):
+            level += 0.05 * (v - level)
+            levels[i] = level
+        last = levels[n - 1]
+    else:
+        return [np.resize(y[max(0, e - season) : e], h) for e in ends]
+    return [np.full(h, v, float) for v in last]
+
+
+CLOSED = ("Naive", "HistoricAverage", "WindowAverage", "SES", "SeasonalNaive")
+
+
+def cross_validate_models(df: DataFrame, h: int, n_windows: int, step: int, names: list[str], season: int = 4, fallback: str = "HistoricAverage") -> DataFrame:
+    """unique_id, ds, cutoff, y and a column a model: what cross_validate gives for these models, from one pass over each series.
+
+    A series is shuffled once, whatever the number of windows: closed forms keep their state at each cutoff, other models
+    are fitted on the prefixes that the task holds already.
+    """
+    origins = sorted(r[0] for r in cutoffs(df, n_windows, step, h).collect())  # n_windows dates
+    chosen = _chosen(names, fallback, None)
+
+    def run(batches):
+        for part in _parts(batches):
+            out, asked = [], []  # a piece: unique_id, days, cutoff, values; and the prefix of each
+            for key, days, y in zip(part["unique_id"], part["ds"], part["y"], strict=True):
+                days, y = np.array(days), np.asarray(y, float)
+                ends = [(c, int(np.searchsorted(days, c, side="right"))) for c in origins]
+                ends = [(c, e) for c, e in ends if 0 < e < len(days)]
+                if not ends:
+                    continue
+                states = {n: _states(y, [e for _, e in ends], h, n, season) for n in chosen if n in CLOSED}
+                for j, (c, e) in enumerate(ends):
+                    out.append((key, days[e : e + h], c, y[e : e + h], {n: s[j] for n, s in states.items()}))
+                    asked.append(y[:e])
+            for n, m in chosen.items():
+                if n not in CLOSED and asked:
+                    for piece, values in zip(out, m(asked, h, season), strict=True):
+                        piece[4][n] = values
+            for key, days, c, y, made in out:
+                yield pd.DataFrame({"unique_id": key, "ds": list(days), "cutoff": c, "y": y} | {n: made[n][: len(days)] for n in chosen})
+
+    columns = ", ".join([KEY, "cutoff date, y double", *[f"{n} double" for n in chosen]])
+    return pack(df).mapInPandas(run, columns)
+
+
 def compare(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["unique_id", "ds"]), frames)

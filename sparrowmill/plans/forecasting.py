@@ -83,7 +83,7 @@ _THETA = f"""WITH {_PLACED}, g AS (SELECT unique_id, regr_slope(y, i) AS slope,
 
 
 def _fitted(key: str, name: str, sql: str | None = None) -> None:
-    query(key, sql, dates=("ds",) if sql else ())(lambda v: _rounded(series.forecast(v.ser, H, [name], 30), name))
+    query(key, sql, dates=("ds",) if sql else ())(lambda v: _rounded(series.forecast(v.ser, H, [name], 30, season=12), name))
 
 
 for _key, _name, _sql in (("ts_theta", "Theta", _THETA), ("ts_auto_theta", "AutoTheta", None), ("ts_adida", "ADIDA", _ADIDA), ("ts_imapa", "IMAPA", _IMAPA), ("ts_auto_ets", "AutoETS", None), ("ts_auto_arima", "AutoARIMA", None)):
@@ -95,7 +95,7 @@ def _with_x(df):
 
 
 def _exogenous(v):
-    return series.forecast_exogenous(_with_x(v.ser), _with_x(series.future(v.ser, H, 30).select("unique_id", "ds")), ["december", "month"], "WithCalendar")
+    return series.forecast_exogenous(_with_x(v.ser), _with_x(series.future(v.ser, H, 30).select("unique_id", "ds")), ["december", "month"], "WithCalendar", season=12)
 
 
 @query("ts_auto_arima_x")
@@ -130,8 +130,7 @@ _CV = f"{_ORIGINS}, tr AS (SELECT unique_id, cutoff, max_by(y, ds) AS a, avg(y)
 
 
 def _cv(v):
-    fit = lambda df: series.compare(series.naive(df, 3, 30), series.historic_average(df, 3, 30))
-    return series.cross_validate(v.ser, 3, 3, 2, fit, ["Naive", "HistoricAverage"])
+    return series.cross_validate_models(v.ser, 3, 3, 2, ["Naive", "HistoricAverage"])
 
 
 @query("ts_cross_validate", f"WITH {_CV} SELECT unique_id, ds, cutoff, y, round(Naive, 3) AS Naive, round(HistoricAverage, 3) AS HistoricAverage FROM cv", dates=("ds", "cutoff"))
@@ -141,7 +140,7 @@ def _(v):
 
 @query("ts_compare_exo")
 def _(v):
-    return series.compare(_exogenous(v), series.forecast(v.ser, H, ["AutoARIMA"], 30))
+    return series.compare(_exogenous(v), series.forecast(v.ser, H, ["AutoARIMA"], 30, season=12))
 
 
 _ERR = "avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p) / abs(y)) AS mape"
