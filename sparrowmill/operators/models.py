@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import hash_key, prompt
 from ..sources import io
+from . import tuning
 from .ranks import dense_ids, quantiles
 
 
@@ -36,17 +37,39 @@ def train_gbt(df: DataFrame, numeric: list[str], categorical: list[str], label:
     return Pipeline(stages=[*_stages(numeric, categorical), gbt]).fit(df)
 
 
-def tune(df: DataFrame, numeric: list[str], categorical: list[str], label: str, draws: int = 3, parallelism: int = 2, seed: int = 42):
-    """Random draws of depth, rate and subsample, judged by AUC on a held-out part. Returns model and (params, AUC) of each."""
-    rng = random.Random(seed)
-    gbt = GBTClassifier(labelCol=label, seed=seed, maxIter=5)
-    grid = []
-    for _ in range(draws):
-        one = {gbt.maxDepth: rng.randint(2, 4), gbt.stepSize: rng.choice([0.05, 0.1, 0.2]), gbt.subsamplingRate: rng.choice([0.7, 1.0])}
-        grid += ParamGridBuilder().baseOn(one).build()
-    data = Pipeline(stages=_stages(numeric, categorical)).fit(df).transform(df)
-    found = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.75, seed=seed, parallelism=parallelism).fit(data)
-    return found.bestModel, [({p.name: v for p, v in g.items()}, m) for g, m in zip(grid, found.validationMetrics, strict=True)]
+#: What a search of boosted trees goes through if nothing else is asked for.
+GBT_SPACE: tuning.Space = {
+    "maxDepth": tuning.Whole(2, 6),
+    "stepSize": tuning.Real(1e-2, 1.0, log=True),
+    "subsamplingRate": tuning.Real(0.5, 1.0),
+    "minInstancesPerNode": tuning.Whole(1, 20),
+    "featureSubsetStrategy": tuning.Choice(("all", "sqrt")),
+}
+METRICS = ("areaUnderROC", "areaUnderPR", "logLoss", "f1", "accuracy")
+
+
+def tune(df: DataFrame, numeric: list[str], categorical: list[str], label: str, held: str, space: tuning.Space | None = None, metric: str = "areaUnderROC", direction: str = "maximize", rounds: int = 3, width: int = 4, iterations: tuple[int, int] = (4, 16), seed: int = 42, parallelism: int = 2):
+    """Model of the best parameters, and every trial (params, iterations, value).
+
+    Rows where `held` is true judge, the others fit; params are names of GBTClassifier, iterations the budget that halving raises.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {METRICS}")
+    kind = BinaryClassificationEvaluator if metric.startswith("area") else MulticlassClassificationEvaluator
+    judge = kind(labelCol=label, metricName=metric)
+    prepared = Pipeline(stages=_stages(numeric, categorical)).fit(df)
+    data = prepared.transform(df).select("features", F.col(label).cast("double").alias(label), F.col(held).alias("_held")).persist()
+    fit_rows, judge_rows = data.where(~F.col("_held")), data.where("_held")
+
+    def fit(params: dict, budget: int):
+        return GBTClassifier(labelCol=label, seed=seed, maxIter=budget, **params).fit(fit_rows)
+
+    try:
+        best, trials = tuning.search(space or GBT_SPACE, lambda p, b: judge.evaluate(fit(p, b).transform(judge_rows)), direction, rounds, width, iterations, seed=seed, parallelism=parallelism)
+        model = PipelineModel([*prepared.stages, fit(best.params, best.budget)])
+    finally:
+        data.unpersist()
+    return model, [(t.params, t.budget, t.value) for t in trials]
 
 
 def score(df: DataFrame, model, name: str = "probability") -> DataFrame:
@@ -57,13 +80,19 @@ def score(df: DataFrame, model, name: str = "probability") -> DataFrame:
 
 def score_batched(df: DataFrame, model, key: str, path: str, batches: int, name: str = "probability") -> DataFrame:
     """Scores, batch by batch: rows are dealt to batches by key, each is scored and written to a folder of its own below path,
-    and a run that starts again skips the batches that are complete."""
-    done = io.finished(df.sparkSession, path, "batch")
-    dealt = df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
-    for n in range(batches):
-        if n not in done:
-            score(dealt.where(F.col("batch") == n).drop("batch"), model, name).write.mode("overwrite").parquet(f"{path}/batch={n}")
-    return df.sparkSession.read.parquet(path).drop("batch")
+    and a run that starts again skips the batches that are complete. The rows are dealt once, into a table that each batch
+    reads its own folder of."""
+    spark = df.sparkSession
+    done = io.finished(spark, path, "batch")
+    missing = [n for n in range(batches) if n not in done]
+    if missing:
+        dealt = io.scratch(spark, "dealt")
+        numbered = df.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+        numbered.where(F.col("_batch").isin(missing)).write.partitionBy("_batch").parquet(dealt)
+        rows = spark.read.schema(numbered.schema).parquet(dealt)
+        for n in missing:
+            score(rows.where(F.col("_batch") == n).drop("_batch"), model, name).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return spark.read.parquet(path).drop("batch")
 
 
 def calibrate(df: DataFrame, score_col: str, label: str, method: str = "isotonic") -> Callable[[DataFrame], DataFrame]:
@@ -116,11 +145,23 @@ def attributions(df: DataFrame, model, features: list[str], id_col: str, label:
 
 
 def partial_dependence(df: DataFrame, model, feature: str, points: int = 5) -> DataFrame:
-    """feature, value, mean_score: the mean score with the feature set to each of a few of its quantiles."""
-    values = sorted(set(quantiles(df, feature, [i / (points - 1) for i in range(points)])))
-    grid = df.sparkSession.createDataFrame([(x,) for x in values], "_v double")
+    """feature, value, mean_score: the mean score with the feature set to each of a few of its quantiles, or, for text, to each
+    of its `points` most frequent values."""
+    numeric = dict(df.dtypes)[feature] != "string"
+    if numeric:
+        values = sorted(set(quantiles(df, feature, [i / (points - 1) for i in range(points)])))
+    else:
+        values = [r[0] for r in df.where(F.col(feature).isNotNull()).groupBy(feature).count().orderBy(F.desc("count"), feature).limit(points).collect()]
+    grid = df.sparkSession.createDataFrame([(x,) for x in values], f"_v {'double' if numeric else 'string'}")
     wide = df.drop(feature).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_v").cast(df.schema[feature].dataType))
-    return score(wide, model).groupBy(F.col("_v").alias("value")).agg(F.avg("probability").alias("mean_score")).withColumn("feature", F.lit(feature))
+    out = score(wide, model).groupBy(F.col("_v").cast("string").alias("value")).agg(F.avg("probability").alias("mean_score"))
+    return out.withColumn("feature", F.lit(feature))
+
+
+def dependence_of_top(df: DataFrame, model, importances: DataFrame, n: int = 5, points: int = 5) -> DataFrame:
+    """Partial dependence of the n features that an importance table ranks first."""
+    first = [r["feature"] for r in importances.orderBy(F.desc("importance"), "feature").limit(n).collect()]
+    return reduce(lambda a, b: a.unionByName(b), [partial_dependence(df, model, f, points) for f in first])
 
 
 def train_factors(df: DataFrame, user: str, item: str, rating: str, rank: int = 8, iterations: int = 4):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frames, metrics, models, prep, sessions
+from ..operators import attribution, frames, metrics, models, prep, sessions
 from ..sources import io
 from .registry import query
 from .relational import web_events
@@ -115,8 +115,9 @@ def _(v):
 
 @query("mdl_tune")
 def _(v):
-    _, tried = models.tune(_model_data(v), _NUM, _CAT, "y_quality", draws=2)
-    return v.spark.createDataFrame([(n, p["maxDepth"], float(p["stepSize"]), m) for n, (p, m) in enumerate(tried)], "draw int, depth int, rate double, auc double")
+    _, tried = models.tune(_model_data(v), _NUM, _CAT, "y_quality", "held", rounds=2, width=4, iterations=(2, 4))
+    rows = [(n, p["maxDepth"], float(p["stepSize"]), float(p["subsamplingRate"]), p["featureSubsetStrategy"], b, m) for n, (p, b, m) in enumerate(tried)]
+    return v.spark.createDataFrame(rows, "trial int, depth int, rate double, subsample double, features string, iterations int, auc double")
 
 
 @query("mdl_score")
@@ -138,20 +139,35 @@ def _(v):
     return apply(both).select("i_doc_id", "score", "sigmoid", F.col("calibrated").alias("isotonic"))
 
 
-@query("mdl_importance", "WITH a AS (SELECT c_lang AS feature, avg(abs(score - 0.5)) AS m FROM abt GROUP BY 1) SELECT feature, round(m / (SELECT sum(m) FROM a), 5) AS importance FROM a")
+@query("mdl_importance_rule", "WITH a AS (SELECT c_lang AS feature, avg(abs(score - 0.5)) AS m FROM abt GROUP BY 1) SELECT feature, round(m / (SELECT sum(m) FROM a), 5) AS importance FROM a")
 def _(v):
     made = v.abt.select(F.col("c_lang").alias("feature"), (F.col("score") - 0.5).alias("attribution"))
     return models.importance(made).withColumn("importance", F.round("importance", 5))
 
 
+def _attributed(v, model):
+    return attribution.tree_attributions(_model_data(v), model, [*_NUM, *_CAT], "i_doc_id", io.scratch(v.spark, "trees"))[0]
+
+
 @query("mdl_attribution")
+def _(v):
+    return _attributed(v, _model(v))
+
+
+@query("mdl_attribution_sampled")
 def _(v):
     return models.attributions(_model_data(v), _model(v), [*_NUM, *_CAT], "i_doc_id", "y_quality", 2)
 
 
+@query("mdl_importance")
+def _(v):
+    return models.importance(_attributed(v, _model(v)))
+
+
 @query("mdl_pdp")
 def _(v):
-    return models.partial_dependence(_model_data(v), _model(v), "signal")
+    model = _model(v)
+    return models.dependence_of_top(_model_data(v), model, models.importance(_attributed(v, model)), 2)
 
 
 @query("mdl_cf_train")

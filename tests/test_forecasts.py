@@ -99,5 +99,5 @@ def test_windows_from_one_pass(spark):
     want = series.cross_validate(df, 2, 4, 3, lambda d: series.forecast(d, 2, names), names)
     plain = lambda d: sorted((r.unique_id, r.ds, r.cutoff, *[round(r[n], 9) for n in ["y", *names]]) for r in d.collect())
     assert plain(got) == plain(want) and got.count() > 15
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = series.cross_validate_models(df, 2, 4, 3, names)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan  # a series moves once, not once a window
