@@ -142,7 +142,7 @@ def _bits(data: np.ndarray) -> np.ndarray:
     """Two words of bits a point, as many apart as the points or fewer: a letter's count in unary as far as there is room."""
     room = [data >= 1, data[:, :26] >= 2, data[:, :12] >= 3]
     packed = np.packbits(np.concatenate(room, axis=1), axis=1)
-    return np.ascontiguousarray(packed).view(np.uint64)
+    return np.ascontiguousarray(packed.view(np.uint64).T)
 
 
 def near_points(data: np.ndarray, asked: np.ndarray, up: int, down: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
@@ -167,7 +167,7 @@ def near_points(data: np.ndarray, asked: np.ndarray, up: int, down: int) -> list
         there = have[:1] if one else have
         for at in range(0, len(who), _ASKED):
             some = who[at : at + _ASKED]
-            apart = np.bitwise_count(asked_bits[some, None] ^ data_bits[None, there]).sum(2, dtype=np.uint8)
+            apart = sum(np.bitwise_count(asked_bits[w][some][:, None] ^ data_bits[w][there]) for w in (0, 1))
             q, k = np.nonzero(apart <= up + down)
             q, k = some[q], there[k]
             moved = data[k].astype(np.int32) - asked[q]
