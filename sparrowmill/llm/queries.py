@@ -113,4 +113,20 @@ def oracle_sql() -> dict[str, str]:
                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
             e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
             SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - begin)) AS BIGINT) AS taken FROM e""",
+        "op13_spelling": r"""
+            WITH RECURSIVE bits AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+            runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+            per AS (SELECT run, count(*) AS n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS h FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+            crc AS (SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]))) AS c FROM per, bits),
+            made AS (SELECT CASE WHEN c % 31 = 0 THEN left(run, CAST(c % length(run) AS INTEGER)) || substr(run, CAST(c % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM crc),
+            w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+            spot AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+            gap AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS pat, left(word, i - 1) || substr(word, i + 1) AS cut FROM spot),
+            ins AS (SELECT DISTINCT g.word AS a, w.word AS b, g.n AS an, w.n AS bn FROM gap g JOIN w ON g.cut = w.word),
+            near AS (SELECT a.word AS a, b.word AS b, b.n AS bn FROM gap a JOIN gap b ON a.pat = b.pat AND a.word <> b.word UNION ALL SELECT a, b, bn FROM ins UNION ALL SELECT b, a, an FROM ins),
+            best AS (SELECT a, b, bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS r FROM near),
+            f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * w.n THEN b END AS form, CASE WHEN bn >= 10 * w.n THEN bn END AS form_n FROM w LEFT JOIN best ON best.a = w.word AND r = 1),
+            ch AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT ch.word, f.form FROM ch JOIN f ON f.word = ch.root WHERE f.form IS NOT NULL),
+            en AS (SELECT ch.word, ch.root FROM ch JOIN f ON f.word = ch.root WHERE f.form IS NULL)
+            SELECT f.word, form, coalesce(en.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN en ON en.word = f.word""",
     }
