@@ -209,7 +209,7 @@ def rules() -> list[dict]:
     for line in HAND.strip().splitlines():
         label, keyword, confidence, regex = line.split("|", 3)
         made.append((label, keyword, float(confidence), regex))
-    needed = [_needed(x[3]) or {x[1]} for x in made]
+    needed = [{f" {w} " for w in _needed(x[3])} or {x[1]} for x in made]  # words with their spaces, or letters anywhere
     shared = Counter(w for words in needed for w in words)
     gates = [min(words, key=lambda w: (shared[w], -len(w), w)) for words in needed]
     return [{"rule": n, "label": x[0], "keyword": x[1], "gate": g, "confidence": x[2], "regex": f"(?<= )((?:{x[3]}))(?= )"} for n, (x, g) in enumerate(zip(made, gates, strict=True))]
@@ -238,11 +238,11 @@ def detections(texts: DataFrame, key: list[str], words: str, table: list[dict])
     """key, rule, label, confidence, first, last: all places of all rules, before suppression. One row a place."""
     by_gate: dict[str, list[dict]] = {}
     for r in table:
-        by_gate.setdefault(r.get("gate", r["keyword"]), []).append(r)
+        by_gate.setdefault(r.get("gate") or r["keyword"], []).append(r)
     kind = "struct<rule:int,label:string,confidence:double,regex:string>"
     gates = F.array(*[F.lit(k) for k in sorted(by_gate)])
     ruled = F.from_json(F.lit(json.dumps(by_gate)), f"map<string,array<{kind}>>")
-    gated = texts.select(*key, words, F.explode(F.filter(gates, lambda k: F.instr(F.col(words), F.concat(F.lit(" "), k, F.lit(" "))) > 0)).alias("gate"))
+    gated = texts.select(*key, words, F.explode(F.filter(gates, lambda k: F.instr(F.col(words), k) > 0)).alias("gate"))
     tried = gated.select(*key, words, F.inline(F.element_at(ruled, F.col("gate"))))
     marked = tried.select(*key, "rule", "label", "confidence", F.regexp_replace(F.col(words), F.col("regex"), F.lit("\u0001$1\u0002")).alias("marked"))
     found = marked.where(F.contains("marked", F.lit("\u0001"))).select(*key, "rule", "label", "confidence", F.posexplode(F.split("marked", "\u0001")).alias("n", "piece"))
@@ -271,7 +271,7 @@ def _gated(docs: DataFrame, id_col: str, text_col: str, table: list[dict]) -> Da
 
 def _base_rules(base: dict[str, str]) -> list[dict]:
     """Zero-width, so that places which overlap are all found."""
-    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "gate": p.split()[0], "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
+    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "gate": f" {p.split()[0]} ", "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[dict] | None = None) -> DataFrame:
