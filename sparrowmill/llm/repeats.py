@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLES, materialise, nonnull_text
+from .common import _TABLES, _WRITTEN, materialise, nonnull_text, shared_folder
 from .textkit import U, arrow_rows, batches, mix
 
 WINDOW, GRAM = 50, 24
@@ -313,7 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), nonnull_text(text_col).alias("text"))
     table = f"chunks_{uuid.uuid4().hex}"
     _TABLES.append(table)
-    rows.mapInArrow(gather, "chunk long, n long, blob binary").write.format("parquet").option("compression", "none").bucketBy(n, "chunk").saveAsTable(table)
+    _WRITTEN.append(f"{shared_folder(spark)}/{table}")
+    rows.mapInArrow(gather, "chunk long, n long, blob binary").write.format("parquet").option("compression", "none").option("path", f"{shared_folder(spark)}/{table}").bucketBy(n, "chunk").saveAsTable(table)
     chunks = spark.table(table)
     total = chunks.agg(F.sum("n")).first()[0] or 0
     owners = int(min(2**31 - 1, max(n, total // OWNER_BYTES)))
