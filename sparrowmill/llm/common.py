@@ -53,5 +53,15 @@ def nonnull_text(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, names as they are."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 def query_source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

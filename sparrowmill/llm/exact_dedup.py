@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, materialise, nonnull_text
+from .common import SPACES, materialise, nonnull_text, whole_row
 
 CAPACITY = 4096
 SALTS = 16
@@ -135,5 +135,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs whose text no document with a smaller id has, with all their columns."""
     index = build_index(docs, id_col, text_col, **options)
     text = normalised(text_col)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _key(text, index.key_bits).alias("key"), F.sha2(text, 256).alias("sha"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), _key(text, index.key_bits).alias("key"), F.sha2(text, 256).alias("sha"))
     return index.look_up(rows).where(F.col("size").isNull() | F.col("id").eqNullSafe(F.col("head"))).select("row.*")

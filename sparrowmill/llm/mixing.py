@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, materialise, nonnull_text
+from .common import SPACES, materialise, nonnull_text, whole_row
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -102,11 +102,11 @@ def first_words(text: str | Column, n: Column) -> Column:
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 1, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """The mixed rows: a document as often as it is taken, the one at a source's budget cut to the words that remain."""
-    row = F.struct(*docs.columns).alias("row")
+    row = whole_row(docs).alias("row")
     shares = _shares(docs, id_col, text_col, source_col, seed, [row], weights, share, most)
     whole = (F.col("epochs") + (F.col("part") == F.col("size")).cast("long") * (F.col("part") > 0).cast("long")).cast("int")
     cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     copies = F.concat(F.array_repeat(F.lit(False), whole), F.when(cut, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     rows = shares.select("row", "part", F.explode(copies).alias("is_cut"))
     texts = F.when(F.col("is_cut"), first_words(F.col("row")[text_col], F.col("part"))).otherwise(F.col("row")[text_col])
-    return rows.select(*[texts.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.select(*[texts.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -72,9 +72,9 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
         region = mix(e[at] + unit.astype(U) * _ODD + U(1))
         whose, share, rank = o[at], np.minimum(1.0, x[at] - unit), np.zeros(len(at))
         coords, ranks, darts = [], [], []
-        nth = U(0)
+        nth = np.zeros(1, U)
         while len(region):
-            nth += U(1)
+            nth = nth + U(1)
             dart = mix(region + nth * _ODD)
             rank = rank - np.log(((dart >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)  # gaps of a Poisson process
             more = rank < level[whose]
