@@ -30,9 +30,12 @@ def main() -> None:
     plans["agg_count_rows"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     seconds, rows = {}, {}
     for key in KEYS:
+        # Every column is computed and thrown away; a count would let the optimizer drop them. Rows are counted apart.
         began = time.perf_counter()
-        rows[key] = plans[key](spark, sf_dir).count()
+        plans[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[key] = round(time.perf_counter() - began, 3)
+    for key in KEYS:
+        rows[key] = plans[key](spark, sf_dir).count()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec", "queries": seconds, "rows": rows, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 

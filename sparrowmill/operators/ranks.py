@@ -15,13 +15,26 @@ from pyspark.sql import Window as W
 
 PARTS = 64
 SAMPLE = 16_384
+RANGE_ROWS = 1_000_000  # distinct values of a range, about
+
+
+def _sample(values: DataFrame, column: str, most: int) -> list:
+    return [r[0] for r in values.select(column).orderBy(F.xxhash64(column), column).limit(most).collect()]
 
 
 def ranges(values: DataFrame, column: str, parts: int = PARTS) -> Column:
-    """The number of a value's range. Cut points: quantiles of SAMPLE of the distinct values, taken in hash order."""
-    picked = [r[0] for r in values.select(column).orderBy(F.xxhash64(column), column).limit(SAMPLE).collect()]
+    """The number of a value's range. Cut points: quantiles of SAMPLE of the distinct values, taken in hash order.
+
+    Tables of more than PARTS * RANGE_ROWS values get up to PARTS * PARTS ranges, from a sample that is four times as large:
+    PARTS of them by halving, and those of each by a list.
+    """
+    picked, inner = _sample(values, column, SAMPLE), 1
+    if len(picked) == SAMPLE:
+        inner = min(parts, max(1, math.ceil(values.count() / (parts * RANGE_ROWS))))
+        picked = _sample(values, column, 4 * SAMPLE) if inner > 1 else picked
     picked = sorted(x for x in picked if x == x)
-    cuts = sorted({picked[len(picked) * n // parts] for n in range(1, parts)}) if picked else []
+    every = [picked[len(picked) * n // (parts * inner)] for n in range(1, parts * inner)] if picked else []
+    cuts = every[inner - 1 :: inner]
 
     def place(low: int, high: int) -> Column:
         """How many of cuts[low:high] lie below the value, by halving."""
@@ -30,7 +43,11 @@ def ranges(values: DataFrame, column: str, parts: int = PARTS) -> Column:
         middle = (low + high) // 2
         return F.when(F.col(column) <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
 
-    return place(0, len(cuts))
+    outer = place(0, len(cuts))
+    if inner == 1:
+        return outer
+    lists = F.array(*[F.array(*[F.lit(x) for x in every[n * inner : n * inner + inner - 1]]) for n in range(parts)])
+    return outer * inner + F.size(F.filter(F.get(lists, outer), lambda x: x < F.col(column)))
 
 
 def running(values: DataFrame, column: str, amount: str, name: str = "before", parts: int = PARTS) -> DataFrame:
@@ -38,7 +55,7 @@ def running(values: DataFrame, column: str, amount: str, name: str = "before", p
     placed = values.withColumn("_range", ranges(values, column, parts))
     sums = placed.groupBy("_range").agg(F.sum(amount).alias("_sum"))
     before = W.rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(before.orderBy("_range")), F.lit(0)).alias("_base"))  # at most PARTS rows
+    base = sums.select("_range", F.coalesce(F.sum("_sum").over(before.orderBy("_range")), F.lit(0)).alias("_base"))  # at most PARTS * PARTS rows
     inside = F.coalesce(F.sum(amount).over(W.partitionBy("_range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return placed.withColumn(name, inside).join(F.broadcast(base), "_range").withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")
 

@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import cosine, jaccard
+from ..functions.scalars import dot
 from .frames import fill_counts, newest
 from .sampling import quantile_bin
 from .tables import head_per_group, mean_vector, through_attribute, top_lists, width
@@ -125,14 +125,24 @@ def collect(base: DataFrame, *lists: DataFrame) -> DataFrame:
 
 
 def unpack(wide: DataFrame, strategies: list[str]) -> DataFrame:
-    """customer, article, strategy; found by several strategies: multiple_strategies."""
-    def tagged(s: str):
-        return F.transform(F.coalesce(F.col(s), F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("article_id"), F.lit(s).alias("strategy_name")))
+    """customer, article, strategy; found by several strategies: multiple_strategies. Customers stand in one row each.
 
-    rows = F.flatten(F.array(*[tagged(s) for s in strategies]))
-    long = wide.select("customer_id", F.inline(rows))
-    several = F.when(F.min("strategy_name") != F.max("strategy_name"), "multiple_strategies").otherwise(F.min("strategy_name"))
-    return long.groupBy("customer_id", "article_id").agg(several.alias("strategy_name"))
+    A customer's lists are merged where they stand, so nothing is shuffled: an article is told by the lists that hold it.
+    """
+    def named(s: str) -> Column:
+        given = F.array_distinct(F.filter(F.coalesce(F.col(s), F.array().cast("array<bigint>")), lambda x: x.isNotNull()))
+        return F.transform(given, lambda x: F.struct(x.alias("article_id"), F.lit(s).alias("strategy_name")))
+
+    tagged = F.flatten(F.array(*[named(s) for s in strategies]))
+    ordered = wide.select("customer_id", F.array_sort(tagged).alias("_all"))
+
+    def seen(step: int, i: Column) -> Column:
+        """Whether the neighbour `step` places on is the same article."""
+        return F.coalesce(F.get("_all", i + step)["article_id"] == F.get("_all", i)["article_id"], F.lit(False))
+
+    # Sorted by article, equal ones are neighbours: the first of them stays.
+    marked = F.transform("_all", lambda x, i: F.when((i == 0) | ~seen(-1, i), F.struct(x["article_id"].alias("article_id"), F.when(seen(1, i), F.lit("multiple_strategies")).otherwise(x["strategy_name"]).alias("strategy_name"))))
+    return ordered.select("customer_id", F.inline(F.filter(marked, lambda x: x.isNotNull())))
 
 
 def recall(wide: DataFrame, strategies: list[str], validation: DataFrame) -> DataFrame:
@@ -153,11 +163,18 @@ def attribute_sets(articles: DataFrame, columns: list[str]) -> DataFrame:
 def average_jaccard(candidates: DataFrame, tx: DataFrame, attributes: DataFrame, n_last: int = 5, name: str = "articles_jaccard_similarity") -> DataFrame:
     """Mean Jaccard similarity of a candidate to the customer's recent items; 0 without history.
 
-    A customer's few recent attribute sets travel as one list, so a candidate is compared where it stands.
+    A customer's few recent attribute sets travel as one list, so a candidate is compared where it stands. Attributes are
+    compared by 64-bit hashes made once an article, which Spark intersects as plain numbers.
     """
-    history = recent_items(tx, n_last).join(attributes, "article_id", "left").groupBy("customer_id").agg(F.collect_list("attributes").alias("_sets"), F.count("*").alias("_n"))
-    joined = candidates.join(attributes.select("article_id", "attributes"), "article_id", "left").join(history, "customer_id", "left")
-    total = F.aggregate("_sets", F.lit(0.0), lambda s, x: s + F.coalesce(jaccard(F.col("attributes"), x), F.lit(0.0)))
+    numbers = attributes.select("article_id", F.transform("attributes", lambda x: F.xxhash64(x)).alias("_set"))
+    history = recent_items(tx, n_last).join(numbers, "article_id", "left").groupBy("customer_id").agg(F.collect_list("_set").alias("_sets"), F.count("*").alias("_n"))
+    joined = candidates.join(numbers, "article_id", "left").join(history, "customer_id", "left")
+
+    def likeness(x: Column) -> Column:
+        both = F.size(F.array_intersect("_set", x))
+        return F.coalesce(F.try_divide(both.cast("double"), (F.size("_set") + F.size(x) - both).cast("double")), F.lit(0.0))
+
+    total = F.aggregate("_sets", F.lit(0.0), lambda s, x: s + F.when(F.col("_set").isNull(), 0.0).otherwise(likeness(x)))
     return joined.select(*candidates.columns, F.coalesce(total / F.col("_n"), F.lit(0.0)).alias(name))
 
 
@@ -166,9 +183,13 @@ def customer_vectors(tx: DataFrame, vectors: DataFrame, n_last: int = 5) -> Data
 
 
 def cosine_feature(candidates: DataFrame, customers: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
-    """Cosine of candidate and customer vector, 0 where either is missing."""
-    joined = candidates.join(customers, "customer_id", "left").join(vectors.select("article_id", "embedding"), "article_id", "left")
-    return joined.select("customer_id", "article_id", "strategy_name", F.coalesce(cosine("embedding", "customer_vector"), F.lit(0.0)).alias(f"{name}_cosine_similarity"))
+    """Cosine of candidate and customer vector, 0 where either is missing. Norms are taken once a customer and once an article."""
+    norm = lambda c: F.sqrt(dot(c, c))
+    whose = customers.withColumn("_norm", norm("customer_vector"))
+    what = vectors.select("article_id", "embedding", norm("embedding").alias("_norm2"))
+    joined = candidates.join(whose, "customer_id", "left").join(what, "article_id", "left")
+    likeness = F.try_divide(dot("embedding", "customer_vector"), F.col("_norm") * F.col("_norm2"))
+    return joined.select("customer_id", "article_id", "strategy_name", F.coalesce(likeness, F.lit(0.0)).alias(f"{name}_cosine_similarity"))
 
 
 def merge_similarities(*frames: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import days_between
+from .quantiles import grouped_quantiles
 from .ranks import quantiles
 
 
@@ -59,22 +60,39 @@ def rebuy_share(df: DataFrame, user: str, item: str, name: str = "rebuy_share")
     return df.groupBy(user, item).agg(F.count("*").alias("n")).groupBy(item).agg(F.avg(F.when(F.col("n") > 1, 1.0).otherwise(0.0)).alias(name))
 
 
-_STATS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "median": lambda c: F.percentile(c, F.lit(0.5))}
+_STATS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
 
 def deep_features(df: DataFrame, parent: str, columns: list[str], date_col: str, windows: list[int | None], suffix: str) -> DataFrame:
-    """sum, mean, median, max, min of columns and a count for each parent and window of days, all in one pass.
+    """sum, mean, median, max, min of columns and a count for each parent and window of days.
 
     Names end in _{n}_{suffix}, or _{suffix} for the window None (everything). A parent with nothing in a window has nulls.
+    Medians are exact and hold a bounded number of a parent's values at a time; the others come from one pass.
     """
     top = df.agg(F.max(date_col).alias("newest"))
-    aggs = []
+    dated = df.crossJoin(F.broadcast(top))
+    aggs, cases, medians = [], [], []
     for n in windows:
         inside = F.lit(True) if n is None else F.col(date_col) >= F.date_sub("newest", n)
         end = f"_{suffix}" if n is None else f"_{n}_{suffix}"
         aggs += [f(F.when(inside, F.col(c))).alias(f"{name}_{c}{end}") for c in columns for name, f in _STATS.items()]
         aggs.append(F.count(F.when(inside, 1)).alias(f"count{end}"))
-    return df.crossJoin(F.broadcast(top)).groupBy(parent).agg(*aggs)
+        for c in columns:
+            cases.append(F.struct(F.lit(len(medians)).alias("case"), F.when(inside, F.col(c).cast("double")).alias("x")))
+            medians.append(f"median_{c}{end}")
+    long = dated.select(parent, F.inline(F.array(*cases)))
+    found = grouped_quantiles(long, [parent, "case"], "x", [0.5], ["median"])
+    wide = found.groupBy(parent).agg(*[F.max(F.when(F.col("case") == n, F.col("median"))).alias(name) for n, name in enumerate(medians)])
+    made = dated.groupBy(parent).agg(*aggs)
+    keep = [c for c in made.columns if c != parent]
+    return made.join(wide.withColumnRenamed(parent, "_parent"), F.col(parent).eqNullSafe(F.col("_parent")), "left").select(parent, *keep, *medians)
+
+
+def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
+    """group, low, q1, mid, q3, high: the five numbers of a box plot, exact, with a bounded number of a group's values at a time."""
+    ends = df.where(F.col(column).isNotNull()).groupBy(group).agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    inner = grouped_quantiles(df, [group], column, [0.25, 0.5, 0.75], ["q1", "mid", "q3"]).withColumnRenamed(group, "_group")
+    return ends.join(inner, F.col(group).eqNullSafe(F.col("_group"))).select(group, "low", "q1", "mid", "q3", "high")
 
 
 def width(df: DataFrame, vector: str) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import frames, ranks, sampling, sessions, tables
+from ..operators import frames, quantiles, ranks, sampling, sessions, tables
 from ..sources import io
 from .registry import query
 
@@ -379,8 +379,8 @@ def _(v):
 
 @query("agg_box_stats", "SELECT product_group_name, min(list_price) AS low, round(quantile_cont(list_price, 0.25), 4) AS q1, round(median(list_price), 4) AS mid, round(quantile_cont(list_price, 0.75), 4) AS q3, max(list_price) AS high FROM art GROUP BY 1")
 def _(v):
-    q = F.percentile("list_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return v.art.groupBy("product_group_name").agg(F.min("list_price").alias("low"), q.alias("q"), F.max("list_price").alias("high")).select("product_group_name", "low", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "mid", "q3"))], "high")
+    made = tables.box_stats(v.art, "product_group_name", "list_price")
+    return made.withColumns({c: F.round(c, 4) for c in ("q1", "mid", "q3")})
 
 
 @query("agg_profile", "SELECT 'age' AS \"column\", count(age) AS count, count(*) - count(age) AS nulls, count(DISTINCT age) AS n_distinct, min(age) AS min, max(age) AS max, round(avg(age), 4) AS mean, round(stddev_samp(age), 4) AS std, round(quantile_cont(age, 0.25), 4) AS q1, round(quantile_cont(age, 0.5), 4) AS q2, round(quantile_cont(age, 0.75), 4) AS q3 FROM cust UNION ALL SELECT 'postal_code', count(postal_code), count(*) - count(postal_code), count(DISTINCT postal_code), min(postal_code), max(postal_code), round(avg(postal_code), 4), round(stddev_samp(postal_code), 4), round(quantile_cont(postal_code, 0.25), 4), round(quantile_cont(postal_code, 0.5), 4), round(quantile_cont(postal_code, 0.75), 4) FROM cust")
@@ -388,6 +388,12 @@ def _(v):
     return tables.profile(v.cust, ["age", "postal_code"]).withColumns({c: F.round(c, 4) for c in ("mean", "std", "q1", "q2", "q3")})
 
 
+@query("agg_profile_sketch")
+def _(v):
+    parts = quantiles.sketch_parts(v.tx, ["price", "article_id", "customer_id"], "t_dat")
+    return quantiles.merged_profile(parts)
+
+
 @query("ga_sessions", """SELECT user_id AS i_visitor_id, session_id AS i_session_id, CASE WHEN start IS NULL THEN last ELSE start END AS i_visit_start_time, event_date AS i_event_date, browser AS c_browser, os AS c_os, country AS c_country, source AS c_source, medium AS c_medium, n_hits, n_page_views, n_visits, n_total_time, n_new_visit, y_add_to_cart FROM (
     SELECT user_id, session_id, event_date, browser, os, country, source, medium, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS n_new_visit, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS y_add_to_cart, max(CASE WHEN event_type = 'error' THEN micros END) AS start, max(micros) AS last
     FROM (SELECT *, CAST(ts AS DATE) AS event_date, user_id * 1000 + day(ts) AS session_id, epoch_us(ts) AS micros, ['chrome', 'safari', 'firefox'][user_id % 3 + 1] AS browser, CASE WHEN user_id % 2 = 0 THEN 'linux' ELSE 'mac' END AS os, 'c' || (user_id % 5) AS country, CASE WHEN event_id % 4 = 0 THEN 'ad' ELSE 'direct' END AS source, 'm' AS medium FROM events) GROUP BY ALL) s
