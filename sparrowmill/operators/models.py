@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -78,6 +78,18 @@ def score(df: DataFrame, model, name: str = "probability") -> DataFrame:
     return out.select(*kept, vector_to_array("probability")[1].alias(name))
 
 
+def train_linear(df: DataFrame, numeric: list[str], label: str) -> PipelineModel:
+    """Least squares by the normal equations: one pass of sums."""
+    line = LinearRegression(labelCol="_label", featuresCol="features", predictionCol="score", solver="normal", regParam=0.0)
+    data = df.withColumn("_label", F.col(label).cast("double"))
+    return Pipeline(stages=[VectorAssembler(inputCols=numeric, outputCol="features"), line]).fit(data)
+
+
+def predict_linear(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """df with the column score."""
+    return model.transform(df.drop("score")).select(*[c for c in df.columns if c != "score"], "score")
+
+
 def score_batched(df: DataFrame, model, key: str, path: str, batches: int, name: str = "probability") -> DataFrame:
     """Scores, batch by batch: rows are dealt to batches by key, each is scored and written to a folder of its own below path,
     and a run that starts again skips the batches that are complete. The rows are dealt once, into a table that each batch

@@ -87,20 +87,22 @@ def _near_in_block(k: int):
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "article_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "article_id", vector: str = "embedding", block_rows: int = 4096, item_col: str | None = None) -> DataFrame:
     """query, article, distance, rank: the k nearest by Euclidean distance, the query's own vector among them.
 
     Both sides are cut into blocks of about block_rows rows; the nearest of every pair of blocks come from one matrix
     product and are merged. Vectors have one length; rows without a vector take no part. Ties go to the smaller id.
+    item_col: the id of the vectors, if it is named otherwise than that of the queries.
     """
+    item_col = item_col or id_col
     have = lambda df: df.where(F.col(vector).isNotNull())
     queries, vectors = have(queries), have(vectors)
     blocks = [max(1, -(-df.count() // block_rows)) for df in (queries, vectors)]
-    part = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("v"), part(blocks[0]).alias("a"), every(blocks[1]).alias("b"))
-    d = vectors.select(F.col(id_col).alias("item"), F.col(vector).alias("v"), part(blocks[1]).alias("b"), every(blocks[0]).alias("a"))
-    kinds = [df.schema[id_col].dataType.simpleString() for df in (queries, vectors)]
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("v"), part(id_col, blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    d = vectors.select(F.col(item_col).alias("item"), F.col(vector).alias("v"), part(item_col, blocks[1]).alias("b"), every(blocks[0]).alias("a"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, id_col), (vectors, item_col))]
     local = q.groupBy("a", "b").cogroup(d.groupBy("a", "b")).applyInArrow(_near_in_block(k), f"query {kinds[0]}, item {kinds[1]}, distance double")
     rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "item"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "item", "distance", "rank")

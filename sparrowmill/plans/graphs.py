@@ -42,19 +42,40 @@ def _(v):
 
 
 _TOP = "row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS r"
-_KHOP = f"""roots AS (SELECT user_id AS root, max(time) AS until FROM inter GROUP BY 1),
-    w1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root', order='e.time DESC, e.item_id DESC')} FROM roots JOIN inter e ON e.user_id = root AND e.time <= until) WHERE r <= 50),
-    u1 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.item_id', order='e.time DESC, e.user_id DESC')} FROM (SELECT DISTINCT root, until, item_id FROM w1) i JOIN inter e ON e.item_id = i.item_id AND e.time <= until) WHERE r <= 50),
-    f1 AS (SELECT * FROM (SELECT root, until, user_id, {_TOP.format(by='root', order='user_id DESC')} FROM (SELECT DISTINCT root, until, user_id FROM u1 WHERE user_id <> root)) WHERE r <= 50),
-    w2 AS (SELECT * FROM (SELECT root, until, e.user_id, e.item_id, e.time, {_TOP.format(by='root, e.user_id', order='e.time DESC, e.item_id DESC')} FROM f1 JOIN inter e ON e.user_id = f1.user_id AND e.time <= until) WHERE r <= 50)"""
 
 
-@query("gr_khop", f"WITH {_KHOP} SELECT root, user_id, item_id, time FROM w1 UNION SELECT root, user_id, item_id, time FROM u1 UNION SELECT root, user_id, item_id, time FROM w2")
+def _khop_sql(roots: str, key: str, items: int, users: int) -> str:
+    """The steps of two hops around roots (key, u, until): w1, u1, w2 by key, user_id, item_id, time."""
+    return f"""roots AS ({roots}),
+    w1 AS (SELECT * FROM (SELECT {key}, u, until, e.user_id, e.item_id, e.time, {_TOP.format(by=key, order='e.time DESC, e.item_id DESC')} FROM roots JOIN inter e ON e.user_id = u AND e.time <= until) WHERE r <= {items}),
+    u1 AS (SELECT * FROM (SELECT {key}, u, until, e.user_id, e.item_id, e.time, {_TOP.format(by=f'{key}, e.item_id', order='e.time DESC, e.user_id DESC')} FROM (SELECT DISTINCT {key}, u, until, item_id FROM w1) i JOIN inter e ON e.item_id = i.item_id AND e.time <= until) WHERE r <= {users}),
+    f1 AS (SELECT * FROM (SELECT {key}, until, user_id, {_TOP.format(by=key, order='user_id DESC')} FROM (SELECT DISTINCT {key}, u, until, user_id FROM u1 WHERE user_id <> u)) WHERE r <= {users}),
+    w2 AS (SELECT * FROM (SELECT {key}, until, e.user_id, e.item_id, e.time, {_TOP.format(by=f'{key}, e.user_id', order='e.time DESC, e.item_id DESC')} FROM f1 JOIN inter e ON e.user_id = f1.user_id AND e.time <= until) WHERE r <= {items})"""
+
+
+def _found(key: str) -> str:
+    return " UNION ".join(f"SELECT {key}, user_id, item_id, time FROM {x}" for x in ("w1", "u1", "w2"))
+
+
+@query("gr_khop", f"WITH {_khop_sql('SELECT user_id AS root, user_id AS u, max(time) AS until FROM inter GROUP BY 1', 'root', 50, 50)} {_found('root')}")
 def _(v):
     roots = v.inter.groupBy("user_id").agg(F.max("time").alias("until")).withColumn("root", F.col("user_id"))
     return graph.khop(v.inter, roots, ["root"], 2)
 
 
+_STEPS = "SELECT root, n_items, root AS u, until FROM (SELECT user_id AS root, time AS until, CAST(row_number() OVER w AS INTEGER) AS n_items, lead(item_id) OVER w AS target FROM inter WINDOW w AS (PARTITION BY user_id ORDER BY time, item_id)) WHERE n_items >= 2 AND target IS NOT NULL"
+
+
+@query("gr_prefix_graphs", f"WITH {_khop_sql(_STEPS, 'root, n_items', 5, 3)} {_found('root, n_items')}")
+def _(v):
+    return graph.sample_graphs(v.inter, 2, 5, 3)
+
+
+@query("gr_user_samples_predict", "SELECT user_id, CAST(n AS INTEGER) AS n_items, CAST(0 AS BIGINT) AS target, s AS sequence FROM (SELECT user_id, count(*) AS n, array_to_string(list(item_id ORDER BY time, item_id) FILTER (WHERE r <= 50), ' ') AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time DESC, item_id DESC) AS r FROM inter) GROUP BY 1)")
+def _(v):
+    return graph.user_samples(v.inter, predict=True).withColumn("sequence", F.array_join(F.col("sequence").cast("array<string>"), " "))
+
+
 @query("gr_user_samples", "SELECT user_id, CAST(n_items AS INTEGER) AS n_items, target, s AS sequence FROM (SELECT user_id, lead(item_id) OVER w AS target, row_number() OVER w AS n_items, array_to_string(list(item_id) OVER (PARTITION BY user_id ORDER BY time, item_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), ' ') AS s FROM inter WINDOW w AS (PARTITION BY user_id ORDER BY time, item_id)) WHERE n_items >= 2 AND target IS NOT NULL")
 def _(v):
     return graph.user_samples(v.inter).withColumn("sequence", F.array_join(F.col("sequence").cast("array<string>"), " "))

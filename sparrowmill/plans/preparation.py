@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, frames, metrics, models, prep, sessions
+from ..operators import attribution, embeddings, frames, metrics, models, prep, recs, sessions
 from ..sources import io
 from .registry import query
 from .relational import web_events
@@ -170,21 +170,48 @@ def _(v):
     return models.dependence_of_top(_model_data(v), model, models.importance(_attributed(v, model)), 2)
 
 
+def _sequences(v):
+    return embeddings.sequences(v.inter, "user_id", "item_id", ["time", "item_id"])
+
+
+def _transitions(v):
+    return embeddings.transition_vectors(embeddings.train_transitions(_sequences(v), epochs=2), _sequences(v), "user_id", v.inter, "item_id")
+
+
 @query("mdl_cf_train")
 def _(v):
-    counts = v.inter.groupBy("user_id", "item_id").agg(F.count("*").cast("float").alias("n"))
-    users = counts.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), "n")
-    return models.train_factors(users, "user_id", "item_id", "n").userFactors.select("id", F.col("features").cast("array<double>").alias("features"))
+    return _transitions(v)[1].withColumnRenamed("v", "features")
 
 
 @query("mdl_cf_predict")
 def _(v):
+    users, items = _transitions(v)
+    found = recs.nearest(users, items, 12, "user_id", "v", item_col="item_id")
+    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("l"))
+    return lists.select(F.col("query").alias("user"), F.transform("l", lambda s: s["item"]).alias("prediction"))
+
+
+def _counts(v):
     counts = v.inter.groupBy("user_id", "item_id").agg(F.count("*").cast("float").alias("n"))
-    users = counts.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), "n")
-    return models.predict_factors(models.train_factors(users, "user_id", "item_id", "n"), 12)
+    return counts.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), "n")
+
+
+@query("mdl_als_train")
+def _(v):
+    return models.train_factors(_counts(v), "user_id", "item_id", "n").userFactors.select("id", F.col("features").cast("array<double>").alias("features"))
+
+
+@query("mdl_als_predict")
+def _(v):
+    return models.predict_factors(models.train_factors(_counts(v), "user_id", "item_id", "n"), 12)
 
 
 @query("emb_text")
+def _(v):
+    return embeddings.latent_vectors(v.documents, "doc_id", "text")
+
+
+@query("emb_text_hashed")
 def _(v):
     return models.text_vectors(v.documents, "doc_id", "text")
 

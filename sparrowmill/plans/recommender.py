@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, recs, sampling, tables
+from ..operators import metrics, models, recs, sampling, tables
 from .registry import query
 
 LISTS = ["global_articles", "segment_articles", "previously_bought", "previously_bought_prod_name"]
@@ -229,11 +229,24 @@ def _(v):
     return recs.blend(lists, "customer_id", 12)
 
 
-@query("rank_multi", f"WITH {_BLEND} SELECT customer_id, string_agg(article_id, ' ' ORDER BY s DESC, seen) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, seen) AS p FROM z) WHERE p <= 12 GROUP BY 1")
+_FITTED = f"""{_CAND}, x AS (SELECT k.customer_id, k.article_id, CAST(n AS DOUBLE) AS n, CAST(list_price AS DOUBLE) AS price, CASE WHEN f.aid IS NULL THEN 0.0E0 ELSE 1.0E0 END AS y FROM k
+    JOIN (SELECT article_id, count(*) AS n FROM tx GROUP BY 1) q ON k.article_id = q.article_id JOIN art ON k.article_id = art.article_id
+    LEFT JOIN (SELECT DISTINCT customer_id AS cid, article_id AS aid FROM tx WHERE t_dat >= DATE '1998-01-01') f ON k.customer_id = f.cid AND k.article_id = f.aid),
+    m AS (SELECT regr_slope(y, n) AS s1, regr_intercept(y, n) AS i1, regr_slope(y, price) AS s2, regr_intercept(y, price) AS i2 FROM x),
+    a AS (SELECT * FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(i1 + s1 * n, 7) DESC, article_id) AS r FROM x, m) WHERE r <= 12),
+    b AS (SELECT * FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(i2 + s2 * price, 7) DESC, article_id) AS r FROM x, m) WHERE r <= 12),
+    u AS (SELECT 0 AS model, * FROM a UNION ALL SELECT 1, * FROM b), z AS (SELECT customer_id, article_id, round(sum(1.0E0 / r), 9) AS s, min(model * 1000 + r) AS seen FROM u GROUP BY 1, 2)"""
+
+
+@query("rank_multi", f"WITH {_FITTED} SELECT customer_id, string_agg(article_id, ' ' ORDER BY s DESC, seen) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, seen) AS p FROM z) WHERE p <= 12 GROUP BY 1")
 def _(v):
-    sold = v.tx.groupBy("article_id").agg(F.count("*").alias("n"))
-    model = lambda seed: lambda df: df.withColumn("score", (F.col("n") * seed + F.col("article_id")) % 97)
-    return recs.rank_models(_candidates(v).join(sold, "article_id"), {"3": model(3), "5": model(5)})
+    """Two models are fitted on the labelled candidates, one on how often an article sold and one on its price; each ranks."""
+    sold = v.tx.groupBy("article_id").agg(F.count("*").cast("double").alias("n"))
+    priced = v.art.select("article_id", F.col("list_price").cast("double").alias("price"))
+    data = recs.add_label(_candidates(v).join(sold, "article_id").join(priced, "article_id"), _past_future(v)[1])
+    fitted = {c: models.train_linear(data, [c], "label") for c in ("n", "price")}
+    scorer = lambda m: lambda df: models.predict_linear(df, m).withColumn("score", F.round("score", 7))
+    return recs.rank_models(data, {c: scorer(m) for c, m in fitted.items()})
 
 
 def _truth(v):
