@@ -34,7 +34,7 @@ def _sum_blocks(sums: DataFrame, rows: int, width: int) -> np.ndarray:
     return out
 
 
-def _added(key, b: pd.DataFrame) -> pd.DataFrame:
+def _added(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(b["values"].iloc[0]) // 8)
     for x in b["values"]:
         total += np.frombuffer(x)
@@ -66,14 +66,30 @@ def _weights(texts, slots: int, idf: np.ndarray):
     return (np.concatenate(place), np.concatenate(slot), np.concatenate(weight)) if place else (none, none, np.zeros(0))
 
 
+def _parts(batches, size: int = 64):
+    for b in batches:
+        for at in range(0, len(b), size):
+            yield b[at : at + size]
+
+
 def _projected(texts, slots: int, idf: np.ndarray, basis: np.ndarray):
-    """Rows of (texts x slots) times the basis, with the batch's weights."""
+    """Rows of (texts x slots) times the basis, with the texts' weights."""
     place, slot, weight = _weights(texts, slots, idf)
     out = np.zeros((len(texts), basis.shape[1]))
-    np.add.at(out, place, basis[slot] * weight[:, None])
+    if len(place):
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        out[place[begin]] = np.add.reduceat(basis[slot] * weight[:, None], begin)
     return out, place, slot, weight
 
 
+def _add_back(out: np.ndarray, y: np.ndarray, place: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> None:
+    """Adds (texts x slots) transposed times y to out."""
+    if len(slot):
+        order = np.argsort(slot, kind="stable")
+        begin = np.flatnonzero(np.diff(slot[order], prepend=-1))
+        out[slot[order][begin]] += np.add.reduceat((y[place] * weight[:, None])[order], begin)
+
+
 def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, slots: int = 1 << 16, rounds: int = 1, spare: int = 8, seed: int = 7, name: str = "embedding") -> DataFrame:
     """id and a unit vector of `size` numbers: the text's place along the main directions of all texts' term weights.
 
@@ -109,9 +125,8 @@ def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, sl
         def turn(batches, shared=shared):
             weights, own = shared.value
             out = np.zeros(own.shape)
-            for b in batches:
-                y, place, slot, weight = _projected(b["text"].tolist(), slots, weights, own)
-                np.add.at(out, slot, y[place] * weight[:, None])
+            for part in _parts(b["text"].tolist() for b in batches):
+                _add_back(out, *_projected(part, slots, weights, own))
             yield _blocks(out)
 
         turned = _sum_blocks(texts.mapInPandas(turn, "block int, values binary"), slots, size + spare)
@@ -121,8 +136,8 @@ def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, sl
     def gram(batches):
         weights, own = shared.value
         out = np.zeros((own.shape[1], own.shape[1]))
-        for b in batches:
-            y = _projected(b["text"].tolist(), slots, weights, own)[0]
+        for part in _parts(b["text"].tolist() for b in batches):
+            y = _projected(part, slots, weights, own)[0]
             out += y.T @ y
         yield _blocks(out)
 
@@ -132,7 +147,7 @@ def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, sl
     def place_texts(batches):
         weights, own = final.value
         for b in batches:
-            y = _projected(b.column("text").to_pylist(), slots, weights, own)[0]
+            y = np.concatenate([_projected(p, slots, weights, own)[0] for p in _parts([b.column("text").to_pylist()])] or [np.zeros((0, size))])
             y /= np.maximum(np.sqrt((y**2).sum(1)), 1e-12)[:, None]
             flat = pa.array(y.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), flat)], ["id", name])

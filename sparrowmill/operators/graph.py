@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import concat_key, dot, epoch_seconds, hash_key
-from .ranks import dense_ids
+from .ranks import dense_ids, ranges, running_within
 from .tables import order_index, prefixes, refine_times
 
 
@@ -57,17 +57,18 @@ def _latest(df: DataFrame, by: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def _latest_until(asks: DataFrame, edges: DataFrame, by: str, other: str, k: int) -> DataFrame:
+def _latest_until(asks: DataFrame, edges: DataFrame, by: str, other: str, k: int, cell) -> DataFrame:
     """asks (with `by` and until) joined to the k latest edges of `by` not after until.
 
     Edges are numbered by time within `by` once; how many lie before `until` gives the last k numbers, which are found by
-    the cells of k numbers that they fall into, so an ask meets at most 2 k edges however many `by` has.
+    the cells of k numbers that they fall into, so an ask meets at most 2 k edges however many `by` has. Numbers and counts
+    come from ranges of time (cell: their number by the column's name), so the edges of one popular `by` spread over tasks.
     """
-    numbered = edges.withColumn("_pos", F.row_number().over(W.partitionBy(by).orderBy("time", other)) - 1).withColumn("_cell", F.floor(F.col("_pos") / k))
+    numbered = running_within(edges, [by], ["time", other], cell("time"), F.lit(1), "_pos").withColumn("_cell", F.floor(F.col("_pos") / k))
     marks = asks.select(by, F.col("until").alias("_t"), F.lit(1).alias("_asks")).distinct()
     line = edges.select(by, F.col("time").alias("_t"), F.lit(0).alias("_asks")).unionByName(marks)
-    upto = F.sum(1 - F.col("_asks")).over(W.partitionBy(by).orderBy("_t", "_asks").rowsBetween(W.unboundedPreceding, W.currentRow))
-    reach = line.withColumn("_upto", upto).where("_asks = 1").select(by, F.col("_t").alias("until"), "_upto")
+    counted = running_within(line, [by], ["_t", "_asks"], cell("_t"), 1 - F.col("_asks"), "_upto")
+    reach = counted.where("_asks = 1").select(by, F.col("_t").alias("until"), "_upto")
     first = F.greatest(F.col("_upto") - k, F.lit(0))
     asked = asks.join(reach, [by, "until"]).where("_upto > 0").withColumn("_first", first)
     cells = asked.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / k), F.floor((F.col("_upto") - 1) / k))))
@@ -82,17 +83,20 @@ def khop(edges: DataFrame, roots: DataFrame, key: list[str], hops: int, item_max
     Only edges up to the root's time count. Every step is capped before it joins, so popular items cost no more than others.
     """
     e = edges.select("user_id", "item_id", "time")
+    times = e.select("time").distinct()
+    cells = {c: ranges(times, "time", of=c) for c in ("time", "_t")}
+    latest = lambda asks, by, other, k: _latest_until(asks, e, by, other, k, cells.get)
     front = roots.select(*key, "user_id", "until")
     seen = front
-    walked = _latest_until(front, e, "user_id", "item_id", item_max)
+    walked = latest(front, "user_id", "item_id", item_max)
     found = [walked.select(*key, "user_id", "item_id", "time")]
     for _ in range(hops - 1):
         items = walked.select(*key, "until", "item_id").distinct()
-        users = _latest_until(items, e, "item_id", "user_id", user_max)
+        users = latest(items, "item_id", "user_id", user_max)
         new = users.select(*key, "user_id", "until").distinct().join(seen.select(*key, "user_id"), [*key, "user_id"], "left_anti")
         front = _latest(new, key, user_max, F.desc("user_id"))
         seen = seen.unionByName(front)
-        walked = _latest_until(front, e, "user_id", "item_id", item_max)
+        walked = latest(front, "user_id", "item_id", item_max)
         found.append(users.select(*key, "user_id", "item_id", "time"))
         found.append(walked.select(*key, "user_id", "item_id", "time"))
     return reduce(lambda a, b: a.union(b), found).distinct()

@@ -7,6 +7,7 @@ ranges before lift what is counted inside it. A range depends on the value alone
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -22,12 +23,13 @@ def _sample(values: DataFrame, column: str, most: int) -> list:
     return [r[0] for r in values.select(column).orderBy(F.xxhash64(column), column).limit(most).collect()]
 
 
-def ranges(values: DataFrame, column: str, parts: int = PARTS) -> Column:
+def ranges(values: DataFrame, column: str, parts: int = PARTS, of: str | None = None) -> Column:
     """The number of a value's range. Cut points: quantiles of SAMPLE of the distinct values, taken in hash order.
 
     Tables of more than PARTS * RANGE_ROWS values get up to PARTS * PARTS ranges, from a sample that is four times as large:
-    PARTS of them by halving, and those of each by a list.
+    PARTS of them by halving, and those of each by a list. of: the column to place, if it is another than that of the values.
     """
+    own = F.col(of or column)
     picked, inner = _sample(values, column, SAMPLE), 1
     if len(picked) == SAMPLE:
         inner = min(parts, max(1, math.ceil(values.count() / (parts * RANGE_ROWS))))
@@ -41,13 +43,13 @@ def ranges(values: DataFrame, column: str, parts: int = PARTS) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.col(column) <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+        return F.when(own <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
 
     outer = place(0, len(cuts))
     if inner == 1:
         return outer
     lists = F.array(*[F.array(*[F.lit(x) for x in every[n * inner : n * inner + inner - 1]]) for n in range(parts)])
-    return outer * inner + F.size(F.filter(F.get(lists, outer), lambda x: x < F.col(column)))
+    return outer * inner + F.size(F.filter(F.get(lists, outer), lambda x: x < own))
 
 
 def running(values: DataFrame, column: str, amount: str, name: str = "before", parts: int = PARTS) -> DataFrame:
@@ -60,6 +62,24 @@ def running(values: DataFrame, column: str, amount: str, name: str = "before", p
     return placed.withColumn(name, inside).join(F.broadcast(base), "_range").withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")
 
 
+def running_within(df: DataFrame, keys: list[str], order: list, cell: Column, amount: Column, name: str) -> DataFrame:
+    """df with the sum of `amount` over the earlier rows of the same keys; a key's rows are cut into cells, so that one with very
+    many rows spreads over tasks.
+
+    cell: a number that does not fall along `order`, such as the range of its first column. The sums of a key's earlier cells,
+    at most one row a cell, are added to the sum inside the cell.
+    """
+    placed = df.withColumn("_cell", cell).withColumn("_amount", amount)
+    sums = placed.groupBy(*keys, "_cell").agg(F.sum("_amount").alias("_sum"))
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    own = [*keys, "_cell"]
+    earlier = F.coalesce(F.sum("_sum").over(before(*keys).orderBy("_cell")), F.lit(0))
+    base = sums.select(*[F.col(c).alias(f"_b{n}") for n, c in enumerate(own)], earlier.alias("_base"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{n}")) for n, c in enumerate(own)])  # null keys are a key
+    inside = F.coalesce(F.sum("_amount").over(before(*keys, "_cell").orderBy(*order)), F.lit(0))
+    return placed.withColumn(name, inside).join(base, same).select(*df.columns, (F.col(name) + F.col("_base")).alias(name))
+
+
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
     """column, idx: dense numbers from 0 in sorted order; nulls get none."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1))

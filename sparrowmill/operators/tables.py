@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import days_between
 from .quantiles import grouped_quantiles
-from .ranks import quantiles
+from .ranks import quantiles, ranges, running_within
 
 
 def left_chain(base: DataFrame, key: str, *others: DataFrame) -> DataFrame:
@@ -148,9 +148,12 @@ def average_gap(df: DataFrame, user: str, date_col: str, name: str = "average_ga
 
 
 def order_index(df: DataFrame, user: str, item: str, time: str, tie: str) -> DataFrame:
-    """Place of a row among its user's and its item's, from 0, by time."""
-    at = lambda by: F.row_number().over(W.partitionBy(by).orderBy(time, tie)) - 1
-    return df.withColumn("order", at(user)).withColumn("u_order", at(item))
+    """Place of a row among its user's and its item's, from 0, by time. One key's rows are numbered by ranges of time."""
+    cell = ranges(df.select(time).where(F.col(time).isNotNull()).distinct(), time)
+    cell = F.when(F.col(time).isNull(), -1).otherwise(cell)
+    placed = running_within(df, [user], [time, tie], cell, F.lit(1), "order")
+    placed = running_within(placed, [item], [time, tie], cell, F.lit(1), "u_order")
+    return placed.select(*df.columns, "order", "u_order")
 
 
 def refine_times(df: DataFrame, user: str, time: str, tie: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, models, recs, sampling, tables
+from ..sources import io
 from .registry import query
 
 LISTS = ["global_articles", "segment_articles", "previously_bought", "previously_bought_prod_name"]
@@ -243,7 +244,10 @@ def _(v):
     """Two models are fitted on the labelled candidates, one on how often an article sold and one on its price; each ranks."""
     sold = v.tx.groupBy("article_id").agg(F.count("*").cast("double").alias("n"))
     priced = v.art.select("article_id", F.col("list_price").cast("double").alias("price"))
-    data = recs.add_label(_candidates(v).join(sold, "article_id").join(priced, "article_id"), _past_future(v)[1])
+    made = recs.add_label(_candidates(v).join(sold, "article_id").join(priced, "article_id"), _past_future(v)[1])
+    path = io.scratch(v.spark, "labelled")
+    io.write_parquet(made, path)  # fitted on and ranked twice
+    data = v.spark.read.schema(made.schema).parquet(path)
     fitted = {c: models.train_linear(data, [c], "label") for c in ("n", "price")}
     scorer = lambda m: lambda df: models.predict_linear(df, m).withColumn("score", F.round("score", 7))
     return recs.rank_models(data, {c: scorer(m) for c, m in fitted.items()})

@@ -85,3 +85,17 @@ def test_unpack_shuffles_nothing(spark):
     got = sorted(map(tuple, made.collect()))
     assert got == [(1, 5, "a"), (1, 6, "multiple_strategies"), (1, 7, "b"), (2, 5, "b"), (4, 8, "multiple_strategies")]
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_within_hot_keys(spark):
+    """One key holds 90 % of the rows and is numbered in many ranges; null times come first."""
+    rng = random.Random(4)
+    made = [(0 if rng.random() < 0.9 else rng.choice([1, 2, 3, None]), None if n % 50 == 0 else rng.randrange(400), n) for n in range(3000)]
+    df = spark.createDataFrame(made, "k int, t int, n int")
+    cell = F.when(F.col("t").isNull(), -1).otherwise(ranks.ranges(df.select("t").where("t IS NOT NULL").distinct(), "t"))
+    got = {r.n: r.at for r in ranks.running_within(df, ["k"], ["t", "n"], cell, F.lit(1), "at").collect()}
+    for k in (0, 1, 2, 3, None):
+        rows = sorted((r for r in made if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in rows] == list(range(len(rows)))
+    sizes = df.withColumn("cell", cell).groupBy("k", "cell").count().agg(F.max("count")).first()[0]
+    assert sizes < 3000 / 20
