@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import days_between
+from ..sources import io
 from .quantiles import grouped_quantiles
 from .ranks import quantiles, ranges, running_within
 
@@ -156,11 +157,27 @@ def order_index(df: DataFrame, user: str, item: str, time: str, tie: str) -> Dat
     return placed.select(*df.columns, "order", "u_order")
 
 
-def refine_times(df: DataFrame, user: str, time: str, tie: str) -> DataFrame:
-    """Make a user's times strictly increasing: walking in order, a time not above the one before gets a growing bump.
+HOT_ROWS = 1_000_000
 
-    A user's rows stream through one task in order, which holds a time and a bump and no list. Null times stay.
+
+def refine_times(df: DataFrame, user: str, time: str, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Make a user's times strictly increasing: walking in order, a time not above the one before gets a growing bump. Null
+    times stay.
+
+    A user's rows stream through one task in order, which holds a time and a bump and no list; users of more than hot_rows
+    rows are cut into ranges of time instead (see _refine_hot).
     """
+    counts = df.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    path = io.scratch(df.sparkSession, "hot-users")
+    io.write_parquet(counts.select(F.col(user).alias("_hot")), path)
+    hot = df.sparkSession.read.parquet(path)
+    if hot.isEmpty():
+        return _walk_times(df, user, time, tie)
+    same = F.col(user).eqNullSafe(F.col("_hot"))
+    return _walk_times(df.join(hot, same, "left_anti"), user, time, tie).unionByName(_refine_hot(df.join(hot, same, "left_semi"), user, time, tie))
+
+
+def _walk_times(df: DataFrame, user: str, time: str, tie: str) -> DataFrame:
     at, who = df.columns.index(time), df.columns.index(user)
 
     def walk(batches):
@@ -180,6 +197,50 @@ def refine_times(df: DataFrame, user: str, time: str, tie: str) -> DataFrame:
     return df.repartition(user).sortWithinPartitions(user, time, tie).mapInArrow(walk, df.schema)
 
 
+def _refine_hot(df: DataFrame, user: str, time: str, tie: str, rounds: int = 50) -> DataFrame:
+    """The same times from scans over ranges of time, whose carried states are counts and last places.
+
+    A row is bumped if its time equals the one before, or if the one before was bumped at least as far as the step between them;
+    how far is one more than the bumps so far. From the equal times alone the bumps are counted, then the rows these reach,
+    and again until nothing changes: bumps only add, so this ends at the walk's own result.
+    """
+    spark, kept = df.sparkSession, df.columns
+
+    def stored(made: DataFrame) -> DataFrame:
+        path = io.scratch(spark, "refined")
+        io.write_parquet(made, path)
+        return spark.read.schema(made.schema).parquet(path)
+
+    known = df.where(F.col(time).isNotNull())
+    cell = ranges(known.select(time).distinct(), time)
+    order = [time, tie, "_row"]
+    row = running_within(stored(known.withColumn("_row", F.monotonically_increasing_id())), [user], order, cell, F.lit(1), "_at").withColumn("_cell", cell)
+    inside = W.partitionBy(user, "_cell").orderBy("_at")
+    lasts = row.groupBy(user, "_cell").agg(F.max(time).alias("_t"))
+    before = lasts.select(user, "_cell", F.max("_t").over(W.partitionBy(user).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)).alias("_t"))  # a row a range
+    timed = row.join(before.select(F.col(user).alias("_u"), F.col("_cell").alias("_c"), "_t"), F.col(user).eqNullSafe(F.col("_u")) & (F.col("_cell") == F.col("_c")))
+    step = F.col(time) - F.coalesce(F.lag(time).over(inside), F.col("_t"))
+    now = stored(timed.withColumn("_step", step).select(*kept, "_at", "_cell", "_step").withColumn("_bump", F.coalesce(F.col("_step") == 0, F.lit(False))))
+    total = now.where("_bump").count()
+    for _ in range(rounds):
+        counted = running_within(now, [user], ["_at"], F.col("_cell"), F.col("_bump").cast("long"), "_bumps")
+        breaks = (F.col("_step") > F.col("_bumps")) | F.col("_step").isNull()
+        marked = counted.withColumns({"_tie": F.when(F.col("_step") == 0, F.col("_at")), "_break": F.when(breaks, F.col("_at"))})
+        ends = marked.groupBy(user, "_cell").agg(F.max("_tie").alias("_tie0"), F.max("_break").alias("_break0"))
+        earlier = W.partitionBy(user).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(F.col(user).alias("_u"), F.col("_cell").alias("_c"), F.max("_tie0").over(earlier).alias("_tie0"), F.max("_break0").over(earlier).alias("_break0"))
+        joined = marked.join(carried, F.col(user).eqNullSafe(F.col("_u")) & (F.col("_cell") == F.col("_c")))
+        upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+        last = lambda c: F.coalesce(F.max(c).over(upto), F.col(f"{c}0"), F.lit(-1))  # noqa: E731, B023
+        now = stored(joined.withColumn("_bump", last("_tie") > last("_break")).select(*kept, "_at", "_cell", "_step", "_bump", "_bumps"))
+        found = now.where("_bump").count()
+        if found == total:
+            moved = F.when(F.col("_bump"), F.col(time) + 1 + F.col("_bumps")).otherwise(F.col(time)).cast(df.schema[time].dataType)
+            return now.withColumn(time, moved).select(*kept).unionByName(df.where(F.col(time).isNull()))
+        total, now = found, now.drop("_bumps")
+    return _walk_times(df, user, time, tie)
+
+
 def recency_rank(df: DataFrame, group: str, time: str, tie: str, name: str = "recency") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(F.desc(time), F.desc(tie))) - 1)
 

@@ -99,3 +99,27 @@ def test_numbers_within_hot_keys(spark):
         assert [got[r[2]] for r in rows] == list(range(len(rows)))
     sizes = df.withColumn("cell", cell).groupBy("k", "cell").count().agg(F.max("count")).first()[0]
     assert sizes < 3000 / 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_refined_times_of_hot_users_equal_the_walk(spark, seed):
+    """One user holds 90 % of the rows: its times come from scans over ranges."""
+    rng = random.Random(seed)
+    made, t = [], {k: 0 for k in (0, 1, None)}
+    for n in range(1500):
+        k = 0 if rng.random() < 0.9 else rng.choice([1, None])
+        t[k] += rng.choice([0, 0, 1, 2, 5, 60] if seed % 2 else [0, 1, 40, 400, 4000])
+        made.append((k, None if n % 97 == 5 else t[k], n))
+    df = spark.createDataFrame(made, "u int, time long, n int").repartition(4)
+    got = {r.n: r.time for r in tables.refine_times(df, "u", "time", "n", hot_rows=400).collect()}
+    for k in t:
+        last, gap = None, 1
+        for _, x, n in sorted((r for r in made if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            if x is None:
+                assert got[n] is None
+                continue
+            if last is not None and x <= last:
+                last, gap = x + gap, gap + 1
+            else:
+                last = x
+            assert got[n] == last
