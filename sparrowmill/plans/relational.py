@@ -50,7 +50,9 @@ def _(v):
 
 @query("src_object_store", "SELECT p_partkey, p_name FROM part")
 def _(v):
-    return io.read_parquet(v.spark, f"{v.sf_dir}/part.parquet", ["p_partkey", "p_name"])
+    # The tables' folder is another file system itself where a cluster names one by its scheme; else it is mounted as a store.
+    store = v.sf_dir if "://" in v.sf_dir else io.mount(v.spark, "tables", v.sf_dir.strip("/").replace("/", "-"), v.sf_dir)
+    return io.read_parquet(v.spark, f"{store}/part.parquet", ["p_partkey", "p_name"])
 
 
 @query("snk_csv", "SELECT n_nationkey, n_name FROM nation")

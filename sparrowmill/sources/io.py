@@ -24,6 +24,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def mount(spark: SparkSession, store: str, folder: str, target: str, options: dict[str, str] | None = None) -> str:
+    """viewfs://store/folder, behind which stands `target`, a folder of any file system that Hadoop knows (s3a, gs, hdfs, file).
+
+    Jobs so name a store and not a bucket. options: further Hadoop settings, such as an endpoint or a provider of credentials.
+    """
+    settings = spark._jsc.hadoopConfiguration()
+    for key, value in (options or {}).items():
+        settings.set(key, value)
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    settings.set(f"fs.viewfs.mounttable.{store}.link./{folder}", path.getFileSystem(settings).makeQualified(path).toString())
+    return f"viewfs://{store}/{folder}"
+
+
+def objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, length, modificationTime of the objects below a path of any scheme; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length", "modificationTime")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """CSV with a header and declared types, pruned to `columns`. Ids declared as strings keep leading zeros."""
     df = spark.read.schema(schema).csv(path, header=True)

@@ -295,3 +295,17 @@ def test_models_rank_and_score_in_batches(spark, tmp_path):
     want = rows(models.score(data, one).select("article_id", "probability"))
     assert rows(models.score_batched(data, one, "article_id", path, 3).select("article_id", "probability")) == want
     assert rows(models.score_batched(data.limit(0), one, "article_id", path, 3).select("article_id", "probability")) == want  # nothing left to do
+
+
+def test_store_behind_a_scheme(spark, tmp_path):
+    from sparrowmill.sources import io
+
+    spark.range(5).write.parquet(str(tmp_path / "lake" / "t.parquet"))
+    store = io.mount(spark, "lake", "raw", f"file://{tmp_path}/lake", {"fs.lake.retries": "3"})
+    assert store == "viewfs://lake/raw" and spark._jsc.hadoopConfiguration().get("fs.lake.retries") == "3"
+    df = io.read_parquet(spark, f"{store}/t.parquet", ["id"])
+    assert df.count() == 5 and all(f.startswith("viewfs://lake/") for f in df.inputFiles())
+    listed = io.objects(spark, store, "*.parquet").collect()
+    assert listed and all(r.length > 0 and r.path.startswith("viewfs://lake/raw/t.parquet") for r in listed)
+    df.where("id < 2").write.parquet(f"{store}/u.parquet")
+    assert spark.read.parquet(str(tmp_path / "lake" / "u.parquet")).count() == 2
