@@ -2,8 +2,8 @@
 
 A text is read as words (runs of ASCII letters and digits and of characters beyond ASCII, ASCII letters in lower
 case), joined by single spaces. Every rule is a regex over that word string, gated by keywords: texts that hold no rule's
-keyword are put aside by one scan, and a regex runs only on texts that hold its gate as a word, the word among those which
-it cannot do without that the fewest other rules share. Places that a rule finds become intervals of words; an interval
+keyword are put aside by one scan, and a regex runs only on texts that hold all words it cannot do without, or, if there is none,
+the letters of its keyword. Places that a rule finds become intervals of words; an interval
 inside another one is suppressed, the longer winning, then the rule with the smaller priority number, then the
 smaller rule number. What stays gives labels and a score (the highest confidence of a rule that stays).
 
@@ -209,10 +209,11 @@ def rules() -> list[dict]:
     for line in HAND.strip().splitlines():
         label, keyword, confidence, regex = line.split("|", 3)
         made.append((label, keyword, float(confidence), regex))
-    needed = [{f" {w} " for w in _needed(x[3])} or {x[1]} for x in made]  # words with their spaces, or letters anywhere
+    needs = [_needed(x[3]) for x in made]
+    needed = [{f" {w} " for w in n} or {x[1]} for n, x in zip(needs, made, strict=True)]  # words with their spaces, or letters anywhere
     shared = Counter(w for words in needed for w in words)
     gates = [min(words, key=lambda w: (shared[w], -len(w), w)) for words in needed]
-    return [{"rule": n, "label": x[0], "keyword": x[1], "gate": g, "confidence": x[2], "regex": f"(?<= )((?:{x[3]}))(?= )"} for n, (x, g) in enumerate(zip(made, gates, strict=True))]
+    return [{"rule": n, "label": x[0], "keyword": x[1], "gate": g, "needs": sorted(w), "confidence": x[2], "regex": f"(?<= )((?:{x[3]}))(?= )"} for n, (x, g, w) in enumerate(zip(made, gates, needs, strict=True))]
 
 
 def _needed(regex: str) -> set[str]:
@@ -238,12 +239,18 @@ def detections(texts: DataFrame, key: list[str], words: str, table: list[dict])
     """key, rule, label, confidence, first, last: all places of all rules, before suppression. One row a place."""
     by_gate: dict[str, list[dict]] = {}
     for r in table:
-        by_gate.setdefault(r.get("gate") or r["keyword"], []).append(r)
-    kind = "struct<rule:int,label:string,confidence:double,regex:string>"
-    gates = F.array(*[F.lit(k) for k in sorted(by_gate)])
+        by_gate.setdefault(r.get("gate") or r["keyword"], []).append({"needs": []} | r)
+    kind = "struct<rule:int,label:string,confidence:double,regex:string,needs:array<string>>"
+    strings = lambda some: F.array(*[F.lit(x) for x in sorted(some)]).cast("array<string>")
+    words_of_gates = {g.strip() for g in by_gate if g.startswith(" ")}
+    known = words_of_gates | {w for r in table for w in r.get("needs", ())}
     ruled = F.from_json(F.lit(json.dumps(by_gate)), f"map<string,array<{kind}>>")
-    gated = texts.select(*key, words, F.explode(F.filter(gates, lambda k: F.instr(F.col(words), k) > 0)).alias("gate"))
-    tried = gated.select(*key, words, F.inline(F.element_at(ruled, F.col("gate"))))
+    # Which of the rules' words a text holds is found once; a regex runs only where all words that it needs stand.
+    noted = texts.select(*key, words, F.array_intersect(F.split(F.col(words), " "), strings(known)).alias("present"))
+    by_word = F.transform(F.array_intersect("present", strings(words_of_gates)), lambda g: F.concat(F.lit(" "), g, F.lit(" ")))
+    by_letters = F.filter(strings(g for g in by_gate if not g.startswith(" ")), lambda g: F.instr(F.col(words), g) > 0)
+    gated = noted.select(*key, words, "present", F.explode(F.concat(by_word, by_letters)).alias("gate"))
+    tried = gated.select(*key, words, "present", F.inline(F.element_at(ruled, F.col("gate")))).where(F.size(F.array_except("needs", "present")) == 0)
     marked = tried.select(*key, "rule", "label", "confidence", F.regexp_replace(F.col(words), F.col("regex"), F.lit("\u0001$1\u0002")).alias("marked"))
     found = marked.where(F.contains("marked", F.lit("\u0001"))).select(*key, "rule", "label", "confidence", F.posexplode(F.split("marked", "\u0001")).alias("n", "piece"))
     # Only numbers are shuffled: how many words a piece spans, and how many of them the match before it.
@@ -271,7 +278,7 @@ def _gated(docs: DataFrame, id_col: str, text_col: str, table: list[dict]) -> Da
 
 def _base_rules(base: dict[str, str]) -> list[dict]:
     """Zero-width, so that places which overlap are all found."""
-    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "gate": f" {p.split()[0]} ", "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
+    return [{"rule": -1 - n, "label": base[p], "keyword": max(p.split(), key=len), "gate": f" {p.split()[0]} ", "needs": sorted(set(p.split())), "confidence": 0.0, "regex": f"(?<= )(?={p} )()"} for n, p in enumerate(sorted(base))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list[dict] | None = None) -> DataFrame:
