@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
 
 from sparrowmill.operators import attribution, models, tuning
 
