@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import concat_key, dot, epoch_seconds, hash_key
+from ..sources import io
 from .ranks import dense_ids, ranges, running_within
 from .tables import order_index, prefixes, refine_times
 
@@ -57,6 +58,22 @@ def _latest(df: DataFrame, by: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
+def adjacency(edges: DataFrame, by: str, other: str, width: int, cell) -> DataFrame:
+    """edges with _pos, their number by time within `by`, and _cell, the cell of `width` numbers that it falls into.
+
+    The last k edges up to any time are a run of numbers, so they are found by (by, _cell) however many edges `by` has.
+    """
+    return running_within(edges, [by], ["time", other], cell("time"), F.lit(1), "_pos").withColumn("_cell", F.floor(F.col("_pos") / width))
+
+
+def _reach(asks: DataFrame, edges: DataFrame, by: str, cell) -> DataFrame:
+    """by, until, _upto: how many edges of `by` are not after until, for each pair that is asked."""
+    marks = asks.select(by, F.col("until").alias("_t"), F.lit(1).alias("_asks")).distinct()
+    line = edges.select(by, F.col("time").alias("_t"), F.lit(0).alias("_asks")).unionByName(marks)
+    counted = running_within(line, [by], ["_t", "_asks"], cell("_t"), 1 - F.col("_asks"), "_upto")
+    return counted.where("_asks = 1").select(by, F.col("_t").alias("until"), "_upto")
+
+
 def _latest_until(asks: DataFrame, edges: DataFrame, by: str, other: str, k: int, cell) -> DataFrame:
     """asks (with `by` and until) joined to the k latest edges of `by` not after until.
 
@@ -64,11 +81,7 @@ def _latest_until(asks: DataFrame, edges: DataFrame, by: str, other: str, k: int
     the cells of k numbers that they fall into, so an ask meets at most 2 k edges however many `by` has. Numbers and counts
     come from ranges of time (cell: their number by the column's name), so the edges of one popular `by` spread over tasks.
     """
-    numbered = running_within(edges, [by], ["time", other], cell("time"), F.lit(1), "_pos").withColumn("_cell", F.floor(F.col("_pos") / k))
-    marks = asks.select(by, F.col("until").alias("_t"), F.lit(1).alias("_asks")).distinct()
-    line = edges.select(by, F.col("time").alias("_t"), F.lit(0).alias("_asks")).unionByName(marks)
-    counted = running_within(line, [by], ["_t", "_asks"], cell("_t"), 1 - F.col("_asks"), "_upto")
-    reach = counted.where("_asks = 1").select(by, F.col("_t").alias("until"), "_upto")
+    numbered, reach = adjacency(edges, by, other, k, cell), _reach(asks, edges, by, cell)
     first = F.greatest(F.col("_upto") - k, F.lit(0))
     asked = asks.join(reach, [by, "until"]).where("_upto > 0").withColumn("_first", first)
     cells = asked.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / k), F.floor((F.col("_upto") - 1) / k))))
@@ -112,14 +125,96 @@ def user_samples(edges: DataFrame, length: int = 50, predict: bool = False) -> D
     return listed.join(counts, "user_id").select("user_id", F.transform("_l", lambda s: s["item_id"]).alias("sequence"), F.lit(0).cast(edges.schema["item_id"].dataType).alias("target"), "n_items")
 
 
+def _prefix_roots(edges: DataFrame) -> DataFrame:
+    """root, n_items, until: the last time of every prefix of two or more items that an item follows."""
+    at = W.partitionBy("user_id").orderBy("time", "item_id")
+    steps = edges.select(F.col("user_id").alias("root"), F.col("time").alias("until"), F.row_number().over(at).alias("n_items"), F.lead("item_id").over(at).alias("target"))
+    return steps.where("n_items >= 2 and target is not null").select("root", "n_items", "until")
+
+
 def sample_graphs(edges: DataFrame, hops: int, item_max: int = 50, user_max: int = 50) -> DataFrame:
     """root, n_items, user_id, item_id, time: the k-hop neighbourhood of every prefix that user_samples has, up to its last time."""
-    at = W.partitionBy("user_id").orderBy("time", "item_id")
-    steps = edges.select("user_id", "time", F.row_number().over(at).alias("n_items"), F.lead("item_id").over(at).alias("target"))
-    roots = steps.where("n_items >= 2 and target is not null").select(F.col("user_id").alias("root"), "n_items", "user_id", F.col("time").alias("until"))
+    roots = _prefix_roots(edges).withColumn("user_id", F.col("root"))
     return khop(edges, roots, ["root", "n_items"], hops, item_max, user_max)
 
 
+#: Prefixes of a root that are walked together: what an ask collects in one row is bounded by it.
+STEP = 32
+
+
+def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, last: spans of the same keys that overlap or touch as one."""
+    line = W.partitionBy(*keys).orderBy("first", "last")
+    reached = F.max("last").over(line.rowsBetween(W.unboundedPreceding, -1))
+    begins = spans.withColumn("_new", F.when(F.col("first") <= reached + 1, 0).otherwise(1))
+    return begins.withColumn("_run", F.sum("_new").over(line)).groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
+def _differences(spans: DataFrame, paths: DataFrame, edges: DataFrame, numbered: DataFrame, by: str, other: str, k: int, cell) -> DataFrame:
+    """root, _block, by, other, time, first, last: the k latest edges of `by` at each prefix of spans (root, _block, by, first,
+    last), each edge once for as long as it stays among them.
+
+    A prefix meets only the numbers that have come since the one before; an edge leaves when k later ones stand.
+    """
+    open_at = F.filter("_path", lambda p: (p["n"] >= F.col("first")) & (p["n"] <= F.col("last")))
+    asks = spans.join(paths, ["root", "_block"]).select("root", "_block", by, "first", F.explode(open_at).alias("_p"))
+    asks = asks.select("root", "_block", by, "first", F.col("_p.n").alias("n"), F.col("_p.until").alias("until"))
+    counts = asks.join(_reach(asks, edges, by, cell), [by, "until"]).where("_upto > 0")
+    lines = counts.groupBy("root", "_block", by, "first").agg(F.array_sort(F.collect_list(F.struct("n", "_upto"))).alias("_line"))  # at most STEP
+    before = lambda i: F.when(i > 0, F.element_at("_line", i)["_upto"]).otherwise(F.lit(0))
+    came = F.transform("_line", lambda x, i: F.struct(x["n"].alias("n"), F.greatest(x["_upto"] - k, before(i)).alias("low"), x["_upto"].alias("high")))
+    fresh = lines.select("root", "_block", by, "_line", F.explode(F.filter(came, lambda x: x["low"] < x["high"])).alias("_f"))
+    cells = fresh.select("*", F.explode(F.sequence(F.floor(F.col("_f.low") / k), F.floor((F.col("_f.high") - 1) / k))).alias("_cell"))
+    met = cells.join(numbered, [by, "_cell"]).where("_pos >= _f.low and _pos < _f.high")
+    stays = F.filter("_line", lambda x: x["_upto"] <= F.col("_pos") + k)
+    return met.select("root", "_block", by, other, "time", F.col("_f.n").alias("first"), F.element_at(stays, -1)["n"].alias("last"))
+
+
+def _fronts(found: DataFrame, seen: DataFrame, paths: DataFrame, user_max: int) -> DataFrame:
+    """root, _block, user_id, first, last: at each prefix the user_max largest ids of the users found and not yet seen."""
+    listed = lambda df, name: df.groupBy("root", "_block").agg(F.sort_array(F.collect_list(F.struct("user_id", "first", "last")), asc=False).alias(name))
+    both = listed(found, "_found").join(listed(seen, "_seen"), ["root", "_block"]).join(paths, ["root", "_block"])
+    users = lambda name, n: F.transform(F.filter(name, lambda s: (s["first"] <= n) & (n <= s["last"])), lambda s: s["user_id"])
+    top = F.transform("_path", lambda p: F.struct(p["n"].alias("n"), F.slice(F.array_except(users("_found", p["n"]), users("_seen", p["n"])), 1, user_max).alias("users")))
+    each = both.select("root", "_block", F.explode(top).alias("_t")).select("root", "_block", F.col("_t.n").alias("first"), F.col("_t.n").alias("last"), F.explode("_t.users").alias("user_id"))
+    return _merged(each, ["root", "_block", "user_id"])
+
+
+def prefix_changes(edges: DataFrame, hops: int, item_max: int = 50, user_max: int = 50) -> DataFrame:
+    """root, user_id, item_id, time, first, last: the neighbourhoods of sample_graphs as spans of prefixes that hold an edge.
+
+    STEP prefixes of a root are walked together over the numbered edges: each reads what has come since the one before, so
+    edges read grow with the events that enter, not with prefixes times neighbourhood, and a root with very many prefixes is cut
+    into blocks. A span is as long as it can be. Lists in a row hold at most STEP prefixes or STEP * item_max * user_max users.
+    The numbered edges and what each hop has met are written to the shared folder, so no hop walks those before it again.
+    """
+    e = edges.select("user_id", "item_id", "time")
+    times = e.select("time").distinct()
+    cells = {c: ranges(times, "time", of=c) for c in ("time", "_t")}
+    blocks = _prefix_roots(e).withColumn("_block", F.floor(F.col("n_items") / STEP))
+    paths = io.stored(blocks.groupBy("root", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("n_items").alias("n"), "until"))).alias("_path")), "prefixes")
+    sides = {"user_id": ("item_id", item_max), "item_id": ("user_id", user_max)}
+    numbered = {by: io.stored(adjacency(e, by, other, k, cells.get), "adjacency") for by, (other, k) in sides.items()}
+    ends = [F.element_at("_path", at)["n"].alias(name) for at, name in ((1, "first"), (-1, "last"))]
+    walk = lambda spans, by: io.stored(_differences(spans, paths, e, numbered[by], by, *sides[by], cells.get), "walked")
+    seen = paths.select("root", "_block", F.col("root").alias("user_id"), *ends)
+    walked = walk(seen, "user_id")
+    found = [walked]
+    for _ in range(hops - 1):
+        users = walk(_merged(walked, ["root", "_block", "item_id"]), "item_id")
+        front = io.stored(_fronts(_merged(users, ["root", "_block", "user_id"]), seen, paths, user_max), "front")
+        seen = seen.unionByName(front)
+        walked = walk(front, "user_id")
+        found += [users, walked]
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    return _merged(every, ["root", "user_id", "item_id", "time"])
+
+
+def graphs_at(changes: DataFrame) -> DataFrame:
+    """root, n_items, user_id, item_id, time: the neighbourhoods that prefix_changes holds, written out for each prefix."""
+    return changes.select("root", F.explode(F.sequence("first", "last")).alias("n_items"), "user_id", "item_id", "time")
+
+
 def split(edges: DataFrame, predict: bool, test: bool, val: bool) -> DataFrame:
     """Rows with a split: the last is for prediction, the next last for test, the next for validation, as switched on;
     validation only if something is left to train on."""

@@ -21,12 +21,6 @@ MOST = 8192
 PASSES = 8
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = io.scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _bin(x: Column, bins: int) -> Column:
     """The bin of x in lo..hi; halves keep the width of very wide intervals finite."""
     share = (x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
@@ -44,11 +38,11 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, points: list[
     ends = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     at = [F.lit(p) * (F.col("n") - 1) for p in points]
     wanted = F.array_distinct(F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)]))
-    base = _stored(ends, "ends")
+    base = io.stored(ends, "ends")
     todo = base.select("key", F.explode(wanted).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"))
     settled = (F.col("lo") == F.col("hi")) | (F.col("inside") <= most)
     for _ in range(passes):
-        todo = _stored(todo, "intervals")
+        todo = io.stored(todo, "intervals")
         wide = todo.where(~settled).select("key", "lo", "hi").distinct()
         if wide.isEmpty():
             break
@@ -60,7 +54,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, points: list[
         next_ones = todo.where(~settled).join(cut, ["key", "lo", "hi"]).where((place >= F.col("below")) & (place < F.col("below") + F.col("c")))
         next_ones = next_ones.select("key", "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("before") + F.col("below")).alias("before"), F.col("c").alias("inside"))
         todo = todo.where(settled).unionByName(next_ones)
-    todo = _stored(todo, "intervals")
+    todo = io.stored(todo, "intervals")
     alone = todo.where("lo = hi").select("key", "rank", F.col("lo").alias("value"))
     some = todo.where("lo < hi")
     few = some.where(F.col("inside") <= most).groupBy("key", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))  # at most two a point

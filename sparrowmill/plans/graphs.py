@@ -71,6 +71,14 @@ def _(v):
     return graph.sample_graphs(v.inter, 2, 5, 3)
 
 
+_SPANS = f"""SELECT root, user_id, item_id, time, min(n_items) AS first, max(n_items) AS last FROM (SELECT *, n_items - row_number() OVER (PARTITION BY root, user_id, item_id, time ORDER BY n_items) AS run FROM ({_found('root, n_items')})) GROUP BY root, user_id, item_id, time, run"""
+
+
+@query("gr_prefix_changes", f"WITH {_khop_sql(_STEPS, 'root, n_items', 50, 50)} {_SPANS}")
+def _(v):
+    return graph.prefix_changes(v.inter, 2)
+
+
 @query("gr_user_samples_predict", "SELECT user_id, CAST(n AS INTEGER) AS n_items, CAST(0 AS BIGINT) AS target, s AS sequence FROM (SELECT user_id, count(*) AS n, array_to_string(list(item_id ORDER BY time, item_id) FILTER (WHERE r <= 50), ' ') AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time DESC, item_id DESC) AS r FROM inter) GROUP BY 1)")
 def _(v):
     return graph.user_samples(v.inter, predict=True).withColumn("sequence", F.array_join(F.col("sequence").cast("array<string>"), " "))

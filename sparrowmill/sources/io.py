@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch path and read back, so that lineage ends at the files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mount(spark: SparkSession, store: str, folder: str, target: str, options: dict[str, str] | None = None) -> str:
     """viewfs://store/folder, behind which stands `target`, a folder of any file system that Hadoop knows (s3a, gs, hdfs, file).
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparrowmill.operators import embeddings, graph, models, recs
@@ -77,3 +78,32 @@ def test_prefix_graphs_equal_one_walk_a_prefix(spark):
             w2 = set().union(*[latest([e for e in past if e[0] == f], 3, lambda e: (e[2], e[1])) for f in front])
             want[u, n] = w1 | u1 | w2
     assert got == want
+
+
+@pytest.mark.parametrize(("hops", "step"), [(2, 32), (3, 4)])
+def test_prefix_changes_equal_one_walk_a_prefix(spark, monkeypatch, hops, step):
+    """One user holds a third of the events, times tie, and blocks are shorter than its prefixes."""
+    monkeypatch.setattr(graph, "STEP", step)
+    rng = random.Random(hops)
+    rows = [(0 if rng.random() < 0.3 else rng.randrange(12), rng.randrange(9), rng.randrange(100)) for _ in range(150)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, time long")
+    columns = ["root", "n_items", "user_id", "item_id", "time"]
+    changes = graph.prefix_changes(edges, hops, 3, 2)
+    got = sorted(map(tuple, graph.graphs_at(changes).select(columns).collect()))
+    assert got == sorted(map(tuple, graph.sample_graphs(edges, hops, 3, 2).select(columns).collect()))
+    spans = {}
+    for r in changes.collect():
+        spans.setdefault((r.root, r.user_id, r.item_id, r.time), []).append((r.first, r.last))
+    assert all(b[0] > a[1] + 1 for s in spans.values() for a, b in zip(sorted(s), sorted(s)[1:]))  # as long as they can be
+    assert sum(map(len, spans.values())) < len(got)
+
+
+def test_prefix_changes_read_what_came(spark, monkeypatch):
+    """An edge that stays in a neighbourhood is met once, not once a prefix; no events give no rows."""
+    met = []
+    inner = graph._differences
+    monkeypatch.setattr(graph, "_differences", lambda *a: met.append(inner(*a)) or met[-1])
+    edges = spark.createDataFrame([(0, t, t) for t in range(30)] + [(1, 0, -1)], "user_id long, item_id long, time long")
+    graph.prefix_changes(edges, 2).collect()
+    assert met[0].count() == 29  # 28 prefixes of up to 29 items: each item enters once
+    assert graph.prefix_changes(edges.limit(0), 2).count() == 0
