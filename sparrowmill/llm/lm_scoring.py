@@ -8,7 +8,9 @@ background, so low scores are target-like. Words are runs of letters, digits and
 All counts are taken over all documents and the models grow with them, so no table goes through the driver. Documents are
 dealt to chunks by id. A chunk sends its distinct bigrams and words, sorted by their 64-bit hashes, to the buckets of
 hash ranges; a bucket adds up what all chunks sent and answers each in the order it asked; the chunk, counted again, scores
-its documents from the answers. A frequent bigram is sent once a chunk however often it occurs.
+its documents from the answers. A frequent bigram is sent once a chunk however often it occurs. More than FAN chunks exchange
+in levels: FAN chunks meet in FAN wide ranges, whose sums go on to narrower ranges that more chunks share, and answers come
+back the same way. So no sender has more than FAN receivers at a level, and messages grow with chunks, not with their square.
 
 P(w | h) = (c(h, w) + mu * P(w)) / (c(h) + mu),  P(w) = (c(w) + 1) / (N + V).
 
@@ -33,6 +35,7 @@ from .textkit import batches as batched
 from .textkit import words as hashed
 
 MU = 50.0
+FAN = 64
 _CHUNK_BYTES = 8 << 20
 _BATCH_BYTES = 2 << 20
 _START, _UNKNOWN = U(0), U(1)  # hashes of no word
@@ -121,59 +124,114 @@ class _Chunk:
             out[f"{name}_t"] = np.bincount(place[of_target], minlength=n)
         return out
 
-    def slices(self, buckets: int) -> list[tuple[slice, slice]]:
-        """Of each bucket: its pairs and its words."""
-        edges = []
-        for h in (self.pairs, self.words):
-            bucket = (h >> U(32)) * U(buckets) >> U(32)
-            edges.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=U)))
-        return [(slice(*edges[0][b : b + 2]), slice(*edges[1][b : b + 2])) for b in range(buckets)]
 
+def _levels(chunks: int, fan: int) -> list[int]:
+    """How many hash ranges each level of the exchange has; the last one's are the buckets, which see all chunks."""
+    buckets, depth = (chunks + 1) // 2, 1
+    while fan**depth < chunks:
+        depth += 1
+    return [min(fan**level, buckets) for level in range(1, depth)] + [buckets]
 
-def _asked(buckets: int, kept):
+
+def _place(h: np.ndarray, ranges: int, buckets: int) -> np.ndarray:
+    """The range of each hash, in whole buckets, so that ranges of a level lie within those of the level before."""
+    return ((h >> U(32)) * U(buckets) >> U(32)) * U(ranges) // U(buckets)
+
+
+_SETS = (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:]))
+_ASKED = [("chunk", pa.int32()), ("origin", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary()), ("words", pa.binary()), *[(k, pa.binary()) for k in _COUNTS]]
+_ASKED_SQL = "chunk int, origin int, bucket int, pairs binary, words binary, " + ", ".join(f"{k} binary" for k in _COUNTS)
+_PASSED_SQL = "chunk int, origin int, bucket int, " + ", ".join(f"{k} binary" for k in _COUNTS)
+_ANSWERED_SQL = _PASSED_SQL + ", distinct long, n long, n_target long"
+
+
+def _messages(sender: int, origin: int, hashes: dict[str, np.ndarray], counts: dict[str, np.ndarray], ranges: int, buckets: int) -> pa.Table:
+    """A sender's sorted hashes and their counts, cut into the ranges of the level above."""
+    places = {k: _place(h, ranges, buckets) for k, h in hashes.items()}
+    rows = []
+    for b in np.union1d(places["pairs"], places["words"]):
+        cut = {k: slice(*np.searchsorted(x, [b, b + U(1)])) for k, x in places.items()}
+        put = [_put(np.diff(hashes[k][cut[k]], prepend=U(0))) for k in hashes]
+        rows.append((sender, origin, int(b), *put, *[_put(counts[name][cut[k]]) for k, names in _SETS for name in names]))
+    return pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)], [k for k, _ in _ASKED])
+
+
+def _asked(ranges: int, buckets: int, kept):
     def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _ASKED})
         hit = set(ids.column("id").to_pylist())
         c = _Chunk(docs.column("text").to_pylist(), kept and kept.value)
         counts = c.counts(np.array([i in hit for i in docs.column("id").to_pylist()], bool))
-        rows = []
-        for b, (p, w) in enumerate(c.slices(buckets)):
-            rows.append((docs.column("chunk")[0].as_py(), b, _put(np.diff(c.pairs[p], prepend=U(0))), _put(np.diff(c.words[w], prepend=U(0))), *[_put(counts[k][p if k[0] == "p" else w]) for k in _COUNTS]))
-        return pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)], [k for k, _ in _ASKED])
+        return _messages(docs.column("chunk")[0].as_py(), 0, {"pairs": c.pairs, "words": c.words}, counts, ranges, buckets)
 
     return run
 
 
-_ASKED = [("chunk", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary()), ("words", pa.binary()), *[(k, pa.binary()) for k in _COUNTS]]
-_ANSWERED = "chunk int, bucket int, " + ", ".join(f"{k} binary" for k in _COUNTS) + ", distinct long, n long, n_target long"
+def _united(asked: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of messages, where each hash of each message stands among them, where messages end."""
+    hashes = [np.cumsum(_got(b), dtype=U) for b in asked.column(key).to_pylist()]
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    return distinct, place, np.cumsum([len(h) for h in hashes])[:-1]
+
+
+def _sums(asked: pa.Table, name: str, place: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(place, np.concatenate([_got(b) for b in asked.column(name).to_pylist()]), n).astype(np.int64)
+
+
+def _forwarded(fan: int, ranges: int, buckets: int):
+    """A range of one level adds up what its senders sent, and sends the sums to the ranges of the next."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        hashes, counts = {}, {}
+        for key, names in _SETS:
+            hashes[key], place, _ = _united(asked, key)
+            counts |= {name: _sums(asked, name, place, len(hashes[key])) for name in names}
+        return _messages(asked.column("chunk")[0].as_py() // fan, asked.column("bucket")[0].as_py(), hashes, counts, ranges, buckets)
+
+    return run
+
+
+def _addressed(asked: pa.Table, columns: dict[str, list]) -> pa.Table:
+    columns = {k: asked.column(k) for k in ("chunk", "origin", "bucket")} | columns
+    kinds = [pa.int64() if k in ("distinct", "n", "n_target") else pa.int32() if k in ("chunk", "origin", "bucket") else pa.binary() for k in columns]
+    return pa.table([x.cast(t) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)], list(columns))
 
 
 def _answered(asked: pa.Table) -> pa.Table:
-    """The sums of a bucket for each chunk that asked; its own totals stand in one row."""
-    columns: dict[str, list] = {"chunk": asked.column("chunk").to_pylist(), "bucket": asked.column("bucket").to_pylist()}
+    """The sums of a bucket for each sender that asked; its own totals stand in one row."""
+    columns: dict[str, list] = {}
     totals = [0, 0, 0]
-    for key, names in (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:])):
-        hashes = [np.cumsum(_got(b), dtype=U) for b in asked.column(key).to_pylist()]
-        ends = np.cumsum([len(h) for h in hashes])
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    for key, names in _SETS:
+        distinct, place, ends = _united(asked, key)
         for name in names:
-            sums = np.bincount(place, np.concatenate([_got(b) for b in asked.column(name).to_pylist()]), len(distinct)).astype(np.int64)
-            columns[name] = [_put(x) for x in np.split(sums[place], ends[:-1])]
+            sums = _sums(asked, name, place, len(distinct))
+            columns[name] = [_put(x) for x in np.split(sums[place], ends)]
             if name == "words_n":
                 totals[0], totals[1] = int((sums > 0).sum()), int(sums.sum())
             elif name == "words_t":
                 totals[2] = int(sums.sum())
     for name, total in zip(("distinct", "n", "n_target"), totals, strict=True):
         columns[name] = [total] + [0] * (asked.num_rows - 1)
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(_COUNTS), *[pa.int64()] * 3]
-    return pa.table([pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)], list(columns))
+    return _addressed(asked, columns)
+
+
+def _passed(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers that a range got, for each sender in the order that it asked."""
+    answers = answers.sort_by("bucket")
+    columns: dict[str, list] = {}
+    for key, names in _SETS:
+        _, place, ends = _united(asked, key)
+        for name in names:
+            got = np.concatenate([_got(b) for b in answers.column(name).to_pylist()])
+            columns[name] = [_put(x) for x in np.split(got[place], ends)]
+    return _addressed(asked, columns)
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int | None = None, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int | None = None, mu: float = MU, fan: int = FAN) -> DataFrame:
     """id, n_tokens, target_loss, background_loss, score for every row of docs; targets: one column of ids.
 
-    size: only so many words, the unknown one included; None: all words.
+    size: only so many words, the unknown one included; None: all words. fan: senders and receivers of a range of hashes.
     """
     rows = docs.select(F.col(id_col).alias("id"), nonnull_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType
@@ -186,9 +244,17 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
     dealt = rows.select(deal(F.coalesce(F.col("id").cast("string"), F.col("text"))), "id", "text").groupBy("chunk")
     ids = targets.select(F.col(targets.columns[0]).cast(kind).alias("id")).where("id is not null").distinct()
-    asked = dealt.cogroup(ids.select(deal(F.col("id").cast("string")), "id").groupBy("chunk")).applyInArrow(_asked(buckets, kept), "chunk int, bucket int, pairs binary, words binary, " + ", ".join(f"{k} binary" for k in _COUNTS))
-    answers = materialise(asked.groupBy("bucket").applyInArrow(_answered, _ANSWERED), "answers")
+    levels = _levels(chunks, fan)
+    asks = [dealt.cogroup(ids.select(deal(F.col("id").cast("string")), "id").groupBy("chunk")).applyInArrow(_asked(levels[0], buckets, kept), _ASKED_SQL)]
+    group = F.floor(F.col("chunk") / fan).cast("int")
+    for ranges in levels[1:]:
+        asks[-1] = materialise(asks[-1], "asked")
+        asks.append(asks[-1].groupBy(group, "bucket").applyInArrow(_forwarded(fan, ranges, buckets), _ASKED_SQL))
+    answers = materialise(asks.pop().groupBy("bucket").applyInArrow(_answered, _ANSWERED_SQL), "answers")
     totals = answers.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("distinct", "n", "n_target")]).first()
+    while asks:
+        back = answers.select("chunk", "origin", "bucket", *_COUNTS).groupBy("chunk", "origin")
+        answers = materialise(asks.pop().groupBy(group, "bucket").cogroup(back).applyInArrow(_passed, _PASSED_SQL), "answers")
     v = totals.distinct + 1 if size is None else len(words) + 1
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:

@@ -345,6 +345,44 @@ def test_lm_scores_against_brute_force(spark, texts):
         assert abs(got[n].background_loss - g) < 1e-5 and abs(got[n].target_loss - t) < 1e-5 and abs(got[n].score - (t - g)) < 1e-5
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_lm_scores_do_not_hang_on_levels(spark, monkeypatch, fan):
+    """Many chunks that exchange in levels give what one chunk gives, and each level sends at most fan messages a chunk."""
+    rng = random.Random(3)
+    docs = docs_of(spark, [" ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(60))) for _ in range(90)] + [None, ""])
+    targets = spark.createDataFrame([(n,) for n in range(0, 90, 7)], "doc_id long")
+    want = {r.doc_id: r for r in lm_scoring.score(docs, targets).collect()}
+    sent, inner = {}, lm_scoring.materialise
+
+    def counted(df, name):
+        made = inner(df, name)
+        sent.setdefault(name, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(lm_scoring, "_CHUNK_BYTES", 1000)
+    monkeypatch.setattr(lm_scoring, "materialise", counted)
+    got = lm_scoring.score(docs, targets, fan=fan).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.n_tokens, r.score is None) == (want[r.doc_id].n_tokens, want[r.doc_id].score is None)
+        assert r.score is None or r.score == pytest.approx(want[r.doc_id].score) and r.target_loss == pytest.approx(want[r.doc_id].target_loss)
+    assert len(sent["asked"]) >= 1 and max(sent["asked"] + sent["answers"]) <= fan * 14  # 13 chunks or so
+
+
+def test_lm_levels_grow_with_chunks():
+    for chunks in [1, 2, 61, 64, 65, 128, 3700, 4096, 4097, 12_000_000]:
+        levels = lm_scoring._levels(chunks, 64)
+        senders = [-(-chunks // 64**n) for n in range(len(levels) + 1)]
+        assert levels[-1] == (chunks + 1) // 2 and senders[-1] == 1
+        assert all(s * r <= 65 * chunks for s, r in zip(senders, levels))
+    for chunks in [7, 100, 300]:
+        buckets = (chunks + 1) // 2
+        h = np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+        inside = [lm_scoring._place(h, r, buckets) for r in lm_scoring._levels(chunks, 4)]
+        assert all((np.diff(a.astype(np.int64)) >= 0).all() for a in inside)
+        assert all(len(set(zip(a, b))) == len(set(b)) for a, b in zip(inside, inside[1:]))  # a range has one range above it
+
+
 def test_lm_edges(spark):
     none = spark.createDataFrame([], "doc_id long")
     got = lm_scoring.score(awkward(spark), none).select("doc_id", "n_tokens", F.col("score").isNull())
