@@ -11,7 +11,7 @@ hash ranges; a bucket adds up what all chunks sent and answers each in the order
 its documents from the answers. A frequent bigram is sent once a chunk however often it occurs. More than FAN chunks exchange
 in levels: FAN chunks meet in FAN wide ranges, whose sums go on to narrower ranges that more chunks share, and answers come
 back the same way. So no sender has more than FAN receivers at a level, and messages grow with chunks, not with their square. One level
-serves some 34 GB of text, two 140 TB.
+serves some 68 GB of text, two 560 TB.
 
 P(w | h) = (c(h, w) + mu * P(w)) / (c(h) + mu),  P(w) = (c(w) + 1) / (N + V).
 
@@ -36,7 +36,7 @@ from .textkit import batches as batched
 from .textkit import words as hashed
 
 MU = 50.0
-FAN = 4096  # a chunk's messages are then some 2 KB each; every further level moves the counts once more
+FAN = 8192  # a chunk's messages are then some 1 KB each; every further level moves the counts once more
 _CHUNK_BYTES = 8 << 20
 _BATCH_BYTES = 2 << 20
 _START, _UNKNOWN = U(0), U(1)  # hashes of no word
