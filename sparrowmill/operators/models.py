@@ -6,7 +6,10 @@ import random
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -206,8 +209,21 @@ def complete_batch(df: DataFrame, id_col: str, text_col: str, mode: str, complet
     instruction, limit = INSTRUCTIONS[mode]
     prompts = df.select(F.col(id_col).cast("string").alias("id"), prompt(text_col, instruction).alias("prompt"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(completion=completer(b["prompt"], limit))
-
-    return prompts.mapInPandas(run, "id string, prompt string, completion string")
+            for part in _slices(b, 1):
+                done = completer(part.column(1).to_pandas(), limit)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(done, pa.string(), from_pandas=True)], ["id", "prompt", "completion"])
+
+    return prompts.mapInArrow(run, "id string, prompt string, completion string")
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts in a column have about `most` bytes together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        held = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, held + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
