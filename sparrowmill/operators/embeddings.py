@@ -6,7 +6,6 @@ what the rows say about them, and only such sums travel.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -51,34 +50,47 @@ def _blocks(matrix: np.ndarray) -> pd.DataFrame:
 # Texts
 
 
-def _weights(texts, slots: int, idf: np.ndarray):
-    """(place of text, slot, weight) of a batch: term counts by slot, weighted and scaled to length one a text."""
-    place, slot, weight = [], [], []
-    for n, text in enumerate(texts):
-        counts = Counter(zlib.crc32(w.encode()) % slots for w in _WORD.findall(text.lower()))
-        if counts:
-            s = np.fromiter(counts, np.int64, len(counts))
-            w = np.log1p(np.fromiter(counts.values(), float, len(counts))) * idf[s]
-            place.append(np.full(len(s), n))
-            slot.append(s)
-            weight.append(w / (np.sqrt(w @ w) or 1.0))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(place), np.concatenate(slot), np.concatenate(weight)) if place else (none, none, np.zeros(0))
+def _counted(texts: pa.Array, slots: int, known: dict[str, int]) -> tuple[pa.Array, pa.Array]:
+    """The slots of each text's words in order, and how often each comes. known: words' slots, kept for the next batch."""
+    edge, slot, count = [0], [], []
+    for text in texts.to_pylist():
+        counts: dict[int, int] = {}
+        for w, n in Counter(_WORD.findall(text.lower())).items():
+            s = known.get(w)
+            if s is None:
+                s = zlib.crc32(w.encode()) % slots
+                if len(known) < _KNOWN:
+                    known[w] = s
+            counts[s] = counts.get(s, 0) + n
+        slot.extend(counts)
+        count.extend(counts.values())
+        edge.append(len(slot))
+    edges = pa.array(edge, pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(count, pa.int32()))
 
 
-def _parts(batches, size: int = 64):
+_KNOWN = 200_000  # words whose slot a task remembers
+
+
+def _terms(batches, size: int = 256):
+    """(texts, place of text, slot, count) of runs of rows with the columns slots and counts."""
     for b in batches:
-        for at in range(0, len(b), size):
-            yield b[at : at + size]
+        for at in range(0, b.num_rows, size):
+            slots, counts = (b.column(c).slice(at, size) for c in ("slots", "counts"))
+            lengths = slots.value_lengths().to_numpy(zero_copy_only=False)
+            yield len(slots), np.repeat(np.arange(len(slots)), lengths), slots.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(float)
 
 
-def _projected(texts, slots: int, idf: np.ndarray, basis: np.ndarray):
-    """Rows of (texts x slots) times the basis, with the texts' weights."""
-    place, slot, weight = _weights(texts, slots, idf)
-    out = np.zeros((len(texts), basis.shape[1]))
+def _projected(terms: tuple, idf: np.ndarray, basis: np.ndarray):
+    """Rows of (texts x slots) times the basis, with the texts' weights: counts damped, weighted and scaled to length one a text."""
+    n, place, slot, count = terms
+    out, weight = np.zeros((n, basis.shape[1])), np.zeros(0)
     if len(place):
+        weight = np.log1p(count) * idf[slot]
+        length = np.sqrt(np.bincount(place, weight * weight, n))
+        weight = weight / np.where(length == 0, 1.0, length)[place]
         begin = np.flatnonzero(np.diff(place, prepend=-1))
-        out[place[begin]] = np.add.reduceat(basis[slot] * weight[:, None], begin)
+        out[place[begin]] = np.add.reduceat(basis[slot] * weight[:, None].astype(np.float32), begin)
     return out, place, slot, weight
 
 
@@ -87,7 +99,7 @@ def _add_back(out: np.ndarray, y: np.ndarray, place: np.ndarray, slot: np.ndarra
     if len(slot):
         order = np.argsort(slot, kind="stable")
         begin = np.flatnonzero(np.diff(slot[order], prepend=-1))
-        out[slot[order][begin]] += np.add.reduceat((y[place] * weight[:, None])[order], begin)
+        out[slot[order][begin]] += np.add.reduceat(y[place[order]] * weight[order, None], begin)
 
 
 def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, slots: int = 1 << 16, rounds: int = 1, spare: int = 8, seed: int = 7, name: str = "embedding") -> DataFrame:
@@ -95,23 +107,37 @@ def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, sl
 
     The directions are those of a randomised range finder over hashed terms: slots are mixed at random into size + spare
     columns, and each round multiplies these by the texts and back, which turns them towards the main directions. A task sends
-    at most slots x (size + spare) sums a round; the driver holds one such matrix. Null text reads "nan"; texts without a
+    at most slots x (size + spare) sums a round; the driver holds one such matrix. Texts are cut into words once and stored as
+    slots and counts, which every round reads. Null text reads "nan"; texts without a
     word get zeros.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("nan")).alias("text"))
     texts = rows.select("text")
 
+    def count(batches):
+        known: dict[str, int] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *_counted(part.column("text"), slots, known)], ["id", "slots", "counts"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    terms = io.stored(rows.mapInArrow(count, f"id {kind}, slots array<int>, counts array<int>"), "terms")  # texts are cut into words once
+    texts = terms.select("slots", "counts")
+
+    def sums(made) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(made["block"].tolist(), pa.int32()), pa.array(made["values"].tolist(), pa.binary())], ["block", "values"])
+
     def frequencies(batches):
         seen, n = np.zeros((slots, 1)), 0
-        for b in batches:
-            for t in b["text"]:
-                seen[list({zlib.crc32(w.encode()) % slots for w in _WORD.findall(t.lower())}), 0] += 1
-                n += 1
-        yield _blocks(seen)
-        yield pd.DataFrame({"block": pd.Series([-1], dtype="int32"), "values": [np.array([float(n)]).tobytes()]})
+        for rows_of, _, slot, _ in _terms(batches):
+            seen[:, 0] += np.bincount(slot, minlength=slots)
+            n += rows_of
+        yield sums(_blocks(seen))
+        yield sums(pd.DataFrame({"block": pd.Series([-1], dtype="int32"), "values": [np.array([float(n)]).tobytes()]}))
 
-    counted = texts.mapInPandas(frequencies, "block int, values binary")
+    counted = texts.mapInArrow(frequencies, "block int, values binary")
     path = io.scratch(spark, "term-counts")
     counted.write.parquet(path)
     counted = spark.read.parquet(path)
@@ -125,34 +151,34 @@ def latent_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, sl
         def turn(batches, shared=shared):
             weights, own = shared.value
             out = np.zeros(own.shape)
-            for part in _parts(b["text"].tolist() for b in batches):
-                _add_back(out, *_projected(part, slots, weights, own))
-            yield _blocks(out)
+            for part in _terms(batches):
+                _add_back(out, *_projected(part, weights, own))
+            yield sums(_blocks(out))
 
-        turned = _sum_blocks(texts.mapInPandas(turn, "block int, values binary"), slots, size + spare)
+        turned = _sum_blocks(texts.mapInArrow(turn, "block int, values binary"), slots, size + spare)
         basis = np.linalg.qr(turned)[0].astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, basis))
 
     def gram(batches):
         weights, own = shared.value
         out = np.zeros((own.shape[1], own.shape[1]))
-        for part in _parts(b["text"].tolist() for b in batches):
-            y = _projected(part, slots, weights, own)[0]
+        for part in _terms(batches):
+            y = _projected(part, weights, own)[0]
             out += y.T @ y
-        yield _blocks(out)
+        yield sums(_blocks(out))
 
-    values, vectors = np.linalg.eigh(_sum_blocks(texts.mapInPandas(gram, "block int, values binary"), size + spare, size + spare))
+    values, vectors = np.linalg.eigh(_sum_blocks(texts.mapInArrow(gram, "block int, values binary"), size + spare, size + spare))
     final = spark.sparkContext.broadcast((idf, (basis @ vectors[:, np.argsort(-values)[:size]]).astype(np.float32)))
 
     def place_texts(batches):
         weights, own = final.value
         for b in batches:
-            y = np.concatenate([_projected(p, slots, weights, own)[0] for p in _parts([b.column("text").to_pylist()])] or [np.zeros((0, size))])
+            y = np.concatenate([_projected(p, weights, own)[0] for p in _terms([b])] or [np.zeros((0, size))])
             y /= np.maximum(np.sqrt((y**2).sum(1)), 1e-12)[:, None]
             flat = pa.array(y.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), flat)], ["id", name])
 
-    return rows.mapInArrow(place_texts, f"id {rows.schema['id'].dataType.simpleString()}, {name} array<float>").withColumnRenamed("id", id_col)
+    return terms.mapInArrow(place_texts, f"id {kind}, {name} array<float>").withColumnRenamed("id", id_col)
 
 
 # Sequences
@@ -185,36 +211,64 @@ class Transitions:
 
 
 def _train_part(lists: list[np.ndarray], model: Transitions, window: int, rate: float, keep: float, drawn: np.ndarray, rng: np.random.Generator) -> Transitions:
-    """One pass of pairwise steps over a task's sequences, on copies of the matrices: the next item against a drawn one."""
+    """One pass of pairwise steps over a task's sequences, on copies of the matrices: the next item against a drawn one.
+
+    Sequences step side by side, fewer than there are slots in use, so that few of them meet on one slot; their steps add up.
+    """
     past, ahead, base = model.past.copy(), model.ahead.copy(), model.base.copy()
     weights = model.decay ** np.arange(window)
-    for k in rng.permutation(len(lists)):
-        s = lists[k]
-        others = drawn[rng.integers(0, len(drawn), len(s))]
-        for t in range(1, len(s)):
-            before = s[max(0, t - window) : t][::-1]
-            w = weights[: len(before)]
-            right, wrong = s[t], others[t]
-            if right == wrong:
+    together = int(min(512, max(1, len(np.unique(drawn)) // 4)))
+    lists = [lists[k] for k in rng.permutation(len(lists))]
+    for at in range(0, len(lists), together):
+        group = sorted(lists[at : at + together], key=len, reverse=True)
+        length = np.array([len(s) for s in group])
+        table = np.zeros((len(group), window + length[0]), np.int64)  # `window` empty places before the first item
+        for n, s in enumerate(group):
+            table[n, window : window + len(s)] = s
+        others = drawn[rng.integers(0, len(drawn), (len(group), length[0]))]
+        for t in range(1, length[0]):
+            active = int(np.searchsorted(-length, -t))
+            right, wrong = table[:active, window + t], others[:active, t]
+            differ = right != wrong
+            w = weights[None, :] * (np.arange(window) < t)
+            before = table[:active, t : window + t][:, ::-1][differ]
+            right, wrong = right[differ], wrong[differ]
+            if not len(right):
                 continue
-            h = w @ past[before]
+            h = np.einsum("nw,nwr->nr", np.broadcast_to(w, before.shape), past[before])
             gap = ahead[right] - ahead[wrong]
-            pull = rate / (1 + math.exp(min(50.0, h @ gap + base[right] - base[wrong])))
-            past[before] = keep * past[before] + (pull * w)[:, None] * gap
-            ahead[right] = keep * ahead[right] + pull * h
-            ahead[wrong] = keep * ahead[wrong] - pull * h
-            base[right] += pull
-            base[wrong] -= pull
+            pull = rate / (1 + np.exp(np.minimum(50.0, (h * gap).sum(1) + base[right] - base[wrong])))
+            used = before[:, : min(window, t)]
+            _shrink(past, used.ravel(), keep)
+            np.add.at(past, used.ravel(), ((pull[:, None] * w[:, : used.shape[1]])[:, :, None] * gap[:, None, :]).reshape(-1, past.shape[1]))
+            step = pull[:, None] * h
+            _shrink(ahead, np.concatenate([right, wrong]), keep)
+            np.add.at(ahead, right, step)
+            np.add.at(ahead, wrong, -step)
+            np.add.at(base, right, pull)
+            np.add.at(base, wrong, -pull)
     return Transitions(past, ahead, base, model.decay)
 
 
-def train_transitions(lists: DataFrame, rank: int = 16, slots: int = 1 << 14, epochs: int = 6, shards: int = 4, window: int = 3, decay: float = 0.5, rate: float = 0.1, keep: float = 0.9995, seed: int = 42) -> Transitions:
+def _shrink(matrix: np.ndarray, rows: np.ndarray, keep: float) -> None:
+    """Rows are shrunk once for each time they come."""
+    own, times = np.unique(rows, return_counts=True)
+    matrix[own] *= (keep**times)[:, None]
+
+
+#: Sequences of a training task, about.
+SHARD_ROWS = 25_000
+
+
+def train_transitions(lists: DataFrame, rank: int = 16, slots: int = 1 << 14, epochs: int = 6, shards: int | None = None, window: int = 3, decay: float = 0.5, rate: float = 0.1, keep: float = 0.9995, seed: int = 42) -> Transitions:
     """Factorised transitions in the order of events, from sequences (items: array).
 
     Each epoch `shards` tasks make pairwise gradient steps over their sequences, starting from the same matrices, which are
-    then averaged. Matrices are slots x rank, whatever the number of items; items of one slot share factors.
+    then averaged. Matrices are slots x rank, whatever the number of items; items of one slot share factors. shards: by default
+    one for every SHARD_ROWS sequences, four at least, so that a task's work does not grow with the table.
     """
     spark = lists.sparkSession
+    shards = shards or max(4, -(-lists.where(F.size("items") > 1).count() // SHARD_ROWS))
     rng = np.random.default_rng(seed)
     model = Transitions(rng.normal(0, 0.1, (slots, rank)), rng.normal(0, 0.1, (slots, rank)), np.zeros(slots), decay)
     path = io.scratch(spark, "sequences")
