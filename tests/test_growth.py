@@ -29,3 +29,45 @@ def test_candidates_of_top_items_are_not_made_distinct_with_purchases(spark):
     want = {(c, a) for c in (1, 2, None) for a in (10, 13)} | {tuple(r) for r in tx.collect()}
     got = [tuple(r) for r in recs.candidate_pairs(customers, tx, top).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_negatives_are_offered_as_lists(spark):
+    from sparrowmill.operators import graph
+
+    edges = spark.createDataFrame([(u, i) for u in range(30) for i in range(u % 7, 90, 3)], "user_id long, item_id long")
+    made = graph.sample_negatives(edges, 5)
+    met = {tuple(r) for r in edges.collect()}
+    got = [tuple(r) for r in made.collect()]
+    assert len(set(got)) == len(got) == 150 and not met & set(got)
+    assert "LeftAnti" not in _plan(made)
+
+
+def test_prompts_are_completed_in_runs_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from sparrowmill.operators import models
+
+    texts = ["a" * 40, None, "é" * 30, "b" * 500, "", "c"]
+    parts = list(models._slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0, 100))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [3, 1, 2]
+
+
+def test_words_become_slots_and_counts_once():
+    import pyarrow as pa
+
+    from sparrowmill.operators import embeddings
+
+    slots, counts = embeddings._counted(pa.array(["a b a", "", "B"]), 1 << 16, {})
+    (a, b), none, (other,) = slots.to_pylist()
+    assert a != b == other and none == [] and counts.to_pylist() == [[2, 1], [], [1]]
+
+
+def test_rows_shrink_once_for_each_step():
+    import numpy as np
+
+    from sparrowmill.operators import embeddings
+
+    matrix = np.ones((3, 2))
+    embeddings._shrink(matrix, np.array([0, 2, 2]), 0.5)
+    assert matrix.tolist() == [[0.5, 0.5], [1, 1], [0.25, 0.25]]
