@@ -62,3 +62,30 @@ def test_rows_shrink_once_for_each_step():
     matrix = np.ones((3, 2))
     embeddings._shrink(matrix, np.array([0, 2, 2]), 0.5)
     assert matrix.tolist() == [[0.5, 0.5], [1, 1], [0.25, 0.25]]
+
+
+def test_found_edges_are_not_shuffled_and_come_once(spark):
+    import random
+
+    from sparrowmill.operators import graph
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(9), rng.randrange(6), rng.randrange(40)) for _ in range(150)]
+    rows += rows[:30]  # copies and ties
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, time long")
+    roots = spark.createDataFrame([(u, u, t) for u, t in ((0, 39), (3, 20), (5, 11))], "root long, user_id long, until long")
+    made = graph.khop(edges, roots, ["root"], 3, 4, 3)
+    latest = lambda by, x, until, k: sorted((e for e in rows if e[by] == x and e[2] <= until), key=lambda e: (e[2], e[1 - by]), reverse=True)[:k]
+    want = set()
+    for root, _, until in roots.collect():
+        seen, front = {root}, [root]
+        walked = latest(0, root, until, 4)
+        want |= {(root, *e) for e in walked}
+        for _ in range(2):
+            users = [e for i in {e[1] for e in walked} for e in latest(1, i, until, 3)]
+            front = sorted({e[0] for e in users} - seen, reverse=True)[:3]
+            seen |= set(front)
+            walked = [e for u in front for e in latest(0, u, until, 4)]
+            want |= {(root, *e) for e in users + walked}
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    assert _plan(made).startswith("Union")
