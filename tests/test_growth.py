@@ -89,3 +89,54 @@ def test_found_edges_are_not_shuffled_and_come_once(spark):
             want |= {(root, *e) for e in users + walked}
     assert sorted(map(tuple, made.collect())) == sorted(want)
     assert _plan(made).startswith("Union")
+
+
+def test_offered_and_bought_has_each_pair_once_without_a_distinct_over_offers(spark):
+    customers = spark.createDataFrame([(1,), (2,), (2,), (None,)], "customer_id long")
+    top = spark.createDataFrame([(10,), (11,)], "article_id long")
+    tx = spark.createDataFrame([(1, 10), (1, 12), (1, 12), (3, 10), (3, None), (None, 11), (None, 13)], "customer_id long, article_id long")
+    made = recs.offered_and_bought(customers, top, tx)
+    want = {(c, a) for c in (1, 2, None) for a in (10, 11)} | {tuple(r) for r in tx.collect()}
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+    assert _plan(made).startswith("Union")
+
+
+def test_candidates_meet_articles_before_customers_vectors(spark):
+    candidates = spark.createDataFrame([(1, 10, "s"), (1, 11, "s"), (2, 10, "s")], "customer_id long, article_id long, strategy_name string")
+    whose = spark.createDataFrame([(1, [1.0, 0.0])], "customer_id long, customer_vector array<double>")
+    vectors = spark.createDataFrame([(10, [3.0, 4.0])], "article_id long, embedding array<double>")
+    made = recs.cosine_feature(candidates, whose, vectors, "x")
+    assert {tuple(r) for r in made.collect()} == {(1, 10, "s", 0.6), (1, 11, "s", 0.0), (2, 10, "s", 0.0)}
+    plan = _plan(made)
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
+    assert "customer_id" in joins[0] and "article_id" in joins[1]
+
+
+def test_blocks_of_vectors_grow_with_their_number():
+    assert [recs._blocks(n, 4096) for n in (0, 10, 4097, 65_536, 720_000, 2_000_000)] == [1, 1, 2, 16, 16, 31]
+
+
+def test_models_rank_on_one_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    data = spark.createDataFrame([(c, a, (a * 7 + c) % 5, (a * 3) % 4) for c in (1, 2) for a in range(9)], "customer_id long, article_id long, p long, q long")
+    scorers = {n: (lambda df, n=n: df.withColumn("score", F.col(n))) for n in ("q", "p")}
+    lists = {n: tables.top_lists(f(data), "customer_id", "article_id", "score", 4) for n, f in scorers.items()}
+    made = recs.rank_models(data, scorers, 4, 3)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, recs.blend(lists, "customer_id", 3).collect()))
+    final = made._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_small_groups_need_no_intervals(spark, monkeypatch):
+    from sparrowmill.operators import quantiles
+
+    kept = []
+    inner = quantiles.io.stored
+    monkeypatch.setattr(quantiles.io, "stored", lambda df, name: kept.append(name) or inner(df, name))
+    df = spark.createDataFrame([(k, float(n)) for k in (1, 2, None) for n in range(1 + 10 * (k or 3))], "k long, x double")
+    for most, names in ((100, ["ends"]), (15, None)):
+        kept.clear()
+        got = {r.k: r.m for r in quantiles.grouped_quantiles(df, ["k"], "x", [0.5], ["m"], most=most).collect()}
+        assert got == {1: 5.0, 2: 10.0, None: 15.0}
+        assert names is None or kept == names
