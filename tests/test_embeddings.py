@@ -107,3 +107,24 @@ def test_prefix_changes_read_what_came(spark, monkeypatch):
     graph.prefix_changes(edges, 2).collect()
     assert met[0].count() == 29  # 28 prefixes of up to 29 items: each item enters once
     assert graph.prefix_changes(edges.limit(0), 2).count() == 0
+
+
+def test_prefix_changes_keep_runs_and_not_edges(spark, monkeypatch):
+    """What a hop writes grows with runs and users met, not with the edges of every prefix; spans go on over blocks of 32."""
+    rows = [(n // 20 % 4 if n % 20 == 0 else 100 + n % 1500, n % 3, n) for n in range(3000)]  # 4 roots of 37 or 38 events: two blocks
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, time long")
+    sizes = {}
+    inner = graph.io.stored
+
+    def stored(df, name):
+        made = inner(df, name)
+        sizes[name] = max(sizes.get(name, 0), made.count())
+        return made
+
+    monkeypatch.setattr(graph.io, "stored", stored)
+    changes = graph.prefix_changes(edges, 2, 30, 40).collect()
+    sizes.pop("numbered", None)
+    assert max(sizes.values()) < len(changes) / 2, (sizes, len(changes))
+    past = {(r.root, n, r.user_id, r.item_id, r.time) for r in changes for n in range(r.first, r.last + 1)}
+    walked = graph.sample_graphs(edges, 2, 30, 40).select("root", "n_items", "user_id", "item_id", "time").collect()
+    assert len(past) == sum(r.last - r.first + 1 for r in changes) and past == set(map(tuple, walked))
