@@ -140,3 +140,24 @@ def test_small_groups_need_no_intervals(spark, monkeypatch):
         got = {r.k: r.m for r in quantiles.grouped_quantiles(df, ["k"], "x", [0.5], ["m"], most=most).collect()}
         assert got == {1: 5.0, 2: 10.0, None: 15.0}
         assert names is None or kept == names
+
+
+def test_tasks_of_large_transactions_hold_bounded_rows(spark, monkeypatch):
+    """Tasks grow with the tables, so that none sorts or groups more as they grow; small tables stay as they are."""
+    from pyspark.sql import functions as F
+
+    from sparrowmill import catalog
+    from sparrowmill.sources import io
+    from sparrowmill.sources.views import Views
+
+    small = "/root/testdata/sf0.001"
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    names = ("set_union_distinct", "jn_inner_multi")
+    before = {q: sorted(map(tuple, catalog.queries()[q](spark, small).collect())) for q in names}
+    assert "Repartition" not in _plan(Views(spark, small).tx)
+    monkeypatch.setattr(io, "TASK_ROWS", 200)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert rows > 2000 and most(Views(spark, small).tx) < 600
+    for q in names:
+        made = catalog.queries()[q](spark, small)
+        assert sorted(map(tuple, made.collect())) == before[q] and "Repartition" in _plan(made)
