@@ -161,3 +161,4 @@ def test_tasks_of_large_transactions_hold_bounded_rows(spark, monkeypatch):
     for q in names:
         made = catalog.queries()[q](spark, small)
         assert sorted(map(tuple, made.collect())) == before[q] and "Repartition" in _plan(made)
+    assert most(made) < 600
