@@ -345,3 +345,69 @@ def test_names_with_dots_pass_the_stages(spark):
     docs = awkward(spark)
     assert exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.drop_copies(docs).select("`a.b`").count() > 0
     assert mixing.mix_rows(docs).columns == docs.columns and {r[0] for r in mixing.mix_rows(docs).select("`a.b`").collect()} <= {1, 2, 3, None}
+
+
+def an_article(*texts, menu="m"):
+    return f"<nav>{menu}</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article><footer>f</footer>"
+
+
+def prose(name, n):
+    return " ".join(f"{name}w{k}" for k in range(n))
+
+
+def test_repeats_of_the_host_are_cut_out_of_articles(spark):
+    notice = "Sign up for our letter and read all news of the day first"
+    pages = [("a", [prose(f"a{n}", 30), notice, f"end {n}"], [0, 2]) for n in range(6)]
+    pages.append(("a", [prose("a0", 30), notice, "end 0"], [0, 2]))  # published twice
+    pages += [("a", [notice], [0]), ("a", [f"{notice} {prose('own', 12)}", prose("x", 15)], [0, 1]), ("a", [prose("y", 15), "end 9"], [0, 1])]
+    pages += [("b", [prose("b", 20), prose("c", 20), prose("d", 20 - n)], [0, 1, 2]) for n in range(6)]  # near copies
+    pages += [("c", [prose("b", 20), prose("c", 20)], [0, 1])] * 5  # copies
+    pages += [("d", [prose(f"d{n}", 20), notice if n < 3 else prose(f"e{n}", 20)], [0, 1]) for n in range(8)]  # quoted by three of eight
+    pages += [("e", [prose(f"e{n}", 20), notice], [0, 1]) for n in range(2)]
+    df = spark.createDataFrame([(n, f"http://{h}.example/{n}", an_article(*texts, menu=str(n))) for n, (h, texts, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = html_text.extract(df).orderBy("page_id").collect()
+    assert [r.text for r in got] == ["\n".join(texts[k] for k in kept) for _, texts, kept in pages]
+    assert [r.n_repeated for r in got] == [len(texts) - len(kept) for _, texts, kept in pages]
+
+
+def test_repeats_in_articles_against_brute_force(spark):
+    rng = random.Random(12)
+    notices = [prose(f"n{k}", rng.randrange(3, 8)) for k in range(4)] + [prose("n0", 4) + " " + prose("n1", 4)]
+    pages = []
+    for n in range(70):
+        texts = [prose(f"u{n}b{b}", rng.randrange(2, 30)) for b in range(rng.randrange(0, 4))] + [x for x in notices if rng.random() < 0.6]
+        rng.shuffle(texts)
+        pages.append(("large" if n < 40 else f"small{n // 8}", texts))
+    pages += pages[:9] + [("large", [*pages[0][1], f"more {n}"]) for n in range(5)]
+    starts = []  # of each page: block, string at its start, minima of the others
+    for _, texts in pages:
+        code, (of, k0, k1, rest) = html_text._article_starts([(n, t.encode()) for n, t in enumerate(texts)], 4)
+        starts.append((code, [(int(b), (int(x), int(y)), int(r)) for b, x, y, r in zip(of, k0, k1, rest, strict=True)]))
+    want = []
+    for (host, texts), (_, own) in zip(pages, starts, strict=True):
+        there = {code: (t, found) for (h, t), (code, found) in zip(pages, starts, strict=True) if h == host and found}
+        share = max(3, -(-len(there) // 2))
+        draws = {}
+        for _, found in there.values():
+            for key, r in {k: min(r for _, q, r in found if q == k) for _, k, _ in found}.items():
+                draws.setdefault(key, []).append([(r >> 16 * j) & 0xFFFF for j in range(4)])
+        hot = {k for k, v in draws.items() if len(v) >= share and len(v) ** 2 >= 3 * max(sum(c * c for c in Counter(x).values()) for x in zip(*v, strict=True))}
+
+        def picked(t, found, hot=hot):
+            out = [b for b, k, _ in found if k in hot]
+            return [] if len(out) == len(t) else out
+
+        grams = Counter()
+        for t, found in there.values():
+            w = " ".join(t[b] for b in picked(t, found)).split()
+            grams.update({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+        chosen = picked(texts, own)
+        w = [(b, x) for b in chosen for x in texts[b].split()]
+        gone = {i + j for i in range(len(w) - 3) if grams[tuple(x for _, x in w[i : i + 4])] >= share for j in range(4)}
+        cut = {b for b in chosen if all(i in gone for i, (c, _) in enumerate(w) if c == b)}
+        want.append("\n".join(t for n, t in enumerate(texts) if n not in cut))
+    assert sum("\n".join(t) != x for (_, t), x in zip(pages, want, strict=True)) > 20
+    df = spark.createDataFrame([(n, f"http://{h}.example/{n}", an_article(*texts)) for n, (h, texts) in enumerate(pages)], "page_id long, url string, html string")
+    for chunk in (30, 10_000):
+        got = html_text.extract(df, min_tokens=4, min_pages=3, chunk_tokens=chunk).orderBy("page_id").collect()
+        assert [r.text for r in got] == want
