@@ -205,13 +205,13 @@ def page_streams(rows: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
             edge = np.searchsorted(owner, np.arange(len(held) + 1))
             edges = [pa.array(edge, pa.int32()), pa.array(np.concatenate([[0], np.cumsum([len(x) for x in of_block])]), pa.int32())]
             page = _stream_codes(h, edge).view(np.int64)
-            found = [_article_starts(a, min_tokens) for a in articles]
-            starts = [pa.array(np.concatenate([x[1][c] for x in found]).astype(t)) for c, t in enumerate((np.int32, np.int64, np.int64, np.int64))]
-            begin = pa.array(np.concatenate([[0], np.cumsum([len(x[1][0]) for x in found])]), pa.int32())
+            article, count, starts = _article_starts(articles, min_tokens)
+            starts = [pa.array(x.astype(t)) for x, t in zip(starts, (np.int32, np.int64, np.int64, np.int64), strict=True)]
+            begin = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array([r[3] for r in held], pa.int64()), pa.array(page),
                  pa.ListArray.from_arrays(edges[0], pa.array(h.view(np.int64))), pa.ListArray.from_arrays(edges[1], pa.array(np.concatenate(of_block).astype(np.int32))),
-                 pa.array([x[0] for x in found], pa.int64()), pa.ListArray.from_arrays(begin, pa.StructArray.from_arrays(starts, ["block", "k0", "k1", "rest"]))],
+                 pa.array(article), pa.ListArray.from_arrays(begin, pa.StructArray.from_arrays(starts, ["block", "k0", "k1", "rest"]))],
                 ["id", "url", "code", "page", "tokens", "blocks", "article", "starts"],
             )
 
@@ -240,10 +240,15 @@ def _string_keys(h: np.ndarray, head: np.ndarray, depth: int) -> np.ndarray:
     return keys
 
 
-def _article_starts(article: list[tuple[int, bytes]], min_tokens: int) -> tuple[int, tuple[np.ndarray, ...]]:
-    """A hash of the article's tokens; block, k0, k1, rest of its blocks of min_tokens tokens: the string at its start, 4 x 16 bits of the others' minima."""
-    hashes, count, least = [], [], []
-    for part in batches(article, lambda b: len(b[1]), 1 << 20):
+def _article_starts(articles: list[list[tuple[int, bytes]]], min_tokens: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of the blocks of each article: a hash of its tokens, how many blocks have min_tokens tokens, and their block, k0, k1, rest.
+
+    k0, k1: the string at a block's start; rest: 4 x 16 bits of the minima of the article's other blocks.
+    """
+    flat = [b for a in articles for b in a]
+    size = np.array([len(a) for a in articles], np.int64)
+    hashes, count, least = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((4, 0), U)]
+    for part in batches(flat, lambda b: len(b[1]), 1 << 20):
         owner, h, _ = words(*pack([t for _, t in part]))
         hashes.append(h)
         count.append(np.bincount(owner, minlength=len(part)))
@@ -251,19 +256,22 @@ def _article_starts(article: list[tuple[int, bytes]], min_tokens: int) -> tuple[
         order = np.argsort(of, kind="stable")
         s, first = s[order], np.flatnonzero(np.diff(of[order], prepend=-1))
         least.append(np.stack([np.minimum.reduceat(mix(s + x), first) for x in _DRAWS]))
-    if not article:
-        return 0, (np.zeros(0, np.int64),) * 4
     h, count, least = np.concatenate(hashes), np.concatenate(count), np.concatenate(least, axis=1)
     edge = np.concatenate([[0], np.cumsum(count)])
+    ends = np.concatenate([[0], np.cumsum(size)])
     long = np.flatnonzero(count >= min_tokens)
-    if len(count) > 1:
-        two = np.partition(least, 1, axis=1)[:, :2]
-        rest = np.where(least[:, long] == two[:, :1], two[:, 1:], two[:, :1])
-    else:
-        rest = np.zeros((4, len(long)), U)
+    rest = np.zeros((4, 0), U)
+    if len(flat):
+        some, article = ends[:-1][size > 0], np.repeat(np.arange((size > 0).sum()), size[size > 0])
+        low = np.minimum.reduceat(least, some, axis=1)[:, article]
+        lowest = least == low
+        alone = lowest & (np.add.reduceat(lowest, some, axis=1, dtype=np.int64)[:, article] == 1)
+        second = np.minimum.reduceat(np.where(lowest, U(0xFFFF_FFFF_FFFF_FFFF), least), some, axis=1)[:, article]
+        rest = np.where(alone, second, low)[:, long]
     rest = np.bitwise_or.reduce([(rest[j] & U(0xFFFF)) << U(16 * j) for j in range(4)]).view(np.int64)
     keys = _string_keys(h, edge[long], min_tokens).view(np.int64)
-    return int(_stream_codes(h, np.array([0, len(h)])).view(np.int64)[0]), (np.array([n for n, _ in article])[long], keys[:, 0], keys[:, 1], rest)
+    held = np.diff(np.searchsorted(long, ends))
+    return _stream_codes(h, edge[ends]).view(np.int64), held, (np.array([n for n, _ in flat], np.int64)[long], keys[:, 0], keys[:, 1], rest)
 
 
 def template_blocks(streams: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:

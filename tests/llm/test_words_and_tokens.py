@@ -381,8 +381,8 @@ def test_repeats_in_articles_against_brute_force(spark):
     pages += pages[:9] + [("large", [*pages[0][1], f"more {n}"]) for n in range(5)]
     starts = []  # of each page: block, string at its start, minima of the others
     for _, texts in pages:
-        code, (of, k0, k1, rest) = html_text._article_starts([(n, t.encode()) for n, t in enumerate(texts)], 4)
-        starts.append((code, [(int(b), (int(x), int(y)), int(r)) for b, x, y, r in zip(of, k0, k1, rest, strict=True)]))
+        code, _, (of, k0, k1, rest) = html_text._article_starts([[(n, t.encode()) for n, t in enumerate(texts)]], 4)
+        starts.append((int(code[0]), [(int(b), (int(x), int(y)), int(r)) for b, x, y, r in zip(of, k0, k1, rest, strict=True)]))
     want = []
     for (host, texts), (_, own) in zip(pages, starts, strict=True):
         there = {code: (t, found) for (h, t), (code, found) in zip(pages, starts, strict=True) if h == host and found}
