@@ -1,6 +1,11 @@
 """Queries that do their whole job, and steps whose disk must not grow with the rows of their result."""
 
+import random
+
+import pytest
+
 from sparrowmill import catalog
+from sparrowmill.operators import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,3 +14,32 @@ def test_each_user_gets_as_many_negatives_as_the_reference_draws(spark):
     got = catalog.queries()["gr_sample_neg"](spark, SF).groupBy("user_id").count().collect()
     users = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
     assert len(got) == users and {r["count"] for r in got} == {100}
+
+
+@pytest.mark.parametrize(("hops", "most"), [(1, 40), (2, 40), (3, 25)])
+def test_walks_in_ranges_of_time_equal_walks_over_all_edges(spark, monkeypatch, hops, most):
+    """Small ranges, so that roots, items and users reach back over several; times tie, edges repeat, ids are null."""
+    monkeypatch.setattr(graph, "STEP", 3)
+    rng = random.Random(hops)
+    rows = [(0 if rng.random() < 0.3 else rng.randrange(12), rng.randrange(9), rng.randrange(100)) for _ in range(170)]
+    rows += [*rows[:20], (None, 3, 50), (None, 3, 50), (5, None, 60), (5, 2, None), (7, 1, 120)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, time long")
+    columns = ["root", "n_items", "user_id", "item_id", "time"]
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    changes = lambda: plain(graph.prefix_changes(edges, hops, 3, 2))
+    graphs = lambda: plain(graph.sample_graphs(edges, hops, 3, 2).select(columns))
+    whole, spans = graphs(), changes()
+    monkeypatch.setattr(graph, "RANGE_EDGES", most)
+    assert graphs() == whole and changes() == spans
+    assert plain(graph.graphs_at(graph.prefix_changes(edges, hops, 3, 2)).select(columns)) == whole
+
+
+def test_what_walks_shuffle_does_not_grow_with_what_they_find(spark, monkeypatch):
+    """Roots come to their range's edges, and what they find goes nowhere; before, each root's users were shuffled."""
+    edges = spark.createDataFrame([(n % 40, n % 5, n) for n in range(400)], "user_id long, item_id long, time long")
+    stored = []
+    keep = graph.io.stored
+    monkeypatch.setattr(graph.io, "stored", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    made = graph.prefix_changes(edges, 2)
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString().splitlines()[1]  # nothing after the walks but their union
+    assert made.count() > 5 * max(x.count() for x in stored)
